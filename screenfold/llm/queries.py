@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from screenfold.llm import language, mixing, pieces, quality, secrets, token_counts
+from screenfold.llm import jaccard, language, mixing, pieces, quality, secrets, token_counts
 from screenfold.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -35,12 +35,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pieces, op3_token_counts, op5_language, op7_secrets, op8_mixing, op10_quality)
+    found = (op1_pieces, op3_token_counts, op5_language, op7_secrets, op8_mixing, op9_jaccard, op10_quality)
     return {f.__name__: f for f in found}
 
 
