@@ -277,6 +277,14 @@ def _by_key(docs: DataFrame, classes: DataFrame, rule: Threshold, id_col: str, t
 
 
 def one_of_each(docs: DataFrame, rule: Threshold, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its component: one document of each group stays."""
-    kept = near_classes(docs, rule, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi")
+    """One row of ``docs`` for each component: that with its smallest id.
+
+    Of rows that repeat this id one stays; rows without an id stay where they link with nothing.
+    """
+    found = near_classes(docs, rule, id_col, text_col)
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id"))
+    repeats = kept.groupBy("kept_id").count().where("count > 1 and kept_id is not null")
+    if repeats.isEmpty():
+        return docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    return rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rows.where(F.col(id_col).isNull()))

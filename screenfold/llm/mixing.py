@@ -40,8 +40,8 @@ def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every row.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) of every row, and the columns of ``carry``.
 
     Each document is taken whole floor(target / source_size) times. The rest of the target is met by
     the source's documents in the order of a seeded hash of their id, each once more as long as the
@@ -50,7 +50,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     whole cells before it are summed. Null texts and empty sources have size 0 and take 0; rows with
     equal ids and sizes are interchangeable; a null source is a source of its own.
     """
-    rows = docs.select("doc_id", "source", word_count().alias("size"))
+    own = [F.col(c).alias(f"carried_{c}") for c in carry]
+    rows = docs.select("doc_id", "source", word_count().alias("size"), *own)
     rows = rows.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     rows = rows.withColumn("cell", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
     cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
@@ -64,14 +65,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     plan = plan.withColumn("split", (F.col("before") < F.col("rest")) & (F.col("before") + F.col("cell_size") > F.col("rest")))
     # a row for each source and hash prefix, small beside the documents and of known width
     joined = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.cell") == F.col("p.cell")))
-    joined = joined.select("r.doc_id", "r.source", "r.size", "r.cell", "r.h", "source_size", "target", "whole", "rest", "before", "split")
+    joined = joined.select("r.doc_id", "r.source", "r.size", "r.cell", "r.h", "source_size", "target", "whole", "rest", "before", "split", *[f"carried_{c}" for c in carry])
     inside = Window.partitionBy("source", "cell").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     tail = joined.where("split").withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     tail = tail.withColumn("once", F.col("at") + F.col("size") / 2 <= F.col("rest"))
     rest = joined.where("not split").withColumn("once", F.col("before") < F.col("rest"))
     both = tail.drop("at").unionByName(rest)
     taken = F.col("size") * (F.col("whole") + F.when(F.col("once") & (F.col("size") > 0), 1).otherwise(0))
-    return both.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"carried_{c}").alias(c) for c in carry])
+
+
+def repeat(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
+    kept = {c: f"own {c}" for c in others}
+    renamed = docs.select("doc_id", "source", F.col("text").alias("text"), *[F.col(c).alias(v) for c, v in kept.items()])
+    taken = mix(renamed, carry=tuple(kept.values()), **options).where("taken > 0")
+    times = taken.withColumn("time", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
+    return times.select(*[F.col(f"`{kept[c]}`").alias(c) if c in kept else F.col(c) for c in docs.columns])
 
 
 SQL = r"""

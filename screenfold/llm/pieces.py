@@ -13,6 +13,7 @@ import re
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -214,22 +215,28 @@ def codec(model_path: str) -> PieceCodec:
     return PieceCodec(model_path)
 
 
-def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded string) of every row; a null text is an empty one.
+def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_decoded: bool = True) -> DataFrame:
+    """(id, ids array<int>, round_trips boolean[, decoded string]) of every row; a null text is an
+    empty one.
 
-    Rows are independent: repeated rows and ids give repeated results, other columns are not read,
-    an empty table gives an empty one. No shuffle.
+    ``round_trips``: the ids decode to the text. Rows are independent: repeated rows and ids give
+    repeated results, other columns are not read, an empty table gives an empty one. No shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         c = codec(model_path)
         for b in slices(batches, 200):
-            got = [c.encoded(t) for t in b.column(1).to_pylist()]
-            ids = pa.array([[int(i) for i in g[0].split(",")] if g[0] else [] for g in got], type=pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([g[2] for g in got], type=pa.string())], ["id", "ids", "decoded"])
-
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
+            texts = b.column(1).to_pylist()
+            got = [c.encoded(t) for t in texts]
+            ids = pa.array([np.array(g[0].split(","), dtype=np.int32) if g[0] else np.zeros(0, np.int32) for g in got], type=pa.list_(pa.int32()))
+            columns = {"id": b.column(0), "ids": ids, "round_trips": pa.array([g[2] == (t or "") for g, t in zip(got, texts)], type=pa.bool_())}
+            if keep_decoded:
+                columns["decoded"] = pa.array([g[2] for g in got], type=pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    schema = f"id {kind}, ids array<int>, round_trips boolean" + (", decoded string" if keep_decoded else "")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)
 
 

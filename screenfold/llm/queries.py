@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from screenfold.llm import jaccard, language, mixing, pieces, quality, secrets, token_counts
+from screenfold.llm import jaccard, language, lm_scores, mixing, pages, pieces, quality, secrets, token_counts, vectors
 from screenfold.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -18,14 +18,26 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = secrets.scan_versions(table(spark, sf_dir, "documents"))
     return secrets.report(findings)
@@ -44,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pieces, op3_token_counts, op5_language, op7_secrets, op8_mixing, op9_jaccard, op10_quality)
+    found = (op1_pieces, op2_pages, op3_token_counts, op4_lm_scores, op5_language, op6_vectors, op7_secrets, op8_mixing, op9_jaccard, op10_quality)
     return {f.__name__: f for f in found}
 
 

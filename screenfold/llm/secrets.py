@@ -118,3 +118,16 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
     done = F.aggregate(spans, start, step)
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.lit(2147483647))))
+
+
+def redact_documents(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+    """Every row of ``docs`` with the spans of its text masked and n_chars, if there, set anew."""
+    _, ledger = scan_versions(docs)
+    found = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("found_blob"), F.col("spans").alias("found_spans"))
+    rows = docs.withColumn("own_blob", content_address(F.col("text")))
+    rows = rows.join(found, F.col("own_blob") == F.col("found_blob"), "left")
+    clean = F.when(F.col("found_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("found_spans")))
+    rows = rows.withColumn("text", clean)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("found_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return rows.select(*docs.columns)
