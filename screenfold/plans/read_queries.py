@@ -26,7 +26,7 @@ _MUTATED = "CASE WHEN l_orderkey % 17 = 0 THEN concat(substr(tag, 1, 4), 'N', su
 SEQ = f"concat({_INDEX}, {_CONST}, {_MUTATED}, {dna('l_orderkey * 8 + l_linenumber')})"
 
 TAGS = f"decode AS (SELECT p_partkey AS ord, p_partkey AS gene, {TAG} AS tag FROM part)"
-READS = f"{TAGS}, reads AS (SELECT l_returnflag AS lane, l_orderkey * 8 + l_linenumber AS read_no, {SEQ} AS seq FROM lineitem JOIN decode ON l_partkey = gene)"
+READS = f"{TAGS}, reads AS (SELECT DISTINCT l_returnflag AS lane, ((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 8 + l_linenumber AS read_no, {SEQ} AS seq FROM lineitem JOIN decode ON l_partkey = gene)"
 SHEET = f"sheet AS (SELECT lane || '_' || k AS sample_id, lane, substr({dna('10 + k')}, 1, CAST(10 - 2 * k AS INT)) AS index_seq FROM (SELECT DISTINCT l_returnflag AS lane, l_linenumber % 3 AS k FROM lineitem))"
 EXACT = "xt AS (SELECT tag, arg_max(gene, ord) AS gene FROM decode GROUP BY tag)"
 VARS = "vr AS (SELECT DISTINCT ord, gene, concat(substr(tag, 1, p - 1), b, substr(tag, p + 1)) AS variant FROM (SELECT *, unnest(generate_series(1, length(tag))) AS p FROM decode) CROSS JOIN (SELECT unnest(['G', 'C', 'A', 'T', 'N']) AS b)), fz AS (SELECT variant, arg_min(gene, ord) AS gene, count(DISTINCT gene) AS genes FROM vr GROUP BY variant)"
@@ -45,7 +45,7 @@ def decode(spark, sf):
 
 def reads(spark, sf):
     rows = table(spark, sf, "lineitem").join(decode(spark, sf), F.col("l_partkey") == F.col("gene"))
-    return rows.select(F.col("l_returnflag").alias("lane"), F.expr("l_orderkey * 8 + l_linenumber").alias("read_no"), F.expr(SEQ).alias("seq"))
+    return rows.select(F.col("l_returnflag").alias("lane"), F.expr("((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 8 + l_linenumber").alias("read_no"), F.expr(SEQ).alias("seq")).distinct()
 
 
 def sheet(spark, sf):
@@ -146,7 +146,7 @@ def c19(spark, sf):
     return p.withColumn("k", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("hits"), "prefix"))).where("k <= 5").select("n", "prefix", "hits")
 
 
-@query("c20_read_length", f"WITH {READS} SELECT CAST(length(seq) AS INTEGER) AS len, CAST(count(*) AS BIGINT) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM reads GROUP BY ALL QUALIFY row_number() OVER (ORDER BY count(*) DESC, length(seq)) <= 5")
+@query("c20_read_length", f"WITH {READS} SELECT CAST(length(seq) AS INTEGER) AS len, CAST(count(*) AS BIGINT) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM reads GROUP BY length(seq) QUALIFY row_number() OVER (ORDER BY count(*) DESC, length(seq)) <= 5")
 def c20(spark, sf):
     k = reads(spark, sf).groupBy(F.length("seq").alias("len")).agg(F.count("*").alias("n"))
     k = k.withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
