@@ -369,3 +369,68 @@ def t32(spark, sf):
     means = X.arm_means(marked, ["gene", "strain"], "gen", "cpm").where("mean0 > 0 and mean10 > 0").join(marked.where("imputed").select("gene", "strain").distinct(), ["gene", "strain"], "left_anti")
     f = means.select("strain", X.log2_ratio_floored("mean10", "mean0").alias("f")).where("f < 0")
     return f.groupBy("strain").agg(F.count("*").alias("n"), F.percentile("f", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select("strain", "n", r6(F.col("q")[0], "q1"), r6(F.col("q")[1], "med"), r6(F.col("q")[2], "q3"))
+
+
+# smaller pieces of the operators above, each on its own
+
+
+@query("f02_regex_groups", "WITH w AS (SELECT DISTINCT 'S' || l_returnflag || '_Rep' || (l_linenumber % 3) || '_Gen' || CASE WHEN l_linestatus = 'F' THEN 0 ELSE 10 END AS col FROM lineitem) SELECT col, regexp_extract(col, '^S([A-Z])_', 1) AS strain, CAST(regexp_extract(col, '_Rep([0-9]+)', 1) AS INTEGER) AS rep, CAST(regexp_extract(col, '_Gen([0-9]+)$', 1) AS INTEGER) AS gen FROM w")
+def f02(spark, sf):
+    from screenfold.plans.bindings import table
+
+    arm = F.when(F.col("l_linestatus") == "F", "0").otherwise("10")
+    w = table(spark, sf, "lineitem").select(F.concat(F.lit("S"), "l_returnflag", F.lit("_Rep"), (F.col("l_linenumber") % 3).cast("string"), F.lit("_Gen"), arm).alias("col")).distinct()
+    part = lambda p: F.regexp_extract("col", p, 1)
+    return w.select("col", part("^S([A-Z])_").alias("strain"), part("_Rep([0-9]+)").cast("int").alias("rep"), part("_Gen([0-9]+)$").cast("int").alias("gen"))
+
+
+@query("f04_suffix_split", f"WITH {B1} SELECT gene, strain, round(avg(cpm) FILTER (gen = 10), 6) AS log2FC, round(avg(cpm) FILTER (gen = 0), 6) AS FDR FROM c GROUP BY ALL")
+def f04(spark, sf):
+    """Wide columns named strain_measure back to a row for each strain."""
+    wide = b1_cpm(spark, sf).withColumn("k", F.concat("strain", F.when(F.col("gen") == 10, "_log2FC").otherwise("_FDR")))
+    names = [f"{s}_{m}" for s in "ANR" for m in ("log2FC", "FDR")]
+    wide = wide.groupBy("gene").pivot("k", names).agg(F.avg("cpm"))
+    long = wide.unpivot(["gene"], names, "k", "v").select("gene", F.regexp_extract("k", "^(.*)_(log2FC|FDR)$", 1).alias("strain"), F.regexp_extract("k", "(log2FC|FDR)$", 1).alias("m"), "v")
+    return long.groupBy("gene", "strain").pivot("m", ["log2FC", "FDR"]).agg(F.round(F.max("v"), 6))
+
+
+@query("t03_apl")
+def t03(spark, sf):
+    """The adjusted profile likelihood's best grid point of each gene alone, which no prior pulls."""
+    return X.estimate_dispersions(b1d_cpm(spark, sf), "gene", "strain", "gen", "cpm", prior_df=1e-9).select("strain", "gene", F.col("tagwise").alias("own"))
+
+
+@query("a02_arm_means", f"WITH {B1} SELECT gene, strain, round(avg(cpm) FILTER (gen = 0), 6) AS mean0, round(avg(cpm) FILTER (gen = 10), 6) AS mean10 FROM c GROUP BY ALL")
+def a02(spark, sf):
+    return X.arm_means(b1_cpm(spark, sf), ["gene", "strain"], "gen", "cpm").select("gene", "strain", r6("mean0"), r6("mean10"))
+
+
+@query("a03_all_any", f"WITH {B1} SELECT gene, strain, gen, bool_and(n = 0) AS all_zero, bool_or(n = 0) AS any_zero FROM b1 GROUP BY ALL")
+def a03(spark, sf):
+    return b1(spark, sf).groupBy("gene", "strain", "gen").agg(F.every(F.col("n") == 0).alias("all_zero"), F.bool_or(F.col("n") == 0).alias("any_zero"))
+
+
+@query("a11_upper_quartile", f"WITH {B1D} SELECT strain, gen, rep, round(quantile_cont(CAST(n AS DOUBLE), 0.75) / sum(n), 9) AS uq FROM b1 GROUP BY ALL")
+def a11(spark, sf):
+    return b1d(spark, sf).groupBy(*S).agg(F.round(F.percentile("n", F.lit(0.75)) / F.sum("n"), 9).alias("uq"))
+
+
+@query("a15_differences", f"WITH {PAIR} SELECT strain, round(median(abs(x - y)), 5) AS median_diff, round(max(abs(x - y)), 5) AS max_diff FROM pr GROUP BY strain")
+def a15(spark, sf):
+    d = F.abs(F.col("x") - F.col("y"))
+    return _pairs(spark, sf).groupBy("strain").agg(F.round(F.median(d), 5).alias("median_diff"), F.round(F.max(d), 5).alias("max_diff"))
+
+
+@query("w04_prefix_mean", f"""WITH {B1D}, m AS (SELECT gene, strain, avg(cpm) AS level FROM c GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY strain ORDER BY round(level, 6), gene) AS rn, count(*) OVER (PARTITION BY strain) AS n FROM m)
+SELECT a.gene, a.strain, round(avg(b.level), 5) AS smooth FROM k a JOIN k b ON a.strain = b.strain AND abs(a.rn - b.rn) <= greatest(3, CAST(round_even(0.3::DOUBLE * a.n, 0) AS INTEGER)) // 2 GROUP BY a.gene, a.strain""")
+def w04(spark, sf):
+    """A moving mean whose width follows the number of genes: differences of running sums."""
+    m = b1d_cpm(spark, sf).groupBy("gene", "strain").agg(F.avg("cpm").alias("level")).withColumn("o", F.round("level", 6))
+    by = Window.partitionBy("strain").orderBy("o", "gene")
+    k = m.withColumn("rn", F.row_number().over(by)).withColumn("n", F.count("*").over(Window.partitionBy("strain"))).withColumn("sums", F.sum("level").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    half = F.floor(F.greatest(F.lit(3), F.bround(F.lit(0.3) * F.col("n")).cast("int")) / 2)
+    k = k.withColumn("hi", F.least(F.col("n"), F.col("rn") + half)).withColumn("lo", F.greatest(F.lit(0), F.col("rn") - half - 1))
+    ends = k.select(F.col("strain").alias("s"), F.col("rn").alias("at"), F.col("sums").alias("v"))
+    up = k.join(ends, (F.col("strain") == F.col("s")) & (F.col("hi") == F.col("at"))).withColumnRenamed("v", "top").drop("s", "at")
+    both = up.join(ends, (F.col("strain") == F.col("s")) & (F.col("lo") == F.col("at")), "left")
+    return both.select("gene", "strain", F.round((F.col("top") - F.coalesce("v", F.lit(0.0))) / (F.col("hi") - F.col("lo")), 5).alias("smooth"))

@@ -188,3 +188,37 @@ def x23(spark, sf):
 @query("x20_labels", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 40 THEN 'middle' ELSE 'large' END AS label FROM part")
 def x20(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") < 10, "small").when(F.col("p_size") < 40, "middle").otherwise("large").alias("label"))
+
+
+@query("s07_tag_set", f"WITH {_sql(DEC)} SELECT DISTINCT split_part(value, ' ', 2) AS tag FROM ln WHERE starts_with(value, 'Y') AND contains(value, ' ')")
+def s07(spark, sf):
+    return S.decode_rows(_lines(spark, sf, DEC)).select("tag").distinct()
+
+
+@query("s08_tag_limit", f"WITH {_sql(DEC)} SELECT line_no AS ord, split_part(value, ' ', 1) AS gene FROM ln WHERE starts_with(value, 'Y') AND contains(value, ' ') ORDER BY line_no LIMIT 20")
+def s08(spark, sf):
+    return S.decode_rows(_lines(spark, sf, DEC)).orderBy("ord").limit(20).select("ord", "gene")
+
+
+@query("s18_columns_by_fragments", "SELECT lang AS a, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY lang")
+def s18(spark, sf):
+    wide = table(spark, sf, "documents").select(F.col("lang").alias("Systematic Name Interactor A"), F.col("source").alias("Systematic Name Interactor B"))
+    return S.columns_by_fragments(wide, {"a": ["systematic", " a"], "b": ["systematic", " b"]}).groupBy("a").agg(F.count("*").alias("n"))
+
+
+@query("s20_gene_cells", "SELECT DISTINCT v AS gene FROM (SELECT lang AS v FROM documents UNION ALL SELECT source FROM documents) WHERE regexp_matches(v, '^src') AND length(v) >= 5")
+def s20(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    return d.unpivot(["doc_id"], ["lang", "source"], "c", "gene").where("gene rlike '^src' and length(gene) >= 5").select("gene").distinct()
+
+
+@query("s36_draft_sheet", f"SELECT doc_id, replace(trim({_TITLE}), ' ', '_') AS sample_id, concat_ws(' ; ', lang, source) AS txt FROM documents")
+def s36(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.replace(F.trim(F.expr(_TITLE)), F.lit(" "), F.lit("_")).alias("sample_id"), F.concat_ws(" ; ", "lang", "source").alias("txt"))
+
+
+@query("r05_columns", "SELECT p_partkey AS partkey, p_size AS size FROM part")
+def r05(spark, sf):
+    p = table(spark, sf, "part")
+    keep = [c for c in p.columns if c.endswith(("key", "size"))]
+    return p.select(*keep).withColumnsRenamed({c: c.removeprefix("p_") for c in keep})
