@@ -118,3 +118,8 @@ def test_graph_finds_all_links():
     q, s = links_in(g, v, v, 0.9, 1.0, 64, np.arange(1500))
     truth = (v @ v.T >= 0.9).sum()
     assert truth * 0.99 <= len(q) <= truth
+
+
+def test_named_noise_inside_an_article():
+    page = '<article><div class="article-header"><h1>T</h1></div><p>a</p><div class="comments-content"><p>no</p></div><div class="entry-content"><ul><li>b<li>c</ul></div></article>'
+    assert pages.main_text(pages.blocks(pages.parse(page)), set()) == "T a b c"
