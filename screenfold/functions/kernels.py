@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Dispersions on which profile likelihoods are taken.
 GRID = np.geomspace(1e-4, 4.0, 120)
@@ -23,7 +24,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
         lift = np.where(low, lift + np.log(np.where(low, z, 1.0)), lift)
         z = np.where(low, z + 1, z)
     i = 1 / z
-    return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + i * (1 / 12 - i * i * (1 / 360 - i * i * (1 / 1260 - i * i / 1680))) - lift
+    return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + i * (1 / 12 - i * i * (1 / 360 - i * i * (1 / 1260 - i * i * (1 / 1680 - i * i * (1 / 1188 - i * i * 691 / 360360))))) - lift
 
 
 def nb_loglik(y: np.ndarray, mu: np.ndarray, phi: np.ndarray) -> np.ndarray:
@@ -88,7 +89,7 @@ def chi2_tail(x: float, df: int) -> float:
 
 
 def chi2_tail_udf(x, df):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def run(x: pd.Series, df: pd.Series) -> pd.Series:
         return pd.Series([None if v is None or v != v else chi2_tail(v, int(d)) for v, d in zip(x, df)], dtype="float64")
 

@@ -5,18 +5,19 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from screenfold.functions import kernels
 from screenfold.operators.counts import average_rank
 from screenfold.operators.windows import with_fdr
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _hyper_tail(hits: pd.Series, population: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
     return pd.Series([kernels.hypergeometric_tail(*map(int, v)) for v in zip(hits, population, marked, drawn)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _rank_sum_p(u: pd.Series, n1: pd.Series, n2: pd.Series, tied: pd.Series, z: pd.Series) -> pd.Series:
     """Exact if a side has 8 or fewer and nothing is tied, else normal."""
     out = []
