@@ -92,8 +92,11 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, path: st
         chosen = chosen.join(known.select("blob"), "blob", "left_anti")
     # equal on blob and path: a blob of many rows is spread by its paths
     unseen = rows.alias("r").join(chosen.alias("c"), (F.col("r.blob") == F.col("c.blob")) & F.col("r.path").eqNullSafe(F.col("c.first"))).select("r.blob", "r.text")
-    scanned = scan_blobs(unseen, rules).where(F.size("spans") > 0).groupBy("blob").agg(F.max("spans").alias("spans"))
-    found = scanned if ledger is None else scanned.unionByName(known.where(F.size("spans") > 0))
+    # a test of the spans goes after the aggregate: before it, the optimizer would scan every row to
+    # join fewer, copies and known blobs among them
+    scanned = scan_blobs(unseen, rules).groupBy("blob").agg(F.max("spans").alias("spans"))
+    found = scanned.where(F.size("spans") > 0)
+    found = found if ledger is None else found.unionByName(known.where(F.size("spans") > 0))
     new = chosen.select("blob").join(scanned, "blob", "left").select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
     back = light.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
     return back.withColumnRenamed("path", path), new
