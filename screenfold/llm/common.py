@@ -23,7 +23,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash, forgetting everything once ``most`` words are held."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

@@ -31,7 +31,7 @@ class PieceCodec:
     be the identity with a dummy prefix and byte fallback, which is checked by the tests.
     """
 
-    def __init__(self, model_path: str, most: int = 250_000):
+    def __init__(self, model_path: str, most: int = 180_000):
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         size = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(size)]
