@@ -55,17 +55,23 @@ def unpack_grams(raw: bytes) -> np.ndarray:
 
 
 def pack(counts: np.ndarray) -> bytes:
-    """Counts in a byte each on a scale of logarithms: exact to 12, within 3 % up to 65,000, and
-    saturated there, where both models' logarithms hardly move."""
-    return np.minimum(np.rint(np.log2(1.0 + counts) * 16), 255).astype(np.uint8).tobytes()
+    """Whole counts, exactly: a byte each below 255, after these two bytes for each that is not, and
+    after those eight for each that does not fit two."""
+    counts = np.asarray(counts, np.float64).astype("<u8")
+    more = counts[counts >= 255]
+    most = more[more >= 65535]
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + np.minimum(more, 65535).astype("<u2").tobytes() + most.tobytes()
 
 
-_scale = np.exp2(np.arange(256) / 16) - 1
-_scale = np.where(_scale < 12.5, np.rint(_scale), _scale)
-
-
-def unpack(raw: bytes) -> np.ndarray:
-    return _scale[np.frombuffer(raw, np.uint8)]
+def unpack(raw: bytes, n: int | None = None) -> np.ndarray:
+    """Counts of ``pack``; ``n`` tells how many, where some may be over 254."""
+    n = len(raw) if n is None else n
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.float64)
+    large = np.flatnonzero(counts == 255)
+    counts[large] = np.frombuffer(raw, "<u2", len(large), n)
+    largest = large[counts[large] == 65535]
+    counts[largest] = np.frombuffer(raw, "<u8", len(largest), n + 2 * len(large))
+    return counts
 
 
 def ratio(target: np.ndarray, background: np.ndarray, match: float, add: float) -> np.ndarray:
@@ -135,16 +141,16 @@ def score(docs: DataFrame, labels: DataFrame, smooth: Smoothing = Smoothing(), b
                 if doc in good_ids:
                     chosen[at] += n
         cuts = np.searchsorted(grams, edges)
-        parts = list(zip(np.split(grams, cuts), np.split(total.astype(np.uint32), cuts), np.split(chosen.astype(np.uint32), cuts)))
+        parts = list(zip(np.split(grams, cuts), np.split(total, cuts), np.split(chosen, cuts)))
         keep = [i for i, p in enumerate(parts) if len(p[0])]
-        binary = lambda k: pa.array([parts[i][k].tobytes() for i in keep], pa.binary())
+        binary = lambda k: pa.array([pack(parts[i][k]) for i in keep], pa.binary())
         packed = pa.array([pack_grams(parts[i][0]) for i in keep], pa.binary())
         return pa.table({"block": pa.array([key[0].as_py()] * len(keep), pa.int32()), "bucket": pa.array(keep, pa.int32()), "grams": packed, "total": binary(1), "chosen": binary(2)})
 
     def answer(key, rows):
         asked = [unpack_grams(x) for x in rows.column("grams").to_pylist()]
         grams, at = np.unique(np.concatenate(asked), return_inverse=True)
-        sums = [np.bincount(at, np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint32)) for c in ("total", "chosen")]
+        sums = [np.bincount(at, np.concatenate([unpack(x, len(a)) for x, a in zip(rows.column(c).to_pylist(), asked)])) for c in ("total", "chosen")]
         where = [np.searchsorted(grams, a) for a in asked]
         return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "total": pa.array([pack(sums[0][w]) for w in where], pa.binary()), "chosen": pa.array([pack(sums[1][w]) for w in where], pa.binary())})
 
@@ -153,7 +159,8 @@ def score(docs: DataFrame, labels: DataFrame, smooth: Smoothing = Smoothing(), b
         got = got.to_pylist()
         good_ids = {r["doc_id"] for r in got if r["bucket"] is None}
         parts = sorted((r for r in got if r["bucket"] is not None), key=lambda r: r["bucket"])
-        total, chosen = (unpack(b"".join(r[c] for r in parts)) for c in ("total", "chosen"))
+        held = np.diff(np.searchsorted(grams, edges), prepend=0, append=len(grams))
+        total, chosen = (np.concatenate([unpack(r[c], held[r["bucket"]]) for r in parts] or [np.zeros(0)]) for c in ("total", "chosen"))
 
         def counts(g):
             at = np.searchsorted(grams, g)

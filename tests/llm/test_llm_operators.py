@@ -1,7 +1,9 @@
 """Operators on small tables: nulls, empty and long texts, repeated rows, clashing columns, no rows."""
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -149,3 +151,28 @@ def test_pipeline_keeps_columns_and_drops_copies(spark):
             assert texts.is_unique
     out = c.STAGES[-1][1](spark, docs, sf)
     assert out.count() == docs.count() and out.where("not round_trips").count() == 0
+
+
+def test_scores_equal_plain_counts_of_any_size(spark):
+    texts = {1: "the " * 70_000 + "cat sat", 2: "the " * 100_000 + "dog ran", 3: "the the cat", 4: "a dog the the ran", 5: "", 6: "the cat sat on a mat"}
+    good = {1, 6}
+    words = {i: t.split() for i, t in texts.items()}
+    grams = {i: (Counter(w), Counter(zip(w, w[1:]))) for i, w in words.items()}
+    match = sum(len(words[i]) for i in good) / sum(map(len, words.values()))
+    every = [sum((g[k] for g in grams.values()), Counter()) for k in (0, 1)]
+    target = [sum((grams[i][k] for i in good), Counter()) for k in (0, 1)]
+
+    def ratio(i, k, gram, add):
+        own = grams[i][k][gram]
+        return math.log((target[k][gram] - own * (i in good) + add) / ((every[k][gram] - own) * match + add))
+
+    def plain(i):
+        w = words[i]
+        loss = [ratio(i, 0, x, 0.5) for x in w]
+        both = [(b + ratio(i, 1, (x, y), 0.5) - ratio(i, 0, x, 50.0)) / 2 for x, y, b in zip(w, w[1:], loss[1:])]
+        return sum(loss[:1] + both) / max(1, len(w))
+
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in good)) for i in texts], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in lm_scores.score(docs, labels).collect()}
+    assert all(got[i]["n_tokens"] == len(words[i]) and got[i]["score"] == pytest.approx(plain(i), abs=1e-9) for i in texts)

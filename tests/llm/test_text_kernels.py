@@ -92,6 +92,11 @@ def test_scores_leave_own_counts_out():
     assert (lm_scores.unpack(lm_scores.pack(np.arange(13))) == np.arange(13)).all()
 
 
+def test_packed_counts_are_whole():
+    for counts in ([], [0], [7, 254, 255, 256, 65534, 65535, 65536, 125_478, 2**32 + 3, 2**50 + 1, 0]):
+        assert lm_scores.unpack(lm_scores.pack(np.array(counts, float)), len(counts)).tolist() == counts
+
+
 def test_page_text():
     page = """<html><head><title>T</title><script>var a="</p>"</script></head><body><header>Top</header><nav><a>Menu</a></nav>
     <article><h1>Head &amp; line</h1><p>One <b>two</b>three<br>four<p>five<div class="share">Share</div><aside>no</aside></article>
