@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from screenfold.operators import fitness as X
 from screenfold.operators import models as M
 from screenfold.operators.counts import cpm
-from screenfold.plans.bindings import B1, B1D, SAMPLE, counts, table
+from screenfold.plans.bindings import B1, B1D, SAMPLE, counts, many_strains, table
 from screenfold.plans.registry import query
 
 r6 = lambda c, n=None: F.round(c, 6).alias(n or c)
@@ -216,8 +216,12 @@ def t30(spark, sf):
 
 
 def _profiles(spark, sf):
-    c = cpm(counts(spark, sf, "l_suppkey"), list(SAMPLE)).where("gene <= 300")
-    return c.groupBy("gene").agg(F.transform(F.array_sort(F.collect_list(F.struct(*SAMPLE, F.log2(F.col("cpm") + 1).alias("v")))), lambda s: s["v"]).alias("v"))
+    """Fold changes of every gene in every strain, in order of strains; null where a strain has none."""
+    fc = many_strains(spark, sf)
+    strains = fc.agg(F.array_sort(F.collect_set("strain")).alias("strains"))
+    held = fc.where("fc is not null").groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("strain", "fc"))).alias("m"))
+    every = fc.select("gene").distinct().join(held, "gene", "left")
+    return every.crossJoin(strains).select("gene", F.transform("strains", lambda s: F.col("m")[s]).alias("v"))
 
 
 @query("t34_cluster")

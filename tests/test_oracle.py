@@ -48,3 +48,22 @@ def test_query_equals_sql(spark, con, name):
 def test_every_query_is_registered_once():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
     assert len(catalogue.queries()) > 150
+
+
+def test_clusters_and_categories_take_whole_tables(spark, con, tmp_path):
+    import pyarrow.parquet as pq
+
+    for name in ("lineitem", "supplier", "part"):
+        at = pq.read_table(f"{SF}/{name}.parquet")
+        for key in ("l_suppkey", "s_suppkey", "p_partkey"):  # the same rows under large keys
+            if key in at.column_names:
+                move = 200_000 if key == "p_partkey" else 1000
+                at = at.set_column(at.column_names.index(key), key, [[v + move for v in at[key].to_pylist()]])
+        pq.write_table(at, tmp_path / f"{name}.parquet")
+    genes = con.execute("select count(distinct l_partkey % 200) from lineitem").fetchone()[0]
+    for name in ("t34_cluster", "t35_cluster"):
+        got = catalogue.queries()[name](spark, str(tmp_path)).toPandas()
+        assert len(got) == genes - 1 and got["size"].max() == genes, name
+    one = catalogue.queries()["t21_specific_enrichment"](spark, str(tmp_path)).toPandas()
+    two = catalogue.queries()["t21_specific_enrichment"](spark, SF).toPandas()
+    assert len(one) and ordered(one).equals(ordered(two))
