@@ -128,3 +128,8 @@ def test_graph_finds_all_links():
 def test_named_noise_inside_an_article():
     page = '<article><div class="article-header"><h1>T</h1></div><p>a</p><div class="comments-content"><p>no</p></div><div class="entry-content"><ul><li>b<li>c</ul></div></article>'
     assert pages.main_text(pages.blocks(pages.parse(page)), set()) == "T a b c"
+
+
+def test_unnamed_content_keeps_every_varying_slot():
+    page = "<h1>Head</h1><div class='t'><p>short one</p><ul><li>a list that is longer than all<li>of the prose beside it</ul></div><section class='b'><p>second part</p></section><div>bare text</div>"
+    assert pages.main_text(pages.blocks(pages.parse(page)), set()) == "Head short one a list that is longer than all of the prose beside it second part bare text"
