@@ -176,3 +176,23 @@ def test_scores_equal_plain_counts_of_any_size(spark):
     labels = spark.createDataFrame([(i, int(i in good)) for i in texts], "doc_id long, quality int")
     got = {r["doc_id"]: r for r in lm_scores.score(docs, labels).collect()}
     assert all(got[i]["n_tokens"] == len(words[i]) and got[i]["score"] == pytest.approx(plain(i), abs=1e-9) for i in texts)
+
+
+def test_templates_take_evidence_of_the_whole_host(spark):
+    def page(i, side="", box=""):
+        return f"<body><p class='x'>Read our site</p><div class='t'><h2>News {i}</h2><p>Story {i} has its own words</p></div>{side}{box}</body>"
+
+    rare = "<div class='y'><p>A box on one page in thirty</p></div>"
+    html = {i: ("http://big.org/a", page(i, box=rare if i % 30 == 0 else "")) for i in range(600)}
+    html |= {1000 + i: ("http://small.org/a", page(i)) for i in range(5)}
+    html |= {2000 + i: ("http://tiny.org/a", page(i)) for i in range(3)}
+    html |= {3000 + i: ("http://one.org/a", f"<article><p>One article</p></article><p>side {i}</p>") for i in range(30)}
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame([(i, *x) for i, x in html.items()], "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"News {i} Story {i} has its own words" for i in range(600))
+    assert all(got[1000 + i] == f"News {i} Story {i} has its own words" for i in range(5))
+    assert all(got[2000 + i] == f"Read our site News {i} Story {i} has its own words" for i in range(3))
+    assert all(got[3000 + i] == "One article" for i in range(30))
+    for host in ("big", "small", "tiny", "one"):
+        trees = {i: pages.blocks(pages.parse(h)) for i, (url, h) in html.items() if f"//{host}." in url}
+        constant = pages.induce(list(trees.values()))
+        assert all(pages.main_text(t, constant) == got[i] for i, t in trees.items()), host
