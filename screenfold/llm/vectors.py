@@ -160,12 +160,17 @@ class Graph:
 def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, recall: float, audit: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(query rows, shard rows) with cosine of at least ``least`` in double precision.
 
-    Beams double for queries whose beam is full of links. Then ``audit`` queries, half of them drawn by
-    key and half from those that have links, are compared with the whole shard; while the share of
-    their links found is below ``recall``, all beams double, up to the size of the shard.
+    Beams double for queries whose beam is full of links. Then ``audit`` queries, or a thousandth of
+    them all if that is more, are compared with the whole shard, half of them drawn by key and half
+    from those that have links, and as many again of those that have none: half with the best
+    similarity below ``least``, half by key. While the share of their links found is below ``recall``,
+    all beams double, up to the size of the shard.
     """
     n, beam = len(graph.vectors), FIRST_BEAM
-    picked = np.argsort(keys, kind="stable")[: audit // 2]
+    audit = max(audit, len(queries) // 1000)
+    order = np.argsort(keys, kind="stable")
+    picked = order[: audit // 2]
+    best = np.full(len(queries), -np.inf)
     rows = np.arange(len(queries))
     found_q, found_s = np.zeros(0, np.int64), np.zeros(0, np.int64)
     while True:
@@ -178,6 +183,7 @@ def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float,
                 ids, sim = graph.query(queries[part], width)
                 hit = (sim >= least - 1e-4) & (ids >= 0)
                 r, c = np.nonzero(hit)
+                best[part] = np.maximum(best[part], np.where(ids >= 0, sim, -np.inf).max(1))
                 got.append((part[r], ids[r, c]))
                 full.append(part[hit[:, -1]])
             if width >= n:
@@ -189,8 +195,11 @@ def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float,
         ok = np.concatenate([np.einsum("ij,ij->i", queries[a], exact[b]) >= least for a, b in zip(np.array_split(q, len(q) // 50_000 + 1), np.array_split(s, len(s) // 50_000 + 1))])
         found_q, found_s = q[ok], s[ok]
         linked = np.unique(found_q)
-        check = np.unique(np.concatenate([picked, linked[np.argsort(keys[linked], kind="stable")][: audit - len(picked)]]))
-        truth = (queries[check] @ exact.T >= least).sum()
+        alone = order[~np.isin(order, linked)]
+        missed = alone[np.argsort(-best[alone], kind="stable")][: audit // 2]
+        others = alone[~np.isin(alone, picked) & ~np.isin(alone, missed)][: audit - audit // 2]
+        check = np.unique(np.concatenate([picked, linked[np.argsort(keys[linked], kind="stable")][: audit - len(picked)], missed, others]))
+        truth = sum(int((queries[c] @ exact.T >= least).sum()) for c in np.array_split(check, len(check) // 64 + 1))
         if truth == 0 or np.isin(found_q, check).sum() >= recall * truth or beam >= n:
             return found_q, found_s
         beam *= 2

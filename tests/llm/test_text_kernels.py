@@ -133,3 +133,28 @@ def test_named_noise_inside_an_article():
 def test_unnamed_content_keeps_every_varying_slot():
     page = "<h1>Head</h1><div class='t'><p>short one</p><ul><li>a list that is longer than all<li>of the prose beside it</ul></div><section class='b'><p>second part</p></section><div>bare text</div>"
     assert pages.main_text(pages.blocks(pages.parse(page)), set()) == "Head short one a list that is longer than all of the prose beside it second part bare text"
+
+
+def test_audit_sees_near_misses_of_queries_without_links():
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(2000, 24))
+    v[4] = v[3] + 0.25 * v[4]  # what a narrow beam finds instead of v[3]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    q = v[:1000] + 0.7 * v[1000:]  # no link, but near a vector
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    q[500] = v[3]
+
+    class Narrow:
+        """Small beams miss the only link there is."""
+
+        vectors = v
+
+        def query(self, queries, beam):
+            sim = queries @ v.T
+            if beam < 512:
+                sim[sim > 0.99] = -1
+            ids = np.argsort(-sim, axis=1)[:, :beam]
+            return ids, np.take_along_axis(sim, ids, 1)
+
+    keys = np.arange(1000)
+    assert [x.tolist() for x in links_in(Narrow(), v, q, 0.99, 1.0, 64, keys)] == [[500], [3]]
