@@ -33,9 +33,31 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
     Cuts lineage, and survives the loss of any executor.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, name).keep(df)
+
+
+class Scratch:
+    """Parquet tables of one iteration below the shared checkpoint folder.
+
+    ``keep`` cuts lineage as ``stash`` does. ``forget`` removes every table but the last, once the
+    last has been written and nothing reads the earlier ones any more.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{ensure_checkpoint_dir(self.spark)}/{self.name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def forget(self, all_of_them: bool = False) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        gone, self.paths = (self.paths, []) if all_of_them else (self.paths[:-1], self.paths[-1:])
+        for path in gone:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def shuffle_width(spark: SparkSession, least: int = 1) -> int:

@@ -16,6 +16,29 @@ def test_components_of_a_chain_a_star_and_a_loop(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_by_plain_union(spark):
+    import random
+
+    rng = random.Random(3)
+    ids = rng.sample(range(-(10**12), 10**12), 900)
+    edges = list(zip(ids, ids[1:500])) + [(ids[600], x) for x in ids[500:800]] + [(rng.choice(ids[800:]), rng.choice(ids[800:])) for _ in range(60)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    assert {r["id"]: r["component"] for r in graph.connected_components(df).collect()} == {x: find(x) for x in list(root)}
+    words = spark.createDataFrame([("c", "b"), ("b", "a"), ("z", "z"), ("y", "x")], "a string, b string")
+    assert {r["id"]: r["component"] for r in graph.connected_components(words).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "z"}
+
+
 def test_cpm_sums_to_a_million_and_guards_empty_libraries(spark):
     df = spark.createDataFrame([("a", "s", 1), ("b", "s", 3), ("a", "t", 0), ("b", "t", 0)], "gene string, sample string, n long")
     got = {(r["gene"], r["sample"]): r["cpm"] for r in counts.cpm(df, ["sample"]).collect()}
