@@ -1,15 +1,18 @@
 """Op 9: Jaccard join of word n-gram sets by a grouped prefix join.
 
 1. Documents with equal sets are one class; only classes go on.
-2. Grams are ordered by how many classes hold them, then by hash. Each block of classes asks for the
-   counts of its grams, bucket by bucket, so a frequent gram is one entry a block, never one a document.
+2. Grams are ordered by how many classes hold them, then by hash. Each block of documents asks for the
+   counts of its classes' grams, bucket by bucket, so a frequent gram is one entry a block, never one a
+   document.
 3. Two sets that reach the threshold share a gram of their prefixes. Classes with equal prefixes and
-   size are one group; groups that share a prefix gram are candidates, and belong to one cluster.
-4. Clusters, in blocks of bounded size, are verified exactly: group pairs are filtered by size and by
-   shared prefix grams, members are expanded and their sets intersected. Pairs that links have already
-   connected need no further look, so a cluster of near copies costs about one comparison a member.
-   Clusters of several blocks go on with one leader for each part, then with all pairs of blocks that
-   still hold different parts.
+   size are one group; only groups have postings, and grams that one class alone holds have none.
+4. Groups that share a gram are filtered by size, members are expanded and their sets intersected. Pairs
+   that links have already connected need no further look: classes first meet at the smallest of their
+   grams only, then one leader for each part does, as long as units have to be cut, and what is still
+   apart meets at every gram whose posting holds different parts, each pair at its first common gram.
+   Every unit is a bounded number of classes.
+
+Grams are compared by 64-bit hashes of their words, never by the words.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenfold.llm.common import WordHashes, ngram_hashes, slices
+from screenfold.llm.common import distinct_each, pack_counts, pack_sorted, slices, unpack_counts, unpack_sorted, windows, word_hashes
 from screenfold.operators.graph import connected_components
 from screenfold.plans.session import shuffle_width, stash
 
@@ -45,13 +48,18 @@ class Threshold:
         return self.den * shared >= self.num * (a + b - shared)
 
 
-_caches: dict[int, WordHashes] = {}
+#: Classes that meet in one unit, and words of a block of documents.
+MOST, BLOCK_WORDS = 512, 400_000
 
 
-def gram_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct gram hashes of a whole text with A-Z lower-cased; empty without words."""
-    hashes = _caches.setdefault(0, WordHashes())
-    return np.unique(ngram_hashes(hashes.of([] if not text else text.encode("utf-8", "surrogatepass").lower().split()), n))
+def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Ascending distinct gram hashes of each whole text with A-Z lower-cased; empty without words."""
+    grams, at = distinct_each(*windows(*word_hashes(texts), n))
+    return [grams[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+def _set_key(grams: np.ndarray) -> str | None:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).hexdigest() if len(grams) else None
 
 
 def set_keys(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,50 +68,73 @@ def set_keys(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches):
         for b in slices(batches):
-            sets = [gram_set(t, n) for t in b.column(1).to_pylist()]
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(keys, type=pa.string())], ["id", "size", "key"])
+            sets = gram_sets(b.column(1), n)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([_set_key(s) for s in sets], type=pa.string())], ["id", "size", "key"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, size long, key string")
 
 
-def _ranked(classes: DataFrame, rule: Threshold, buckets: int, blocks: int) -> DataFrame:
+def _ranked(texts: DataFrame, classes: DataFrame, rule: Threshold, buckets: int, blocks: int) -> DataFrame:
     """(cid, size, gid, prefix, grams) of the classes whose prefix holds a gram of another class.
 
-    ``classes`` is (cid, text). Grams are counted by 32 bits of their hash, which orders them the same
-    way everywhere; equality is always of all 64.
+    ``texts`` is (id, text), ``classes`` (cid, rep, key): a class is read from the row of its id ``rep``,
+    where ids repeat from one whose set has its key. Grams are counted by 32 bits of their hash, which
+    orders them the same way everywhere; equality is always of all 64.
     """
-    block = F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int")
-    docs = classes.select("cid", "text", block.alias("block"))
-
-    def distinct32(texts: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        sets = [gram_set(t, rule.n) for t in texts]
-        low, times = np.unique((np.concatenate(sets) >> np.uint64(32)).astype(np.uint32), return_counts=True)
-        cuts = np.searchsorted(low, ((np.arange(1, buckets, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets)).astype(np.uint32))
-        return sets, low, np.minimum(times, 255).astype(np.uint8), cuts
-
-    def ask(key, rows):
-        _, low, times, cuts = distinct32(rows.column("text").to_pylist())
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias("block")
+    texts = texts.select("id", "text", block("id"))
+    named = classes.select(F.col("rep").alias("id"), "cid", "key", block("rep"))
+    edges = ((np.arange(1, buckets, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets)).astype(np.uint32)
+
+    def sets_of(rows, ids, cids, keys):
+        """(cid, grams) of the block's classes, and their distinct 32-bit grams with counts and cuts."""
+        wanted: dict = {}
+        for i, c, k in zip(ids, cids, keys):
+            wanted.setdefault(i, {})[k] = c
+        own = rows.column("id").to_pylist()
+        many = {i for i in own if i is None} | {i for i in wanted if len(wanted[i]) > 1}
+        if len(set(own)) < len(own):
+            seen: set = set()
+            many |= {i for i in own if i in seen or seen.add(i)}
+        at = [k for k, i in enumerate(own) if i in wanted]
+        sets = []
+        for part in slices(rows.select(["text"]).take(pa.array(at, pa.int64())).combine_chunks().to_batches()):
+            sets += gram_sets(part.column(0), rule.n)
+        out = []
+        for k, grams in zip(at, sets):
+            of = wanted[own[k]]
+            if own[k] not in many:
+                out.append((next(iter(of.values())), grams))
+            elif (c := of.pop(_set_key(grams), None)) is not None:
+                out.append((c, grams))
+        flat = np.concatenate([g for _, g in out]) if out else np.zeros(0, np.uint64)
+        low, times = np.unique((flat >> np.uint64(32)).astype(np.uint32), return_counts=True)
+        return out, low, times, np.searchsorted(low, edges)
+
+    def ask(key, rows, got):
+        _, low, times, cuts = sets_of(rows, *(got.column(c).to_pylist() for c in ("id", "cid", "key")))
         parts, own = np.split(low, cuts), np.split(times, cuts)
         keep = [i for i, x in enumerate(parts) if len(x)]
-        binary = lambda v: pa.array([v[i].tobytes() for i in keep], pa.binary())
-        return pa.table({"block": pa.array([key[0].as_py()] * len(keep), pa.int32()), "bucket": pa.array(keep, pa.int32()), "asked": binary(parts), "times": binary(own)})
+        return pa.table({"block": pa.array([key[0].as_py()] * len(keep), pa.int32()), "bucket": pa.array(keep, pa.int32()), "asked": pa.array([pack_sorted(parts[i].astype(np.uint64), 4) for i in keep], pa.binary()), "times": pa.array([pack_counts(own[i]) for i in keep], pa.binary())})
 
     def answer(key, rows):
-        asked = [np.frombuffer(x, np.uint32) for x in rows.column("asked").to_pylist()]
+        asked = [unpack_sorted(x, 4).astype(np.uint32) for x in rows.column("asked").to_pylist()]
         grams, at = np.unique(np.concatenate(asked), return_inverse=True)
-        times = np.frombuffer(b"".join(rows.column("times").to_pylist()), np.uint8)
-        few = np.minimum(np.bincount(at, times), 255).astype(np.uint8)
-        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "counts": pa.array([few[np.searchsorted(grams, a)].tobytes() for a in asked], pa.binary())})
+        times = np.concatenate([unpack_counts(x, len(a)) for x, a in zip(rows.column("times").to_pylist(), asked)])
+        sums = np.bincount(at, times)
+        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "counts": pa.array([pack_counts(sums[np.searchsorted(grams, a)]) for a in asked], pa.binary())})
 
     def order(key, rows, got):
-        sets, low, _, _ = distinct32(rows.column("text").to_pylist())
-        parts = sorted(zip(got.column("bucket").to_pylist(), got.column("counts").to_pylist()))
-        counts = np.frombuffer(b"".join(p for _, p in parts), np.uint8)
+        answers = got.filter(got.column("bucket").is_valid())
+        got = got.filter(got.column("cid").is_valid())
+        sets, low, _, cuts = sets_of(rows, *(got.column(c).to_pylist() for c in ("id", "cid", "key")))
+        held_in = np.diff(cuts, prepend=0, append=len(low))
+        parts = sorted(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()))
+        counts = np.concatenate([unpack_counts(raw, held_in[k]) for k, raw in parts] or [np.zeros(0)])
         out: dict[str, list] = {c: [] for c in ("cid", "size", "gid", "prefix", "grams")}
-        for cid, grams in zip(rows.column("cid").to_pylist(), sets):
+        for cid, grams in sets:
             held = counts[np.searchsorted(low, (grams >> np.uint64(32)).astype(np.uint32))]
-            first = np.lexsort((grams, held))[: rule.prefix(len(grams))]
+            first = np.argsort(held, kind="stable")[: rule.prefix(len(grams))]
             shared = grams[first][held[first] > 1]
             if len(shared):
                 gid = hashlib.blake2b(grams[first].tobytes() + len(grams).to_bytes(8, "little"), digest_size=8).digest()
@@ -111,16 +142,18 @@ def _ranked(classes: DataFrame, rule: Threshold, buckets: int, blocks: int) -> D
                     out[c].append(v)
         return pa.table({"cid": pa.array(out["cid"], pa.int64()), "size": pa.array(out["size"], pa.int64()), "gid": pa.array(out["gid"], pa.int64()), "prefix": pa.array(out["prefix"], pa.list_(pa.int64())), "grams": pa.array(out["grams"], pa.binary())})
 
-    asked = docs.groupBy("block").applyInArrow(ask, "block int, bucket int, asked binary, times binary")
+    asked = texts.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(ask, "block int, bucket int, asked binary, times binary")
     answers = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, counts binary")
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(order, "cid long, size long, gid long, prefix array<long>, grams binary")
+    both = answers.unionByName(named, allowMissingColumns=True)
+    return texts.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(order, "cid long, size long, gid long, prefix array<long>, grams binary")
 
 
-def spanning_links(cids, comps, sides, gids, prefixes, grams, rule: Threshold) -> list[tuple[int, int]]:
-    """Links that connect what the threshold connects among these classes, and no more than needed.
+def unit_links(cids, comps, sides, gids, prefixes, grams, rule: Threshold, at: int | None = None, every: bool = False) -> list[tuple[int, int]]:
+    """Links among the classes of one unit: those that connect what the threshold connects and no more
+    than needed, or ``every`` one.
 
     ``comps``: parts already connected. ``sides``: pairs are looked at only across different sides,
-    unless all are on side 0.
+    unless all are on side 0. ``at``: pairs are looked at only where this is their smallest common gram.
     """
     root = {c: c for c in comps}
 
@@ -133,23 +166,24 @@ def spanning_links(cids, comps, sides, gids, prefixes, grams, rule: Threshold) -
     groups: dict[int, list[int]] = {}
     for i, g in enumerate(gids):
         groups.setdefault(g, []).append(i)
+    held = {g: set(prefixes[members[0]]) for g, members in groups.items()}
     index: dict[int, list[int]] = {}
     size = [len(g) for g in grams]
-    for g, members in groups.items():
-        for t in {t for i in members for t in prefixes[i]}:
+    for g, ts in held.items():
+        for t in ts if at is None else (at,):
             index.setdefault(t, []).append(g)
     two_sided = any(sides)
     done, links = set(), []
     for g in groups:
-        near = {h for i in groups[g] for t in prefixes[i] for h in index[t] if h not in done}
-        near = [h for h in near if rule.sizes_fit(size[groups[g][0]], size[groups[h][0]])]
+        near = {h for t in (held[g] if at is None else (at,)) for h in index[t] if h not in done}
+        near = [h for h in near if rule.sizes_fit(size[groups[g][0]], size[groups[h][0]]) and (at is None or min(held[g] & held[h]) == at)]
         for h in sorted(near):
             for i in groups[g]:
                 for j in groups[h]:
                     if (h == g and j <= i) or (two_sided and sides[i] == sides[j]):
                         continue
                     a, b = find(comps[i]), find(comps[j])
-                    if a == b:
+                    if a == b and not every:
                         continue
                     shared = len(np.intersect1d(grams[i], grams[j], assume_unique=True))
                     if rule.holds(shared, size[i], size[j]):
@@ -159,79 +193,121 @@ def spanning_links(cids, comps, sides, gids, prefixes, grams, rule: Threshold) -
     return links
 
 
-def _verify(ranked: DataFrame, units: DataFrame, rule: Threshold, bins: int) -> DataFrame:
-    """Links (a, b) within each unit; ``units`` is (cid, unit, comp, side), a unit bounded in size."""
+def _verify(ranked: DataFrame, units: DataFrame, rule: Threshold, bins: int, every: bool = False) -> DataFrame:
+    """Links (a, b) within each unit; ``units`` is (cid, unit, comp, side, at), a unit bounded in size."""
 
     def run(key, rows):
-        got = rows.to_pandas()
+        at_of = rows.column("at").to_pylist()
+        got = rows.drop_columns(["at"]).to_pandas()
         a, b = [], []
         for _, u in got.groupby("unit", sort=True):
             if len(u) > 1:
                 u = u.sort_values("cid")
                 grams = [np.frombuffer(x, np.uint64) for x in u["grams"]]
-                for x, y in spanning_links(u["cid"].tolist(), u["comp"].tolist(), u["side"].tolist(), u["gid"].tolist(), [p.tolist() for p in u["prefix"]], grams, rule):
+                for x, y in unit_links(u["cid"].tolist(), u["comp"].tolist(), u["side"].tolist(), u["gid"].tolist(), [p.tolist() for p in u["prefix"]], grams, rule, at_of[u.index[0]], every):
                     a.append(x), b.append(y)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    rows = ranked.join(units, "cid").select("cid", "unit", "comp", "side", "gid", "prefix", "grams", F.pmod(F.xxhash64("unit"), F.lit(bins)).cast("int").alias("bin"))
+    rows = ranked.join(units, "cid").select("cid", "unit", "comp", "side", "at", "gid", "prefix", "grams", F.pmod(F.xxhash64("unit"), F.lit(bins)).cast("int").alias("bin"))
     return rows.groupBy("bin").applyInArrow(run, "a long, b long")
 
 
 def _parts(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(cid, cluster, comp): each member with the part that links have put it in."""
+    """``members`` with comp, the part that links have put each class in."""
     comps = connected_components(links)
-    return members.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").select("cid", "cluster", F.coalesce("component", "cid").alias("comp"))
+    return members.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
 
 
-def _splits(members: DataFrame, by: list[str], most: int) -> DataFrame:
-    return members.groupBy(*by).agg(F.count("*").alias("m")).withColumn("k", F.ceil(F.col("m") / most).cast("long"))
+def _units(rows: DataFrame, most: int, step: int) -> DataFrame:
+    """Units of at most about ``most`` of the classes that share ``meet``; ``rows`` is (cid, meet, comp)."""
+    split = rows.groupBy("meet").agg(F.count("*").alias("m")).where("m > 1").withColumn("k", F.ceil(F.col("m") / most).cast("long"))
+    cut = F.xxhash64("meet", F.lit(step), F.pmod(F.xxhash64("cid", F.lit(step)), F.col("k")))
+    return rows.join(split, "meet").select("cid", cut.alias("unit"), "comp", F.lit(0).alias("side"), F.lit(None).cast("long").alias("at"), (F.col("k") > 1).alias("cut"))
 
 
-def class_links(classes: DataFrame, rule: Threshold, total_grams: int, total: int, most: int = 512) -> DataFrame:
-    """Links (a, b) between class ids that connect exactly what the threshold connects."""
-    spark = classes.sparkSession
-    width = shuffle_width(spark)
-    buckets = max(16, min(width, 64), total_grams // 4_000_000)
-    blocks = max(16, total // 1000)
-    bins = lambda n: max(8, n // 2000)
-    ranked = stash(_ranked(classes, rule, buckets, blocks), "ranked")
-    posts = ranked.select("gid", F.explode("prefix").alias("gram"))
-    heads = posts.groupBy("gram").agg(F.min("gid").alias("head"), F.count("*").alias("n")).where("n > 1")
-    near = posts.join(heads, "gram").select(F.col("gid").alias("a"), F.col("head").alias("b")).distinct()
-    clusters = connected_components(near).select(F.col("id").alias("gid"), F.col("component").alias("cluster"))
-    members = stash(ranked.select("cid", "gid").join(clusters, "gid").select("cid", "cluster"), "members")
-    split = _splits(members, ["cluster"], most)
-    units = members.join(split.where("m > 1"), "cluster").select("cid", F.xxhash64("cluster", F.pmod(F.xxhash64("cid"), F.col("k"))).alias("unit"), F.col("cid").alias("comp"), F.lit(0).alias("side"))
-    links = stash(_verify(ranked, units, rule, bins(total)), "links")
-    big = stash(split.where("k > 1"), "big")
-    if big.isEmpty():
-        return links
-    rest = members.join(big.select("cluster"), "cluster", "left_semi")
-    # a leader for each part
-    leaders = _parts(rest, links).where("cid = comp")
-    sizes = _splits(leaders, ["cluster"], most)
-    units = leaders.join(sizes, "cluster").select("cid", F.xxhash64("cluster", F.lit(1), F.pmod(F.xxhash64("cid"), F.col("k"))).alias("unit"), "comp", F.lit(0).alias("side"))
-    links = stash(links.unionByName(_verify(ranked, units, rule, bins(total))), "links")
-    # what is still apart: all pairs of blocks, a part's members side by side, but not of one part with itself
-    parts = _parts(rest, links)
-    apart = parts.groupBy("cluster").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cluster")
-    parts = stash(parts.join(apart, "cluster", "left_semi"), "parts")
-    if parts.isEmpty():
-        return links
-    sized = _splits(parts, ["cluster", "comp"], most)
-    small = sized.where(F.col("m") < most).groupBy("cluster").agg(F.ceil(F.sum("m") / most).cast("long").alias("few"))
-    sized = sized.join(small, "cluster", "left")
+def _meetings(ranked: DataFrame, posts: DataFrame, parts: DataFrame, rule: Threshold, most: int) -> DataFrame:
+    """Units in which classes of different parts meet: (cid, unit, comp, side, at).
+
+    For each gram whose posting holds several parts, its classes are dealt into blocks: by size band,
+    as sets of distant sizes cannot link, and a large part by itself, as it need not meet itself. All
+    pairs of blocks of equal or neighbouring bands meet.
+    """
+    rows = posts.join(parts.select("gid", "cid", "comp", "size"), "gid").select("gram", "cid", "comp", "size")
+    mixed = rows.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram")
+    band = F.floor(F.log("size") / F.lit(float(np.log(rule.den / rule.num)) * 1.000001)).cast("int")
+    rows = stash(rows.join(mixed, "gram", "left_semi").withColumn("band", band), "apart")
+    by = ["gram", "band", "comp"]
+    sized = rows.groupBy(*by).agg(F.count("*").alias("m")).withColumn("k", F.ceil(F.col("m") / most).cast("long"))
+    few = sized.where(F.col("m") < most).groupBy("gram", "band").agg(F.ceil(F.sum("m") / most).cast("long").alias("few"))
     large = F.col("m") >= most
-    spread = parts.join(sized, ["cluster", "comp"])
     block = F.when(large, F.xxhash64("comp", F.pmod(F.xxhash64("cid"), F.col("k")))).otherwise(F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("comp"), F.col("few"))))
-    spread = stash(spread.select("cid", "cluster", "comp", block.alias("block"), F.when(large, F.col("comp")).alias("whole")), "spread")
-    kinds = spread.select("cluster", "block", "whole").distinct()
-    l, r = kinds.alias("l"), kinds.alias("r")
-    pairs = l.join(r, (F.col("l.cluster") == F.col("r.cluster")) & (F.col("l.block") <= F.col("r.block"))).where(F.col("l.whole").isNull() | F.col("r.whole").isNull() | (F.col("l.whole") != F.col("r.whole")))
-    pairs = pairs.select(F.col("l.cluster").alias("cluster"), F.col("l.block").alias("i"), F.col("r.block").alias("j")).withColumn("unit", F.xxhash64("cluster", "i", "j"))
-    sided = pairs.select("cluster", F.col("i").alias("block"), "unit", F.lit(0).alias("side")).unionAll(pairs.where("i <> j").select("cluster", F.col("j").alias("block"), "unit", F.lit(1).alias("side")))
-    units = spread.join(sided, ["cluster", "block"]).select("cid", "unit", "comp", "side")
-    return links.unionByName(stash(_verify(ranked, units, rule, 4 * bins(total)), "links"))
+    dealt = stash(rows.join(sized, by).join(few, ["gram", "band"], "left").select("gram", "band", "cid", "comp", block.alias("block"), F.when(large, F.col("comp")).alias("whole")), "dealt")
+    kinds = dealt.select("gram", "band", "block", "whole").distinct()
+    # each block meets itself, later ones of its band and all of the next band
+    left = kinds.withColumn("next", F.explode(F.array("band", F.col("band") + 1)))
+    right = kinds.select("gram", F.col("band").alias("next"), F.col("block").alias("other"), F.col("whole").alias("other_whole"))
+    pairs = left.join(right, ["gram", "next"]).where((F.col("next") > F.col("band")) | (F.col("block") <= F.col("other")))
+    pairs = pairs.where(F.col("whole").isNull() | F.col("other_whole").isNull() | (F.col("whole") != F.col("other_whole")))
+    pairs = pairs.withColumn("unit", F.xxhash64("gram", "band", "block", "next", "other"))
+    same = (F.col("band") == F.col("next")) & (F.col("block") == F.col("other"))
+    sided = pairs.select("gram", "band", "block", "unit", F.lit(0).alias("side")).unionAll(pairs.where(~same).select("gram", F.col("next").alias("band"), F.col("other").alias("block"), "unit", F.lit(1).alias("side")))
+    return dealt.join(sided, ["gram", "band", "block"]).select("cid", "unit", "comp", "side", F.col("gram").alias("at"))
+
+
+def class_links(texts: DataFrame, classes: DataFrame, rule: Threshold, total_grams: int, total: int, most: int = MOST, every: bool = False) -> DataFrame:
+    """Links (a, b) between class ids: those that connect exactly what the threshold connects, or with
+    ``every`` all pairs of classes that reach it."""
+    width = shuffle_width(texts.sparkSession)
+    buckets = max(16, min(width, 64), total_grams // 4_000_000)
+    blocks = max(16, total_grams // BLOCK_WORDS)
+    bins = max(8, total // 2000)
+    ranked = stash(_ranked(texts, classes, rule, buckets, blocks), "ranked")
+    groups = ranked.groupBy("gid").agg(F.first("prefix").alias("prefix"), F.count("*").alias("n"))
+    posts = groups.select("gid", "n", F.explode("prefix").alias("gram"))
+    common = posts.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    posts = stash(posts.select("gid", "gram").join(common, "gram", "left_semi"), "posts")
+    meet = posts.groupBy("gid").agg(F.min("gram").alias("meet"))
+    members = stash(ranked.select("cid", "gid", "size").join(meet, "gid"), "members")
+    if every:
+        parts = members.withColumn("comp", F.col("cid"))
+        return stash(_verify(ranked, _meetings(ranked, posts, parts, rule, most), rule, 4 * bins, True), "links").distinct()
+    units = stash(_units(members.withColumn("comp", F.col("cid")), most, 0), "units")
+    links = stash(_verify(ranked, units.drop("cut"), rule, bins), "links")
+    parts, step, before = stash(_parts(members, links), "parts"), 0, None
+    while True:
+        # what had to be cut: one leader of each part of the cut units
+        cut = units.where("cut").select("cid").join(parts.where("cid = comp").select("cid", "meet", "comp"), "cid")
+        left = cut.count()
+        if not left or (before is not None and left > 0.9 * before):
+            break
+        before, step = left, step + 1
+        units = stash(_units(cut, most, step), f"units-{step}")
+        links = stash(links.unionByName(_verify(ranked, units.drop("cut"), rule, bins)), "links")
+        parts = stash(_parts(members, links), "parts")
+    meetings = _meetings(ranked, posts, parts, rule, most)
+    return links.unionByName(stash(_verify(ranked, meetings, rule, 4 * bins), "links"))
+
+
+def _classes(docs: DataFrame, rule: Threshold, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
+    """Light rows (id, size, key), classes (cid, key, rep, size), texts (id, text), and totals of grams and classes."""
+    light = stash(set_keys(docs, rule.n, id_col, text_col), "sets")
+    found = light.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.max("size").alias("size"))
+    classes = stash(found.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    row = classes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("grams"), F.count("*").alias("n")).first()
+    return light, classes, docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), int(row["grams"]), int(row["n"])
+
+
+def similar_pairs(docs: DataFrame, rule: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, (a, b) with a < b, and (id, class_id) of every document.
+
+    A pair stands for its classes: documents of equal sets share the class id, their smallest id, and
+    are not expanded. Documents without words have a null class.
+    """
+    light, classes, texts, grams, n = _classes(docs, rule, id_col, text_col)
+    links = class_links(texts, classes, rule, grams, n, every=True)
+    reps = classes.select("cid", "rep")
+    pairs = links.join(reps.toDF("a", "ra"), "a").join(reps.toDF("b", "rb"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    return pairs, light.join(classes.select("key", "rep"), "key", "left").select(F.col("id").alias(id_col), F.col("rep").alias("class_id"))
 
 
 def near_classes(docs: DataFrame, rule: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,16 +316,11 @@ def near_classes(docs: DataFrame, rule: Threshold = Threshold(), id_col: str = "
     component_id is the smallest id reachable by links. A null or empty text, or one without words,
     has no grams and is linked with nothing; a text of fewer than n words is one gram. Equal texts are
     linked whatever their number. A row without an id belongs to its text's component, null if it is
-    alone. Other columns are not read; an empty table gives an empty one.
+    alone. Very long texts are hashed piece by piece. Other columns are not read; an empty table gives
+    an empty one.
     """
-    light = stash(set_keys(docs, rule.n, id_col, text_col), "sets")
-    found = light.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.max("size").alias("size"))
-    classes = stash(found.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    row = classes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("grams"), F.count("*").alias("n")).first()
-    # where ids are unique, one row of each class has its smallest id
-    firsts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(classes.select("rep", "cid", "size"), "rep")
-    texts = _by_key(docs, classes, rule, id_col, text_col) if _repeats(light) else firsts.select("cid", "text")
-    links = class_links(texts, rule, int(row["grams"]), int(row["n"]))
+    light, classes, texts, grams, n = _classes(docs, rule, id_col, text_col)
+    links = class_links(texts, classes, rule, grams, n)
     comps = connected_components(links).select(F.col("id").alias("cid"), "component")
     named = classes.join(comps, "cid", "left").select("key", "rep", F.coalesce("component", "cid").alias("root"))
     low = named.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -258,24 +329,6 @@ def near_classes(docs: DataFrame, rule: Threshold = Threshold(), id_col: str = "
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _repeats(light: DataFrame) -> bool:
-    """Whether any id is null or occurs on more than one row."""
-    return not light.groupBy("id").count().where("count > 1 or id is null").isEmpty()
-
-
-def _by_key(docs: DataFrame, classes: DataFrame, rule: Threshold, id_col: str, text_col: str) -> DataFrame:
-    """Texts of classes found by their sets, for tables in which ids repeat with different texts."""
-
-    def run(batches):
-        for b in slices(batches):
-            sets = [gram_set(t, rule.n) for t in b.column(0).to_pylist()]
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, type=pa.string())], ["text", "key"])
-
-    texts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "text string, key string").where("key is not null").groupBy("key").agg(F.min("text").alias("text"))
-    return texts.join(classes.select("key", "cid"), "key").select("cid", "text")
-
-
 def one_of_each(docs: DataFrame, rule: Threshold, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component: that with its smallest id.
 

@@ -15,11 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenfold.llm.common import WordHashes, mix64
+from screenfold.llm.common import mix64, pack_counts, pack_sorted, slices, unpack_counts, unpack_sorted, word_hashes
 from screenfold.llm.mixing import word_count
 from screenfold.plans.session import shuffle_width
 
-_hashes = WordHashes()
 #: Bits of a gram's hash. Of n distinct grams about n / 2**48 share theirs with another.
 BITS = 48
 
@@ -32,46 +31,13 @@ class Smoothing:
     mass: float = 50.0
 
 
-def text_grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of a whole text, and of the pairs of neighbours."""
-    words = _hashes.of(text.encode("utf-8", "surrogatepass").lower().split() if text else [])
+def text_grams(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the lower-cased words of each whole text, and of the pairs of neighbours."""
+    words, at = word_hashes(texts)
     with np.errstate(over="ignore"):
-        pairs = mix64(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + mix64(words[1:] + np.uint64(1)))
-    return words >> np.uint64(64 - BITS), pairs >> np.uint64(64 - BITS)
-
-
-def pack_grams(grams: np.ndarray) -> bytes:
-    """Ascending hashes as differences, byte plane by byte plane: the high planes are nearly all zero
-    and leave little for the shuffle after its compression."""
-    gaps = np.diff(grams, prepend=np.uint64(0)).astype("<u8")
-    return gaps.view(np.uint8).reshape(-1, 8)[:, : BITS // 8].T.tobytes()
-
-
-def unpack_grams(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(BITS // 8, -1)
-    gaps = np.zeros((planes.shape[1], 8), np.uint8)
-    gaps[:, : BITS // 8] = planes.T
-    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
-
-
-def pack(counts: np.ndarray) -> bytes:
-    """Whole counts, exactly: a byte each below 255, after these two bytes for each that is not, and
-    after those eight for each that does not fit two."""
-    counts = np.asarray(counts, np.float64).astype("<u8")
-    more = counts[counts >= 255]
-    most = more[more >= 65535]
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + np.minimum(more, 65535).astype("<u2").tobytes() + most.tobytes()
-
-
-def unpack(raw: bytes, n: int | None = None) -> np.ndarray:
-    """Counts of ``pack``; ``n`` tells how many, where some may be over 254."""
-    n = len(raw) if n is None else n
-    counts = np.frombuffer(raw, np.uint8, n).astype(np.float64)
-    large = np.flatnonzero(counts == 255)
-    counts[large] = np.frombuffer(raw, "<u2", len(large), n)
-    largest = large[counts[large] == 65535]
-    counts[largest] = np.frombuffer(raw, "<u8", len(largest), n + 2 * len(large))
-    return counts
+        pairs = mix64(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + mix64(words[1:] + np.uint64(1))) >> np.uint64(64 - BITS)
+    words = words >> np.uint64(64 - BITS)
+    return [(words[i:j], pairs[i : max(i, j - 1)]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def ratio(target: np.ndarray, background: np.ndarray, match: float, add: float) -> np.ndarray:
@@ -101,22 +67,22 @@ def document_score(words, pairs, counts, is_target: bool, match: float, smooth:
     return float(loss.mean())
 
 
-def score(docs: DataFrame, labels: DataFrame, smooth: Smoothing = Smoothing(), block_docs: int = 1000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, smooth: Smoothing = Smoothing(), block_words: int = 400_000) -> DataFrame:
     """(doc_id, n_tokens, score, selected) of every row.
 
     ``score`` is in nats a token and positive where the target explains a text better than the
     background; ``selected`` says so. Null and empty texts have no tokens and score 0. Labels with a
     null id or quality are ignored, and of several for an id the lowest counts; without good labels
-    every score is 0. Repeated rows are documents of their own and get equal scores; other columns are
+    every score is 0. Very long texts are hashed piece by piece. Repeated rows are documents of their own and get equal scores; other columns are
     not read; an empty table gives an empty one.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").cast(kind).alias("doc_id"))
     sizes = docs.select("doc_id", word_count().alias("n"))
-    every = sizes.agg(F.count("*").alias("docs"), F.sum("n").alias("words")).first()
+    every = sizes.agg(F.sum("n").alias("words")).first()
     target = sizes.join(good, "doc_id", "left_semi").agg(F.sum("n").alias("words")).first()["words"] or 0
     match = target / every["words"] if every["words"] else 0.0
-    blocks = max(16, every["docs"] // block_docs)
+    blocks = max(16, (every["words"] or 0) // block_words)
     buckets = max(16, min(shuffle_width(docs.sparkSession), 64), 2 * (every["words"] or 0) // 8_000_000)
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
     texts = docs.select("doc_id", "text", block)
@@ -125,7 +91,7 @@ def score(docs: DataFrame, labels: DataFrame, smooth: Smoothing = Smoothing(), b
 
     def grams_of(rows):
         """Grams of each document, and the distinct grams of all, in order."""
-        each = [text_grams(t) for t in rows.column("text").to_pylist()]
+        each = [g for part in slices(rows.select(["text"]).combine_chunks().to_batches()) for g in text_grams(part.column(0))]
         flat = [g for pair in each for g in pair]
         return each, np.unique(np.concatenate(flat)) if flat else np.zeros(0, np.uint64)
 
@@ -143,16 +109,16 @@ def score(docs: DataFrame, labels: DataFrame, smooth: Smoothing = Smoothing(), b
         cuts = np.searchsorted(grams, edges)
         parts = list(zip(np.split(grams, cuts), np.split(total, cuts), np.split(chosen, cuts)))
         keep = [i for i, p in enumerate(parts) if len(p[0])]
-        binary = lambda k: pa.array([pack(parts[i][k]) for i in keep], pa.binary())
-        packed = pa.array([pack_grams(parts[i][0]) for i in keep], pa.binary())
+        binary = lambda k: pa.array([pack_counts(parts[i][k]) for i in keep], pa.binary())
+        packed = pa.array([pack_sorted(parts[i][0], BITS // 8) for i in keep], pa.binary())
         return pa.table({"block": pa.array([key[0].as_py()] * len(keep), pa.int32()), "bucket": pa.array(keep, pa.int32()), "grams": packed, "total": binary(1), "chosen": binary(2)})
 
     def answer(key, rows):
-        asked = [unpack_grams(x) for x in rows.column("grams").to_pylist()]
+        asked = [unpack_sorted(x, BITS // 8) for x in rows.column("grams").to_pylist()]
         grams, at = np.unique(np.concatenate(asked), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([unpack(x, len(a)) for x, a in zip(rows.column(c).to_pylist(), asked)])) for c in ("total", "chosen")]
+        sums = [np.bincount(at, np.concatenate([unpack_counts(x, len(a)) for x, a in zip(rows.column(c).to_pylist(), asked)])) for c in ("total", "chosen")]
         where = [np.searchsorted(grams, a) for a in asked]
-        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "total": pa.array([pack(sums[0][w]) for w in where], pa.binary()), "chosen": pa.array([pack(sums[1][w]) for w in where], pa.binary())})
+        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "total": pa.array([pack_counts(sums[0][w]) for w in where], pa.binary()), "chosen": pa.array([pack_counts(sums[1][w]) for w in where], pa.binary())})
 
     def finish(key, rows, got):
         each, grams = grams_of(rows)
@@ -160,7 +126,7 @@ def score(docs: DataFrame, labels: DataFrame, smooth: Smoothing = Smoothing(), b
         good_ids = {r["doc_id"] for r in got if r["bucket"] is None}
         parts = sorted((r for r in got if r["bucket"] is not None), key=lambda r: r["bucket"])
         held = np.diff(np.searchsorted(grams, edges), prepend=0, append=len(grams))
-        total, chosen = (np.concatenate([unpack(r[c], held[r["bucket"]]) for r in parts] or [np.zeros(0)]) for c in ("total", "chosen"))
+        total, chosen = (np.concatenate([unpack_counts(r[c], held[r["bucket"]]) for r in parts] or [np.zeros(0)]) for c in ("total", "chosen"))
 
         def counts(g):
             at = np.searchsorted(grams, g)

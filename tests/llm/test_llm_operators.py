@@ -107,7 +107,7 @@ def test_jaccard_components_by_brute_force(spark, most, monkeypatch):
     texts = []
     for g in range(12):
         base = [f"w{rng.integers(0, 400)}" for _ in range(60)]
-        for _ in range(int(rng.integers(1, 12))):
+        for _ in range(int(rng.integers(1, 12)) if g else 40):
             w = list(base)
             for _ in range(int(rng.integers(0, 3))):
                 w[int(rng.integers(0, 60))] = f"v{rng.integers(0, 999)}"
@@ -115,7 +115,7 @@ def test_jaccard_components_by_brute_force(spark, most, monkeypatch):
     texts += ["a b", "a b", "A B", "", "c"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     whole = jaccard.class_links
-    monkeypatch.setattr(jaccard, "class_links", lambda *a: whole(*a, most=most))
+    monkeypatch.setattr(jaccard, "class_links", lambda *a, **k: whole(*a, most=most, **k))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_classes(df).collect()}
     sets = []
     for t in texts:
@@ -129,6 +129,11 @@ def test_jaccard_components_by_brute_force(spark, most, monkeypatch):
                 if a and b and 100 * len(a & b) >= 85 * len(a | b):
                     root[i] = root[j] = min(root[i], root[j])
     assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
+    pairs, members = jaccard.similar_pairs(df)
+    rep = {r["doc_id"]: r["class_id"] for r in members.collect()}
+    assert rep == {i: min((j for j, t in enumerate(sets) if t == s), default=None) if s else None for i, s in enumerate(sets)}
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and rep[i] == i and rep[j] == j and 100 * len(a & b) >= 85 * len(a | b)}
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == sorted(want)
 
 
 def test_language_of_held_out_documents(spark):

@@ -3,12 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from screenfold.llm import language, lm_scores, pages, quality, trees
+from screenfold.llm import common, language, lm_scores, pages, quality, trees
 from screenfold.llm.common import WordHashes
 from screenfold.llm.pieces import PieceCodec
 from screenfold.llm.token_counts import TokenCounter
@@ -83,18 +84,38 @@ def test_language_model_learns_and_rejects():
 
 
 def test_scores_leave_own_counts_out():
-    words, pairs = lm_scores.text_grams("a b a")
+    ((words, pairs),) = lm_scores.text_grams(pa.array(["a b a"]))
     own = {int(w): 0 for w in [*words, *pairs]}
     for w in [*words, *pairs]:
         own[int(w)] += 1
     only = lambda g: (np.array([own[int(x)] for x in g]), np.array([own[int(x)] for x in g]))
     assert lm_scores.document_score(words, pairs, only, True, 1.0, lm_scores.Smoothing()) == 0
-    assert (lm_scores.unpack(lm_scores.pack(np.arange(13))) == np.arange(13)).all()
+
+
+def test_hashes_of_whole_columns_by_plain_loops():
+    texts = [*fuzz(600, 11), None, "", " ", "a" * 5000 + " b " + "A" * 5000, "y" * 1_500_000 + " z " + "w " * 700_000, "Q"]
+    for column in (pa.array(texts), pa.array(texts).slice(7, 200), pa.array([], pa.string()), pa.array([None, ""])):
+        h, at = common.word_hashes(column)
+        grams, begins = common.windows(h, at, 4)
+        sets, cuts = common.distinct_each(grams.copy(), begins)
+        hash_of, word_of = {}, {}
+        for i, t in enumerate(column.to_pylist()):
+            own, words = h[at[i] : at[i + 1]], t.encode().lower().split() if t else []
+            assert len(own) == len(words) and all(hash_of.setdefault(w, x) == x and word_of.setdefault(x, w) == w for w, x in zip(words, own.tolist()))
+            assert (grams[begins[i] : begins[i + 1]] == common.ngram_hashes(own, 4)).all()
+            assert (sets[cuts[i] : cuts[i + 1]] == np.unique(common.ngram_hashes(own, 4))).all()
+        plain, _ = common.word_hashes(column, lower=False)
+        assert len(set(plain.tolist())) == len({w for t in column.to_pylist() if t for w in t.encode().split()})
+
+
+def test_packed_numbers_come_back():
+    v = np.unique(np.random.default_rng(0).integers(0, 1 << 32, 5000).astype(np.uint64))
+    assert (common.unpack_sorted(common.pack_sorted(v, 4), 4) == v).all() and len(common.unpack_sorted(b"", 4)) == 0
 
 
 def test_packed_counts_are_whole():
     for counts in ([], [0], [7, 254, 255, 256, 65534, 65535, 65536, 125_478, 2**32 + 3, 2**50 + 1, 0]):
-        assert lm_scores.unpack(lm_scores.pack(np.array(counts, float)), len(counts)).tolist() == counts
+        assert common.unpack_counts(common.pack_counts(np.array(counts, float)), len(counts)).tolist() == counts
 
 
 def test_page_text():
