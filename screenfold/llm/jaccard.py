@@ -8,9 +8,10 @@
    size are one group; only groups have postings, and grams that one class alone holds have none.
 4. Groups that share a gram are filtered by size, members are expanded and their sets intersected. Pairs
    that links have already connected need no further look: classes first meet at the smallest of their
-   grams only, then one leader for each part does, as long as units have to be cut, and what is still
-   apart meets at every gram whose posting holds different parts, each pair at its first common gram.
-   Every unit is a bounded number of classes.
+   grams only, then one leader for each part does, as long as units have to be cut. What is still apart
+   at some gram meets by families of bounded size; classes of larger families meet at every gram whose
+   posting holds different parts, each pair at its first common gram. Every unit is a bounded number
+   of classes.
 
 Grams are compared by 64-bit hashes of their words, never by the words.
 """
@@ -225,17 +226,38 @@ def _units(rows: DataFrame, most: int, step: int) -> DataFrame:
     return rows.join(split, "meet").select("cid", cut.alias("unit"), "comp", F.lit(0).alias("side"), F.lit(None).cast("long").alias("at"), (F.col("k") > 1).alias("cut"))
 
 
-def _meetings(ranked: DataFrame, posts: DataFrame, parts: DataFrame, rule: Threshold, most: int) -> DataFrame:
+def _apart(posts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(gram, gid, cid, comp, size) of the classes at grams whose posting holds several parts."""
+    rows = posts.join(parts.select("gid", "cid", "comp", "size"), "gid")
+    mixed = rows.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram")
+    return rows.join(mixed, "gram", "left_semi").select("gram", "gid", "cid", "comp", "size")
+
+
+def _families(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Units of whole families, as far as these have at most ``most`` classes, and the rows of the rest.
+
+    A family is what the grams of ``rows`` connect: its classes meet once, not at every gram.
+    """
+    heads = rows.groupBy("gram").agg(F.min("gid").alias("head"))
+    near = rows.select("gram", "gid").distinct().join(heads, "gram").select("gid", "head").distinct()
+    families = connected_components(near, "gid", "head").select(F.col("id").alias("gid"), F.col("component").alias("family"))
+    held = rows.select("gid", "cid", "comp").distinct().join(families, "gid")
+    sizes = held.groupBy("family").agg(F.count("*").alias("m"))
+    small = held.join(sizes.where(F.col("m") <= most), "family")
+    units = small.select("cid", F.col("family").alias("unit"), "comp", F.lit(0).alias("side"), F.lit(None).cast("long").alias("at"))
+    large = families.join(sizes.where(F.col("m") > most), "family", "left_semi").select("gid")
+    return units, rows.join(large, "gid", "left_semi")
+
+
+def _meetings(rows: DataFrame, rule: Threshold, most: int) -> DataFrame:
     """Units in which classes of different parts meet: (cid, unit, comp, side, at).
 
-    For each gram whose posting holds several parts, its classes are dealt into blocks: by size band,
-    as sets of distant sizes cannot link, and a large part by itself, as it need not meet itself. All
-    pairs of blocks of equal or neighbouring bands meet.
+    The classes of each gram are dealt into blocks: by size band, as sets of distant sizes cannot link,
+    and a large part by itself, as it need not meet itself. All pairs of blocks of equal or
+    neighbouring bands meet.
     """
-    rows = posts.join(parts.select("gid", "cid", "comp", "size"), "gid").select("gram", "cid", "comp", "size")
-    mixed = rows.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram")
     band = F.floor(F.log("size") / F.lit(float(np.log(rule.den / rule.num)) * 1.000001)).cast("int")
-    rows = stash(rows.join(mixed, "gram", "left_semi").withColumn("band", band), "apart")
+    rows = rows.select("gram", "cid", "comp", band.alias("band"))
     by = ["gram", "band", "comp"]
     sized = rows.groupBy(*by).agg(F.count("*").alias("m")).withColumn("k", F.ceil(F.col("m") / most).cast("long"))
     few = sized.where(F.col("m") < most).groupBy("gram", "band").agg(F.ceil(F.sum("m") / most).cast("long").alias("few"))
@@ -269,8 +291,10 @@ def class_links(texts: DataFrame, classes: DataFrame, rule: Threshold, total_gra
     meet = posts.groupBy("gid").agg(F.min("gram").alias("meet"))
     members = stash(ranked.select("cid", "gid", "size").join(meet, "gid"), "members")
     if every:
-        parts = members.withColumn("comp", F.col("cid"))
-        return stash(_verify(ranked, _meetings(ranked, posts, parts, rule, most), rule, 4 * bins, True), "links").distinct()
+        rows = stash(_apart(posts, members.withColumn("comp", F.col("cid"))), "apart")
+        units, rest = _families(rows, most)
+        links = _verify(ranked, units, rule, bins, True).unionByName(_verify(ranked, _meetings(rest, rule, most), rule, 4 * bins, True))
+        return stash(links, "links")
     units = stash(_units(members.withColumn("comp", F.col("cid")), most, 0), "units")
     links = stash(_verify(ranked, units.drop("cut"), rule, bins), "links")
     parts, step, before = stash(_parts(members, links), "parts"), 0, None
@@ -284,8 +308,10 @@ def class_links(texts: DataFrame, classes: DataFrame, rule: Threshold, total_gra
         units = stash(_units(cut, most, step), f"units-{step}")
         links = stash(links.unionByName(_verify(ranked, units.drop("cut"), rule, bins)), "links")
         parts = stash(_parts(members, links), "parts")
-    meetings = _meetings(ranked, posts, parts, rule, most)
-    return links.unionByName(stash(_verify(ranked, meetings, rule, 4 * bins), "links"))
+    rows = stash(_apart(posts, parts), "apart")
+    units, rest = _families(rows, most)
+    found = _verify(ranked, units, rule, bins).unionByName(_verify(ranked, _meetings(rest, rule, most), rule, 4 * bins))
+    return links.unionByName(stash(found, "links"))
 
 
 def _classes(docs: DataFrame, rule: Threshold, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
