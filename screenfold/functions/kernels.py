@@ -43,18 +43,6 @@ def adjusted_profile(y0: np.ndarray, y1: np.ndarray) -> np.ndarray:
     return total
 
 
-def shrink(table: np.ndarray, prior_df: float, residual_df: float, span: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """Common, trended and tagwise dispersions of genes in order of abundance; ties take the lowest."""
-    n = len(table)
-    common = float(GRID[int(table.sum(0).argmax())])
-    half = max(3, round(span * n)) // 2
-    sums = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table, 0)])
-    low, high = np.maximum(np.arange(n) - half, 0), np.minimum(np.arange(n) + half + 1, n)
-    trend = (sums[high] - sums[low]) / (high - low)[:, None]
-    tag = table + prior_df / residual_df * trend
-    return common, GRID[trend.argmax(1)], GRID[tag.argmax(1)]
-
-
 def gamma_tail(a: float, x: float) -> float:
     """Upper regularised incomplete gamma function, by series or continued fraction."""
     if x <= 0:
@@ -111,6 +99,10 @@ def hypergeometric_tail(hits: int, population: int, marked: int, drawn: int) ->
     return min(1.0, math.exp(top) * sum(math.exp(v - top) for v in logs))
 
 
+#: Most products of the two sizes for which rank subsets are counted; beyond, the normal tail is as good.
+EXACT_PAIRS = 2_000
+
+
 def rank_sum_exact(u: float, n1: int, n2: int) -> float:
     """Two-sided exact p of the rank-sum statistic without ties, by counting rank subsets."""
     ways = [[0] * (n1 * n2 + 1) for _ in range(n1 + 1)]

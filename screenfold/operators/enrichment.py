@@ -19,10 +19,10 @@ def _hyper_tail(hits: pd.Series, population: pd.Series, marked: pd.Series, drawn
 
 @F.pandas_udf(DoubleType())
 def _rank_sum_p(u: pd.Series, n1: pd.Series, n2: pd.Series, tied: pd.Series, z: pd.Series) -> pd.Series:
-    """Exact if a side has 8 or fewer and nothing is tied, else normal."""
+    """Exact if a side has 8 or fewer, the other is not very large and nothing is tied, else normal."""
     out = []
     for a, b, c, t, d in zip(u, n1, n2, tied, z):
-        out.append(kernels.rank_sum_exact(a, int(b), int(c)) if min(b, c) <= 8 and not t else kernels.normal_two_sided(max(d, 0.0)))
+        out.append(kernels.rank_sum_exact(a, int(b), int(c)) if min(b, c) <= 8 and b * c <= kernels.EXACT_PAIRS and not t else kernels.normal_two_sided(max(d, 0.0)))
     return pd.Series(out, dtype="float64")
 
 
@@ -77,3 +77,27 @@ def rank_sum(query: DataFrame, background: DataFrame, features: DataFrame, least
     got = got.withColumn("pvalue", _rank_sum_p("statistic", "n_query", "n_background", (F.col("ties") > 0), F.coalesce("z", F.lit(0.0))))
     way = F.when(F.col("median_query") > F.col("median_background"), "higher").when(F.col("median_query") < F.col("median_background"), "lower").otherwise("equal")
     return with_fdr(got.withColumn("direction", way), "pvalue")
+
+
+def both_tests(query: DataFrame, background: DataFrame, categories: DataFrame, features: DataFrame) -> DataFrame:
+    """(test, term, statistic, n_query, n_rest, pvalue, fdr): over-representation in each category and
+    rank sums of each feature. Empty categories or features leave their test out."""
+    hyper = over_representation(query, background, categories)
+    hyper = hyper.select(F.lit("hypergeometric").alias("test"), F.col("category").alias("term"), F.col("observed").cast("double").alias("statistic"), F.col("query_size").alias("n_query"), (F.col("background_size") - F.col("query_size")).alias("n_rest"), "pvalue", "fdr")
+    ranks = rank_sum(query, background, features)
+    return hyper.unionByName(ranks.select(F.lit("wilcoxon").alias("test"), F.col("feature").alias("term"), "statistic", "n_query", F.col("n_background").alias("n_rest"), "pvalue", "fdr"))
+
+
+def balance_tests(query: DataFrame, background: DataFrame, features: DataFrame, members: DataFrame, dropped: DataFrame, p_cut: float = 5e-4) -> DataFrame:
+    """(subset, test, term, in_query, in_background, direction, pvalue, passes_p_threshold): features and
+    one category's members in the query, with all genes and without the ``dropped`` ones."""
+    out = None
+    for subset, keep in (("all genes", lambda d: d), ("without dropped", lambda d: d.join(dropped.select("gene"), "gene", "left_anti"))):
+        q = keep(query.select("gene"))
+        base = keep(query.select("gene").unionByName(background.select("gene")).distinct())
+        ranks = rank_sum(q, base, features).select(F.lit("rank sum").alias("test"), F.col("feature").alias("term"), F.col("median_query").alias("in_query"), F.col("median_background").alias("in_background"), "direction", "pvalue")
+        way = F.when(F.col("observed") > F.col("expected"), "higher").otherwise("lower")
+        hyper = over_representation(q, base, members).select(F.lit("hypergeometric").alias("test"), F.col("category").alias("term"), F.col("observed").cast("double").alias("in_query"), F.col("expected").alias("in_background"), way.alias("direction"), "pvalue")
+        both = ranks.unionByName(hyper).select(F.lit(subset).alias("subset"), "*", (F.col("pvalue") < p_cut).alias("passes_p_threshold"))
+        out = both if out is None else out.unionByName(both)
+    return out

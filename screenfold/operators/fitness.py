@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenfold.functions import kernels
 from screenfold.operators.windows import with_fdr
+from screenfold.plans.session import stash
 
 FLOOR = 1e-8
 
@@ -61,30 +61,40 @@ def likelihood_ratio(values: DataFrame, keys: Sequence[str], gen: str, value: st
 def estimate_dispersions(values: DataFrame, gene: str, strain: str, gen: str, value: str, prior_df: float = 10.0, span: float = 0.3) -> DataFrame:
     """(strain, gene, common, trended, tagwise).
 
-    Profile likelihoods over a fixed grid are made gene by gene in Arrow groups; the common dispersion
-    is a sum of them over genes, an aggregate of a fixed width. Trend and shrinkage need a strain's
-    genes in order of abundance, which is a gene table of one strain and not the data.
+    Profile likelihoods over a fixed grid are made gene by gene in Arrow batches. Each grid point of a
+    strain is then a series over genes in order of abundance: the common dispersion is where the sum of
+    a series is largest; the trend is the mean over the ``span`` nearest ranks, taken as the difference
+    of two running sums that are joined by rank; tagwise likelihoods add the trend with the weight
+    ``prior_df`` over the gene's residual degrees of freedom (samples less arms). Ties take the lowest
+    grid point, genes of equal level their order. A strain's genes are never one task.
     """
     rows = values.select(F.col(strain).alias("strain"), F.col(gene).alias("gene"), F.col(gen).alias("gen"), F.col(value).cast("double").alias("y"))
-    packed = rows.groupBy("strain", "gene").agg(F.collect_list(F.when(F.col("gen") == 0, F.col("y"))).alias("y0"), F.collect_list(F.when(F.col("gen") == 10, F.col("y"))).alias("y1"), F.avg("y").alias("level")).where("level > 0")
+    packed = rows.groupBy("strain", "gene").agg(F.sort_array(F.collect_list(F.when(F.col("gen") == 0, F.col("y")))).alias("y0"), F.sort_array(F.collect_list(F.when(F.col("gen") == 10, F.col("y")))).alias("y1"), F.avg("y").alias("level")).where("level > 0")
+    arms = (F.size("y0") > 0).cast("int") + (F.size("y1") > 0).cast("int")
+    packed = packed.withColumn("df", F.greatest(F.lit(1), F.size("y0") + F.size("y1") - arms))
 
     def profile(batches):
         for b in batches:
-            out = [kernels.adjusted_profile(np.sort(x), np.sort(y)).tolist() for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array(out, pa.list_(pa.float64()))], ["strain", "gene", "level", "apl"])
+            out = [kernels.adjusted_profile(x, y).tolist() for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), b.column(5), pa.array(out, pa.list_(pa.float64()))], ["strain", "gene", "level", "df", "apl"])
 
     kinds = dict(packed.dtypes)
-    apl = packed.select("strain", "gene", "y0", "y1", "level").mapInArrow(profile, f"strain {kinds['strain']}, gene {kinds['gene']}, level double, apl array<double>")
-
-    def shrink(key, got):
-        got = got.sort_by([("level", "ascending"), ("gene", "ascending")])
-        table = np.array(got.column("apl").to_pylist())
-        n_per = 2.0
-        common, trended, tagwise = kernels.shrink(table, prior_df, n_per, span)
-        k = got.num_rows
-        return pa.table({"strain": got.column("strain"), "gene": got.column("gene"), "common": pa.array(np.full(k, common)), "trended": pa.array(trended), "tagwise": pa.array(tagwise)})
-
-    return apl.groupBy("strain").applyInArrow(shrink, f"strain {kinds['strain']}, gene {kinds['gene']}, common double, trended double, tagwise double")
+    made = packed.select("strain", "gene", "y0", "y1", "level", "df").mapInArrow(profile, f"strain {kinds['strain']}, gene {kinds['gene']}, level double, df int, apl array<double>")
+    of = Window.partitionBy("strain")
+    made = made.withColumn("rank", F.row_number().over(of.orderBy("level", "gene"))).withColumn("n", F.count("*").over(of))
+    series = stash(made.select("strain", "gene", "df", "rank", "n", F.posexplode("apl").alias("k", "ll")), "profiles")
+    grid = F.array(*[F.lit(float(x)) for x in kernels.GRID])
+    best = lambda c: F.element_at(grid, 1 - F.max(F.struct(F.col(c).alias("v"), (-F.col("k")).alias("back")))["back"])
+    common = series.groupBy("strain", "k").agg(F.sum("ll").alias("ll")).groupBy("strain").agg(best("ll").alias("common"))
+    half = F.floor(F.greatest(F.lit(3), F.round(F.lit(span) * F.col("n"))) / 2).cast("int")
+    low, high = F.greatest(F.col("rank") - half, F.lit(1)), F.least(F.col("rank") + half, F.col("n")).cast("int")
+    running = series.select("strain", "k", F.col("rank").alias("at"), F.sum("ll").over(Window.partitionBy("strain", "k").orderBy("rank")).alias("upto"))
+    ends = series.withColumn("first", low - 1).withColumn("last", high)
+    near = ends.join(running.toDF("strain", "k", "last", "to_last"), ["strain", "k", "last"]).join(running.toDF("strain", "k", "first", "to_first"), ["strain", "k", "first"], "left")
+    near = near.withColumn("trend", (F.col("to_last") - F.coalesce("to_first", F.lit(0.0))) / (F.col("last") - F.col("first")))
+    near = near.withColumn("tag", F.col("ll") + F.lit(prior_df) / F.col("df") * F.col("trend"))
+    found = near.groupBy("strain", "gene").agg(best("trend").alias("trended"), best("tag").alias("tagwise"))
+    return found.join(common, "strain").select("strain", "gene", "common", "trended", "tagwise")
 
 
 def fitness_table(values: DataFrame, gene: str, strain: str, gen: str, value: str) -> DataFrame:

@@ -15,6 +15,6 @@ def nearest_gap(rows: DataFrame, marks: DataFrame, row_id: str, key: str, at: st
     both = rows.select(F.col(row_id).alias("id"), F.col(key).alias("k"), F.col(at).alias("at"), F.lit(None).cast("long").alias("m")).unionAll(marks.select(F.lit(None), F.col(key), F.col(at), F.col(at).cast("long")))
     by = Window.partitionBy("k").orderBy("at")
     before = F.last("m", ignorenulls=True).over(by.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("m", ignorenulls=True).over(by.rangeBetween(0, Window.unboundedFollowing))
+    after = F.last("m", ignorenulls=True).over(Window.partitionBy("k").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0))
     gap = F.least(F.col("at") - before, after - F.col("at"))
     return both.withColumn("gap", gap).where("id is not null").select(F.col("id").alias(row_id), "gap")

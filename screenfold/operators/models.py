@@ -128,60 +128,117 @@ def best_alpha(scores: DataFrame, by: str, split: str, on: str = "val") -> DataF
     return scores.where(F.col(split) == on).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
-def count_models(counts: DataFrame, gene: str, columns: list[str], value: str, phi: float = 0.05, family: str = "strain") -> DataFrame:
-    """(gene, term, log2fc, lr, pvalue, fdr): each gene's negative-binomial model of the factors in
-    ``columns``, and likelihood ratios of the models without each level of ``family``.
+def fit_counts(x: np.ndarray, y: np.ndarray, off: np.ndarray, phi: float, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Coefficients and deviance of one negative-binomial model with a log link.
 
-    Genes are fitted in Arrow groups by iteratively reweighted least squares with a small ridge;
-    offsets are log libraries against their mean.
+    Reweighted least squares; a step that does not lower the deviance is halved, and the fit ends when
+    steps change the deviance by less than a billionth.
     """
+    r = 1 / phi
+
+    def deviance(beta):
+        mu = np.exp(np.clip(x @ beta + off, -40, 40))
+        gain = np.where(y > 0, y * np.log(np.where(y > 0, y, 1) / mu), 0.0)
+        return mu, 2 * float((gain - (y + r) * np.log((y + r) / (mu + r))).sum())
+
+    beta = np.linalg.lstsq(x, np.log(y + 0.25) - off, rcond=None)[0]
+    mu, dev = deviance(beta)
+    for _ in range(rounds):
+        root = np.sqrt(mu * r / (r + mu))
+        step = np.linalg.lstsq(x * root[:, None], root * (y - mu) / mu, rcond=None)[0]
+        for _ in range(12):
+            new_mu, new = deviance(beta + step)
+            if new <= dev + 1e-12 * (1 + abs(dev)):
+                break
+            step = step / 2
+        else:
+            break
+        beta, mu, change, dev = beta + step, new_mu, dev - new, new
+        if change < 1e-9 * (abs(dev) + 1e-3) and np.abs(step).max() < 1e-6:
+            break
+    return beta, dev
+
+
+def _design(obs: list[dict], columns: list[str], family: str) -> tuple[np.ndarray, list]:
+    """Treatment columns of each factor, sum-to-zero ones of ``family``, and what each column stands for."""
+    design, names = [np.ones(len(obs))], [None]
+    for c in columns:
+        levels = sorted({o[c] for o in obs})
+        for v in levels[:-1] if c == family else levels[1:]:
+            col = np.array([float(o[c] == v) for o in obs])
+            if c == family:  # effects of a family sum to zero
+                col -= np.array([float(o[c] == levels[-1]) for o in obs])
+            design.append(col)
+            names.append((c, v))
+    return np.stack(design, 1), names
+
+
+def _packed_counts(counts: DataFrame, gene: str, columns: list[str], value: str) -> DataFrame:
+    """(gene, obs) with each observation's levels, count and offset: log libraries against their mean."""
     lib = counts.groupBy(*columns).agg(F.sum(value).cast("double").alias("lib"))
     lib = lib.withColumn("off", F.ln("lib") - F.avg(F.ln("lib")).over(Window.partitionBy()))
-    packed = counts.join(lib, columns).groupBy(gene).agg(F.array_sort(F.collect_list(F.struct(*columns, F.col(value).cast("double").alias("y"), "off"))).alias("obs"), F.sum(value).alias("total")).where("total >= 10")
-    kind = dict(counts.dtypes)[gene]
+    held = counts.join(lib, columns).groupBy(gene).agg(F.array_sort(F.collect_list(F.struct(*columns, F.col(value).cast("double").alias("y"), "off"))).alias("obs"), F.sum(value).alias("total"))
+    return held.where("total >= 10").select(F.col(gene).alias("gene"), "obs")
 
-    def fit(x, y, off):
-        beta = np.linalg.lstsq(x, np.log(y + 0.5) - off, rcond=None)[0]
-        for _ in range(40):
-            eta = np.clip(x @ beta + off, -30, 30)
-            mu = np.exp(eta)
-            w = mu / (1 + phi * mu)
-            new = np.linalg.solve(x.T @ (x * w[:, None]) + 1e-8 * np.eye(x.shape[1]), x.T @ (w * (eta - off + (y - mu) / mu)))
-            done = np.abs(new - beta).max() < 1e-8
-            beta = new
-            if done:
-                break
-        mu, r = np.exp(np.clip(x @ beta + off, -30, 30)), 1 / phi
-        dev = 2 * (np.where(y > 0, y * np.log(np.maximum(y, 1e-300) / mu), 0) - (y + r) * np.log((y + r) / (mu + r))).sum()
-        return beta, dev
+
+#: Dispersions among which moments choose.
+MOMENT_GRID = np.geomspace(1e-3, 2.0, 25)
+
+
+def moment_dispersion(counts: DataFrame, gene: str, columns: list[str], value: str, family: str = "strain") -> DataFrame:
+    """(phi): the common dispersion at which the mean residual deviance of all genes comes closest to
+    their mean residual degrees of freedom; of equally close ones the lowest.
+
+    Every gene is fitted at each of the grid's dispersions in its own Arrow batch; only sums of a fixed
+    width are gathered. Without genes that have more observations than coefficients there is no row.
+    """
+
+    def run(batches):
+        for b in batches:
+            out = {"k": [], "dev": [], "df": []}
+            for obs in b.column(1).to_pylist():
+                x, _ = _design(obs, columns, family)
+                if len(obs) > x.shape[1]:
+                    y, off = np.array([o["y"] for o in obs]), np.array([o["off"] for o in obs])
+                    for k, phi in enumerate(MOMENT_GRID):
+                        for name, v in zip(out, (k, fit_counts(x, y, off, phi)[1], float(len(obs) - x.shape[1]))):
+                            out[name].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out["k"], pa.int32()), pa.array(out["dev"], pa.float64()), pa.array(out["df"], pa.float64())], ["k", "dev", "df"])
+
+    fits = _packed_counts(counts, gene, columns, value).mapInArrow(run, "k int, dev double, df double")
+    miss = fits.groupBy("k").agg(F.abs(F.avg("dev") - F.avg("df")).alias("miss"))
+    found = miss.agg(F.min(F.struct("miss", "k"))["k"].alias("k")).where("k is not null")
+    return found.select(F.element_at(F.array(*[F.lit(float(p)) for p in MOMENT_GRID]), F.col("k") + 1).alias("phi"))
+
+
+def count_models(counts: DataFrame, gene: str, columns: list[str], value: str, phi: float | None = None, family: str = "strain") -> DataFrame:
+    """(gene, term, log2fc, lr, pvalue, fdr): each gene's negative-binomial model of the factors in
+    ``columns``, and likelihood ratios of the models without each level of ``family``.
+
+    Genes are fitted in Arrow batches. Without ``phi`` all genes share the dispersion that moments give.
+    """
+    packed = _packed_counts(counts, gene, columns, value)
+    kind = dict(counts.dtypes)[gene]
+    shared = moment_dispersion(counts, gene, columns, value, family) if phi is None else counts.sparkSession.createDataFrame([(phi,)], "phi double")
 
     def run(batches):
         for b in batches:
             out = {"gene": [], "term": [], "log2fc": [], "lr": [], "pvalue": []}
-            for g, obs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for g, obs, disp in zip(*(c.to_pylist() for c in b.columns)):
                 y, off = np.array([o["y"] for o in obs]), np.array([o["off"] for o in obs])
-                design, names = [np.ones(len(obs))], [None]
-                for c in columns:
-                    levels = sorted({o[c] for o in obs})
-                    for v in levels[:-1] if c == family else levels[1:]:
-                        col = np.array([float(o[c] == v) for o in obs])
-                        if c == family:  # effects of a family sum to zero
-                            col -= np.array([float(o[c] == levels[-1]) for o in obs])
-                        design.append(col)
-                        names.append((c, v))
-                x = np.stack(design, 1)
-                beta, full = fit(x, y, off)
+                x, names = _design(obs, columns, family)
+                beta, full = fit_counts(x, y, off, disp)
                 mine = [i for i, n in enumerate(names) if n and n[0] == family]
                 last = sorted({o[family] for o in obs})[-1]
                 for i in [*mine, None]:
                     drop = [i] if i is not None else mine
-                    lr = max(0.0, fit(np.delete(x, drop, 1), y, off)[1] - full)
+                    lr = max(0.0, fit_counts(np.delete(x, drop, 1), y, off, disp)[1] - full)
                     effect = beta[i] if i is not None else -beta[mine].sum()
                     for k, v in zip(out, (g, str(names[i][1] if i is not None else last), float(effect / np.log(2)), lr, kernels.chi2_tail(lr, len(drop)))):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["gene"], type=b.schema.field(0).type), *[pa.array(out[k], pa.string() if k == "term" else pa.float64()) for k in ("term", "log2fc", "lr", "pvalue")]], ["gene", "term", "log2fc", "lr", "pvalue"])
 
-    tested = packed.select(F.col(gene).alias("gene"), "obs").mapInArrow(run, f"gene {kind}, term string, log2fc double, lr double, pvalue double")
+    tested = packed.crossJoin(F.broadcast(shared)).mapInArrow(run, f"gene {kind}, term string, log2fc double, lr double, pvalue double")
     return with_fdr(tested, "pvalue", ["term"])
 
 

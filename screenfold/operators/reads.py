@@ -75,16 +75,22 @@ def fuzzy_match(reads: DataFrame, fuzzy: DataFrame, offset: int, before: int = 3
     return hit.groupBy("lane", "read_no").agg(best.alias("b")).select("lane", "read_no", F.col("b.gene").alias("gene"))
 
 
-def match_reads(reads: DataFrame, sheet: DataFrame, lengths: list[int], decode: DataFrame, offset: int, strict: bool = False) -> DataFrame:
-    """Every read with sample_id, gene and kind: exact, fuzzy, unmatched, or no_index."""
-    named = demultiplex(reads, sheet, lengths)
-    known = named.where("sample_id is not null")
-    exact = exact_match(known, exact_tags(decode), offset)
-    left = known.join(exact, ["lane", "read_no"], "left_anti")
-    fuzzy = fuzzy_match(left, fuzzy_tags(decode, strict), offset)
-    hits = exact.withColumn("kind", F.lit("exact")).unionByName(fuzzy.withColumn("kind", F.lit("fuzzy")))
-    out = named.join(hits, ["lane", "read_no"], "left")
-    return out.withColumn("kind", F.when(F.col("sample_id").isNull(), "no_index").otherwise(F.coalesce("kind", F.lit("unmatched"))))
+def match_reads(reads: DataFrame, sheet: DataFrame, lengths: list[int], decode: DataFrame, offset: int, strict: bool = False, before: int = 3, after: int = 2) -> DataFrame:
+    """(lane, read_no, sample_id, gene, kind) of every read: exact, fuzzy, unmatched, or no_index.
+
+    Exact tags and their variants are one table joined by the first ten bases; a read's best hit is an
+    exact one, else that of the first offset of the window, there the shortest.
+    """
+    every = exact_tags(decode).select("tag", "gene", F.lit(0).alias("rank")).unionByName(fuzzy_tags(decode, strict).select(F.col("variant").alias("tag"), "gene", F.lit(1).alias("rank")))
+    every = every.withColumn("k", F.substring("tag", 1, PREFIX))
+    span = F.sequence(F.lit(max(0, offset - before)), F.lit(max(0, offset + after)))
+    at = demultiplex(reads, sheet, lengths).withColumn("off", F.explode(F.when(F.col("sample_id").isNotNull(), span).otherwise(F.array(F.lit(-1)))))
+    at = at.select("lane", "read_no", "sample_id", "off", F.when(F.col("off") >= 0, F.expr("substr(seq, off + 1)")).alias("rest")).withColumn("k", F.substring("rest", 1, PREFIX))
+    hit = at.join(every, (at["k"] == every["k"]) & F.col("rest").startswith(F.col("tag")) & ((F.col("rank") == 1) | (F.col("off") == offset)), "left")
+    best = F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "off", F.length("tag").alias("n"), "gene")))
+    got = hit.groupBy("lane", "read_no").agg(F.max("sample_id").alias("sample_id"), best.alias("b"))
+    kind = F.when(F.col("sample_id").isNull(), "no_index").when(F.col("b.rank") == 0, "exact").when(F.col("b.rank") == 1, "fuzzy").otherwise("unmatched")
+    return got.select("lane", "read_no", "sample_id", F.col("b.gene").alias("gene"), kind.alias("kind"))
 
 
 def count_genes(matched: DataFrame) -> DataFrame:
@@ -96,13 +102,15 @@ def quality_counters(matched: DataFrame, by: tuple[str, ...] = ("lane",)) -> Dat
     return matched.groupBy(*by).agg(F.count("*").alias("total_reads"), kind("no_index").alias("no_index_match"), F.count_if(F.col("kind") != "no_index").alias("index_matched"), kind("exact").alias("exact_hits"), kind("fuzzy").alias("fuzzy_hits"), kind("unmatched").alias("unmatched"))
 
 
-def offset_scan(reads: DataFrame, tags: DataFrame, max_offset: int, shortest: int, longest: int) -> DataFrame:
-    """(offset, hits): reads in which some tag starts at the offset."""
-    t = tags.select(F.col("tag").alias("w")).distinct()
-    at = reads.select("lane", "read_no", "seq", F.explode(F.sequence(F.lit(0), F.lit(max_offset))).alias("offset"))
-    at = at.withColumn("n", F.explode(F.sequence(F.lit(shortest), F.lit(longest)))).where(F.length("seq") >= F.col("offset") + F.col("n"))
-    at = at.select("lane", "read_no", "offset", F.expr("substr(seq, offset + 1, n)").alias("w"))
-    return at.join(t, "w", "left_semi").select("lane", "read_no", "offset").distinct().groupBy("offset").agg(F.count("*").alias("hits"))
+def offset_scan(reads: DataFrame, tags: DataFrame, max_offset: int = 45) -> DataFrame:
+    """(offset, hits): reads in which some tag starts at the offset.
+
+    Tags are held by their first ten bases, so a read has one key an offset, whatever the lengths.
+    """
+    t = tags.groupBy(F.substring("tag", 1, PREFIX).alias("k")).agg(F.collect_set("tag").alias("tags"))
+    at = reads.select("seq", F.explode(F.sequence(F.lit(0), F.lit(max_offset))).alias("offset")).withColumn("k", F.expr(f"substr(seq, offset + 1, {PREFIX})"))
+    starts = F.exists("tags", lambda x: F.expr("substr(seq, offset + 1)").startswith(x))
+    return at.join(t, "k").where(starts).groupBy("offset").agg(F.count("*").alias("hits"))
 
 
 def best_offset(scan: DataFrame) -> DataFrame:

@@ -8,20 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def step_up(p: str, family: Sequence[str] = ()) -> Column:
-    """False-discovery rate of p-values by the step-up rule, within each family."""
-    by_p = Window.partitionBy(*family).orderBy(p)
-    n = F.count(p).over(Window.partitionBy(*family))
-    from_here = by_p.rowsBetween(0, Window.unboundedFollowing)
-    return n, by_p, from_here
-
-
 def with_fdr(tests: DataFrame, p: str = "pvalue", family: Sequence[str] = (), out: str = "fdr") -> DataFrame:
-    """Adds the step-up FDR; rows without a p-value get none and do not count."""
-    n, by_p, from_here = step_up(p, family)
+    """Adds the step-up FDR; rows without a p-value get none and do not count.
+
+    The least of all larger p-values' ratios is a running minimum from the largest down, so every row
+    adds one value to its frame; equal p-values share a frame.
+    """
+    every = Window.partitionBy(*family)
     known = tests.where(F.col(p).isNotNull())
-    ranked = known.withColumn("_r", F.row_number().over(by_p)).withColumn("_v", F.col(p) * n / F.col("_r"))
-    done = ranked.withColumn(out, F.least(F.lit(1.0), F.min("_v").over(from_here))).drop("_r", "_v")
+    ratio = F.col(p) * F.count(p).over(every) / F.row_number().over(every.orderBy(p))
+    from_top = every.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    done = known.withColumn("_v", ratio).withColumn(out, F.least(F.lit(1.0), F.min("_v").over(from_top))).drop("_v")
     return done.unionByName(tests.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
@@ -31,7 +28,7 @@ def moving_mean(rows: DataFrame, part: Sequence[str], order: Sequence[str], valu
 
 
 def reverse_cumulative(rows: DataFrame, part: Sequence[str], order: str, value: str, out: str) -> DataFrame:
-    return rows.withColumn(out, F.sum(value).over(Window.partitionBy(*part).orderBy(order).rowsBetween(0, Window.unboundedFollowing)))
+    return rows.withColumn(out, F.sum(value).over(Window.partitionBy(*part).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
 def top_n(rows: DataFrame, part: Sequence[str], order: Sequence[Column], n: int, out: str = "rank") -> DataFrame:

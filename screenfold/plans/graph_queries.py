@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from screenfold.operators import splits as S
 from screenfold.operators.graph import connected_components
 from screenfold.plans.bindings import table
 from screenfold.plans.registry import query
+from screenfold.plans.session import stash
 
 LEAST = 0.4
-DOT = "aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, x) -> s + x)"
 NAMES = "CASE label % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END"
 EDGES = f"""v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings),
 ed AS (SELECT a.vec_id AS g1, b.vec_id AS g2, list_dot_product(a.e, b.e) / (a.n * b.n) AS identity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= {LEAST}),
@@ -31,22 +33,33 @@ def split(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("gene"), F.expr(NAMES).alias("split"))
 
 
+#: Vectors of a block.
+BLOCK = 2000
+
+
 def edges(spark, sf):
     """Pairs of vectors from a cosine of 0.4 on: every pair is compared, block by block.
 
-    The stand-in for an aligner's edge table. Vectors of a block meet those of another in one task,
-    as two small matrices.
+    The stand-in for an aligner's edge table. Two blocks of a bounded number of vectors meet in one
+    task as matrices, and only pairs over the threshold leave it; blocks grow in number with the rows.
+    The table is written once, as queries read it several times.
     """
-    v = table(spark, sf, "embeddings").select("vec_id", F.expr("transform(embedding, x -> CAST(x AS DOUBLE))").alias("e"))
-    v = v.withColumn("n", F.sqrt(F.expr(DOT.format(a="e", b="e"))))
-    k = 4
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int")
-    v = v.withColumn("blk", block)
-    every = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    a = v.withColumn("other", every).select(F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", F.col("vec_id").alias("g1"), F.col("e").alias("e1"), F.col("n").alias("n1"))
-    b = a.select("i", "j", F.col("g1").alias("g2"), F.col("e1").alias("e2"), F.col("n1").alias("n2"), F.col("blk").alias("blk2"))
-    got = a.join(b, ["i", "j"]).where("g1 < g2 and (i = j or blk <> blk2)")
-    return got.select("g1", "g2", (F.expr(DOT.format(a="e1", b="e2")) / (F.col("n1") * F.col("n2"))).alias("identity")).where(F.col("identity") >= LEAST)
+    v = table(spark, sf, "embeddings").select("vec_id", F.expr("transform(embedding, x -> CAST(x AS DOUBLE))").alias("e")).where("vec_id is not null and e is not null")
+    k = max(2, -(-v.count() // BLOCK))
+    v = v.withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    v = v.select(F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "vec_id", "e")
+
+    def meet(key, rows):
+        ids, e, blk = np.array(rows.column("vec_id")), np.array(rows.column("e").to_pylist(), dtype=float), np.array(rows.column("blk"))
+        norm = np.sqrt((e * e).sum(1))
+        left, right = (np.flatnonzero(blk == x.as_py()) for x in key)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            cosine = e[left] @ e[right].T / np.outer(norm[left], norm[right])
+        a, b = np.nonzero((cosine >= LEAST) & ((ids[left][:, None] < ids[right][None, :]) | (key[0].as_py() != key[1].as_py())))
+        x, y = ids[left[a]], ids[right[b]]
+        return pa.table({"g1": pa.array(np.minimum(x, y)), "g2": pa.array(np.maximum(x, y)), "identity": pa.array(cosine[a, b])})
+
+    return stash(v.groupBy("i", "j").applyInArrow(meet, "g1 long, g2 long, identity double"), "edges")
 
 
 @query("g01_edges", f"WITH {EDGES} SELECT g1, g2, round(identity, 6) AS identity FROM ed")
@@ -118,7 +131,7 @@ def g11(spark, sf):
     return e.join(a, "g1").join(b, ["run", "g2"]).where("set_1 <> set_2").groupBy("run", "set_1", "set_2").agg(F.countDistinct("g1").alias("n_with_relative"))
 
 
-@query("o12_random_split")
+@query("o12_random_split", "WITH g AS (SELECT p_partkey AS gene, row_number() OVER (ORDER BY md5(p_partkey || ':15'), p_partkey) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT p_partkey FROM part)) SELECT gene, CASE WHEN k <= round_even(n * 0.7::DOUBLE, 0) THEN 'train' WHEN k <= round_even(n * 0.85::DOUBLE, 0) THEN 'val' ELSE 'test' END AS split FROM g")
 def o12(spark, sf):
     genes = table(spark, sf, "part").select(F.col("p_partkey").alias("gene"))
     return S.hashed_split(genes, [("train", 0.7), ("val", 0.15), ("test", 0.15)])

@@ -174,14 +174,35 @@ def t16(spark, sf):
     return got.select("category", "background_size", "query_size", "category_size", "observed", r6("expected"), r6("fold"), r6("pvalue"), r6("fdr"))
 
 
-@query("t20_enrich_minus")
+def _hyper_sql(lists: str, base: str, cats: str, least_query: int) -> str:
+    """CTEs ``hf``: over-representation of (list_id, gene) ``lists`` in ``cats`` before the step-up minimum."""
+    return f"""ca AS (SELECT DISTINCT c.gene, c.category FROM {cats} c JOIN {base} u ON c.gene = u.gene),
+ls AS (SELECT DISTINCT list_id, l.gene FROM {lists} l JOIN {base} u ON l.gene = u.gene), qs AS (SELECT list_id, count(*) AS query_size FROM ls GROUP BY list_id HAVING count(*) >= {least_query}),
+cs AS (SELECT category, count(*) AS category_size FROM ca GROUP BY category HAVING count(*) >= 3), hits AS (SELECT list_id, category, count(*) AS observed FROM ls JOIN ca ON ls.gene = ca.gene GROUP BY ALL),
+h AS (SELECT list_id, category, observed::BIGINT AS observed, query_size::BIGINT AS query_size, category_size::BIGINT AS category_size, (SELECT count(*) FROM {base})::BIGINT AS background_size FROM hits JOIN qs USING (list_id) JOIN cs USING (category)),
+hp AS (SELECT *, query_size * category_size / background_size::DOUBLE AS expected, least(1, {TAIL}) AS pvalue FROM h),
+hv AS (SELECT *, pvalue * count(*) OVER (PARTITION BY list_id) / row_number() OVER (PARTITION BY list_id ORDER BY pvalue) AS v FROM hp),
+hf AS (SELECT *, least(1, min(v) OVER (PARTITION BY list_id ORDER BY pvalue RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS fdr FROM hv)"""
+
+
+HYPER_COLUMNS = "category, background_size, query_size, category_size, observed, round(expected, 6) AS expected, round(observed / expected, 6) AS fold, round(pvalue, 6) AS pvalue, round(fdr, 6) AS fdr"
+
+
+def _hyper_columns(got):
+    return got.select("category", "background_size", "query_size", "category_size", "observed", r6("expected"), r6("fold"), r6("pvalue"), r6("fdr"))
+
+
+MINUS = f"""{LIST}, bd AS (SELECT lf.gene, d FROM lf WHERE gene NOT IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#11')), ct AS (SELECT p_partkey AS gene, p_brand AS category FROM part), li AS (SELECT 'q' AS list_id, gene FROM bd WHERE d < -120), {_hyper_sql('li', 'bd', 'ct', 1)}"""
+
+
+@query("t20_enrich_minus", f"WITH {MINUS} SELECT {HYPER_COLUMNS} FROM hf")
 def t20(spark, sf):
     """Over-representation without the genes of one category."""
     d = drops(spark, sf)
     cats = categories(spark, sf)
     gone = cats.where("category = 'Brand#11'").select("gene")
     left = d.join(gone, "gene", "left_anti")
-    return E.over_representation(left.where("d < -120").select("gene"), left.select("gene"), cats)
+    return _hyper_columns(E.over_representation(left.where("d < -120").select("gene"), left.select("gene"), cats))
 
 
 @query("t17_overlap", f"""WITH {LIST}, h AS (SELECT (SELECT count(*) FROM uni)::BIGINT AS background_size, (SELECT count(*) FROM ql)::BIGINT AS query_size, (SELECT count(*) FROM q2)::BIGINT AS category_size, (SELECT count(*) FROM ql WHERE gene IN (SELECT gene FROM q2))::BIGINT AS observed)
@@ -215,14 +236,52 @@ def t18p(spark, sf):
     return E.rank_sum(d.where("d < -120").select("gene"), d.select("gene"), features(spark, sf)).select("feature", "statistic", "direction", "pvalue", "fdr")
 
 
-@query("t21_specific_enrichment")
+SPECIFIC = f"""{B2}, k AS (SELECT gene, count(*) FILTER (del) AS nd FROM e GROUP BY gene), ba AS (SELECT DISTINCT gene FROM e), ct AS (SELECT p_partkey % 200 AS gene, p_type AS category FROM part),
+li AS (SELECT CAST(strain AS VARCHAR) AS list_id, gene FROM e JOIN k USING (gene) WHERE del AND nd <= 7), {_hyper_sql('li', 'ba', 'ct', 3)}"""
+
+
+@query("t21_specific_enrichment", f"WITH {SPECIFIC} SELECT list_id, {HYPER_COLUMNS}, CAST(row_number() OVER (PARTITION BY list_id ORDER BY round(pvalue, 9), category) AS INTEGER) AS place FROM hf QUALIFY place <= 5")
 def t21(spark, sf):
     """Categories over-represented in each strain's specific genes; the five best of a strain."""
     e = effects(spark, sf)
     lists = L.specific(e, "deleterious", 6, "same").select(F.col("strain").cast("string").alias("list_id"), "gene")
     cats = table(spark, sf, "part").select((F.col("p_partkey") % 200).alias("gene"), F.col("p_type").alias("category"))
     got = E.over_representation_of_lists(lists, e.select("gene").distinct(), cats, least_query=3)
-    return got.withColumn("place", F.row_number().over(Window.partitionBy("list_id").orderBy("pvalue", "category"))).where("place <= 5")
+    got = got.withColumn("place", F.row_number().over(Window.partitionBy("list_id").orderBy(F.round("pvalue", 9), "category"))).where("place <= 5")
+    return got.select("list_id", "category", "background_size", "query_size", "category_size", "observed", r6("expected"), r6("fold"), r6("pvalue"), r6("fdr"), "place")
+
+
+BOTH = f"""{HYPER}, {WIL.removeprefix(LIST + ', ')}"""
+
+
+@query("t19_both_tests", f"WITH {BOTH} SELECT 'hypergeometric' AS test, category AS term, CAST(observed AS DOUBLE) AS statistic, query_size AS n_query, background_size - query_size AS n_rest FROM hf UNION ALL SELECT 'wilcoxon', feature, round(u, 6), n1::BIGINT, n2::BIGINT FROM w WHERE n1 >= 3 AND n2 >= 3")
+def t19(spark, sf):
+    d = drops(spark, sf)
+    got = E.both_tests(d.where("d < -120").select("gene"), d.select("gene"), categories(spark, sf), features(spark, sf))
+    return got.select("test", "term", r6("statistic"), "n_query", "n_rest")
+
+
+@query("t22_published_overlap", f"""WITH {B1}, m AS (SELECT gene, avg(cpm) FILTER (gen = 0) AS a, avg(cpm) FILTER (gen = 10) AS b FROM c WHERE strain = 'R' GROUP BY gene), uni AS (SELECT gene FROM m WHERE a > 0 AND b > 0), oq AS (SELECT gene FROM m WHERE a > 0 AND b > 0 AND log2(b / a) < -1), pl AS (SELECT p_partkey AS gene FROM part WHERE p_size <= 10),
+h AS (SELECT (SELECT count(*) FROM uni)::BIGINT AS background_size, (SELECT count(*) FROM oq)::BIGINT AS query_size, (SELECT count(*) FROM uni WHERE gene IN (SELECT gene FROM pl))::BIGINT AS category_size, (SELECT count(*) FROM oq WHERE gene IN (SELECT gene FROM pl))::BIGINT AS observed)
+SELECT background_size AS universe, query_size AS list_a, category_size AS list_b, observed AS overlap, round(query_size * category_size / background_size::DOUBLE, 6) AS expected, round(CASE WHEN observed = 0 THEN 1 ELSE least(1, {TAIL}) END, 6) AS pvalue FROM h""")
+def t22(spark, sf):
+    """The laboratory strain's deleterious genes against a published list."""
+    from screenfold.operators.counts import cpm
+    from screenfold.operators.fitness import arm_means, log2_ratio
+
+    m = arm_means(cpm(counts(spark, sf), ["strain", "gen", "rep"]).where("strain = 'R'"), ["gene"], "gen", "cpm").withColumn("fc", log2_ratio("mean10", "mean0")).where("fc is not null")
+    published = table(spark, sf, "part").where("p_size <= 10").select(F.col("p_partkey").alias("gene"))
+    got = E.list_overlap(m.where("fc < -1").select("gene"), published, m.select("gene"))
+    return got.select("universe", "list_a", "list_b", "overlap", r6("expected"), r6("pvalue"))
+
+
+@query("t23_balance")
+def t23(spark, sf):
+    """Features and one category of a list, with all genes and without those of another category."""
+    d = drops(spark, sf)
+    cats = categories(spark, sf)
+    member = cats.where("category in ('Brand#12', 'Brand#13')").select("gene", F.lit("in_any_complex").alias("category"))
+    return E.balance_tests(d.where("d < -120").select("gene"), d.select("gene"), features(spark, sf), member, cats.where("category = 'Brand#11'").select("gene"))
 
 
 @query("a28_truth_eval", f"""WITH {B2}, t AS (SELECT *, fc <= -0.6 AS truth FROM e WHERE fc IS NOT NULL) SELECT strain, round(count(*) FILTER (del AND truth) / nullif(count(*) FILTER (truth), 0)::DOUBLE, 6) AS recall, round(count(*) FILTER (del AND truth) / nullif(count(*) FILTER (del), 0)::DOUBLE, 6) AS prec FROM t GROUP BY strain""")

@@ -122,11 +122,11 @@ def c15(spark, sf):
     return R.count_genes(matched(spark, sf)).groupBy("sample_id", "gene").agg(F.sum("n").alias("n"))
 
 
-SCAN = f"{READS}, wn AS (SELECT DISTINCT lane, read_no, o AS off FROM (SELECT lane, read_no, seq, unnest(generate_series(24, 30)) AS o FROM reads) x, (SELECT unnest(generate_series(10, 22)) AS n) k WHERE length(seq) >= o + n AND substr(seq, o + 1, n) IN (SELECT tag FROM decode)), sc AS (SELECT off AS \"offset\", CAST(count(*) AS BIGINT) AS hits FROM wn GROUP BY off)"
+SCAN = f"{READS}, tk AS (SELECT substr(tag, 1, 10) AS k, list(DISTINCT tag) AS ts FROM decode GROUP BY 1), sc AS (SELECT o AS \"offset\", CAST(count(*) AS BIGINT) AS hits FROM (SELECT seq, unnest(generate_series(0, 45)) AS o FROM reads) x JOIN tk ON substr(seq, o + 1, 10) = k WHERE len(list_filter(ts, lambda t: starts_with(substr(seq, o + 1), t))) > 0 GROUP BY 1)"
 
 
 def scanned(spark, sf):
-    return R.offset_scan(reads(spark, sf), decode(spark, sf), 30, 10, 22).where("offset >= 24")
+    return R.offset_scan(reads(spark, sf), decode(spark, sf))
 
 
 @query("c17_offset_scan", f'WITH {SCAN} SELECT CAST("offset" AS INTEGER) AS "offset", hits FROM sc')

@@ -194,9 +194,7 @@ k AS (SELECT *, p * count(*) OVER (PARTITION BY strain) / row_number() OVER (PAR
 SELECT gene, strain, gen, rep, round(least(1, min(v) OVER (PARTITION BY strain ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS fdr FROM k""")
 def w01(spark, sf):
     p = b1(spark, sf).select(*KEYS, ((F.col("n") % 97 + 1) / F.lit(200.0)).alias("p"))
-    n, by_p, _ = W.step_up("p", ["strain"])
-    ranked = p.withColumn("v", F.col("p") * n / F.row_number().over(by_p))
-    return ranked.select(*KEYS, r6(F.least(F.lit(1.0), F.min("v").over(by_p.rangeBetween(0, Window.unboundedFollowing))), "fdr"))
+    return W.with_fdr(p, "p", ["strain"]).select(*KEYS, r6("fdr"))
 
 
 @query("w02_smooth", f"""WITH {B1D}, m AS (SELECT gene, strain, avg(cpm) AS level FROM c GROUP BY ALL)

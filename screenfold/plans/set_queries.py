@@ -19,9 +19,9 @@ def line(spark, sf):
     return table(spark, sf, "lineitem")
 
 
-@query("j01_left_scores", f"WITH {B2}, l AS (SELECT p_partkey % 200 AS gene, p_brand AS brand FROM part WHERE p_partkey <= 400 AND p_partkey % 7 = 0), s AS (SELECT gene, round(avg(fc), 6) AS score FROM b2 WHERE gene % 3 <> 0 GROUP BY gene) SELECT l.gene, l.brand, s.score FROM l LEFT JOIN s ON l.gene = s.gene")
+@query("j01_left_scores", f"WITH {B2}, l AS (SELECT p_partkey % 200 AS gene, p_brand AS brand FROM part WHERE p_size > 25), s AS (SELECT gene, round(avg(fc), 6) AS score FROM b2 WHERE gene % 3 <> 0 GROUP BY gene) SELECT l.gene, l.brand, s.score FROM l LEFT JOIN s ON l.gene = s.gene")
 def j01(spark, sf):
-    lst = part(spark, sf).where("p_partkey <= 400 and p_partkey % 7 = 0").select((F.col("p_partkey") % 200).alias("gene"), F.col("p_brand").alias("brand"))
+    lst = part(spark, sf).where("p_size > 25").select((F.col("p_partkey") % 200).alias("gene"), F.col("p_brand").alias("brand"))
     return lst.join(many_strains(spark, sf).where("gene % 3 <> 0").groupBy("gene").agg(r6(F.avg("fc"), "score")), "gene", "left")
 
 
@@ -59,9 +59,9 @@ def j07(spark, sf):
     return fc.where("fc <= -0.5").select("gene").distinct().join(fc.where("fc >= 0.5 and strain < 5").select("gene").distinct(), "gene")
 
 
-@query("j08_reindex", "SELECT k AS gene, p_brand AS brand FROM (SELECT l_orderkey, l_linenumber, l_partkey + 5 AS k FROM lineitem WHERE l_orderkey < 2000) LEFT JOIN part ON k = p_partkey")
+@query("j08_reindex", "SELECT k AS gene, p_brand AS brand FROM (SELECT l_orderkey, l_linenumber, l_partkey + 5 AS k FROM lineitem) LEFT JOIN part ON k = p_partkey")
 def j08(spark, sf):
-    want = line(spark, sf).where("l_orderkey < 2000").select((F.col("l_partkey") + 5).alias("gene"))
+    want = line(spark, sf).select((F.col("l_partkey") + 5).alias("gene"))
     return want.join(part(spark, sf).select(F.col("p_partkey").alias("gene"), F.col("p_brand").alias("brand")), "gene", "left")
 
 
@@ -90,9 +90,9 @@ def j12(spark, sf):
     return nearest_gap(e.where("event_type = 'click'"), e.where("event_type = 'purchase'"), "event_id", "user_id", "at").where("gap is not null")
 
 
-@query("j13_clone_pairs", "WITH c AS (SELECT p_brand || p_size AS base, p_partkey AS id, p_retailprice AS v FROM part WHERE p_partkey <= 600) SELECT a.base, a.id AS id_1, b.id AS id_2, round(abs(a.v - b.v), 6) AS diff FROM c a JOIN c b ON a.base = b.base AND a.id < b.id")
+@query("j13_clone_pairs", "WITH c AS (SELECT p_brand || p_size AS base, p_partkey AS id, p_retailprice AS v FROM part) SELECT a.base, a.id AS id_1, b.id AS id_2, round(abs(a.v - b.v), 6) AS diff FROM c a JOIN c b ON a.base = b.base AND a.id < b.id")
 def j13(spark, sf):
-    c = part(spark, sf).where("p_partkey <= 600").select(F.concat("p_brand", F.col("p_size").cast("string")).alias("base"), F.col("p_partkey").alias("id_1"), F.col("p_retailprice").alias("v"))
+    c = part(spark, sf).select(F.concat("p_brand", F.col("p_size").cast("string")).alias("base"), F.col("p_partkey").alias("id_1"), F.col("p_retailprice").alias("v"))
     d = c.select("base", F.col("id_1").alias("id_2"), F.col("v").alias("w"))
     return c.join(d, "base").where("id_1 < id_2").select("base", "id_1", "id_2", F.round(F.abs(F.col("v") - F.col("w")), 6).alias("diff"))
 
@@ -108,10 +108,10 @@ def j17(spark, sf):
     return table(spark, sf, "orders").join(table(spark, sf, "customer").where("c_nationkey < 10"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment")
 
 
-@query("j18_append_dedupe", "SELECT p_partkey AS gene, p_brand AS entry FROM part WHERE p_partkey <= 100 UNION SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'extra' END FROM part WHERE p_partkey <= 50")
+@query("j18_append_dedupe", "SELECT p_partkey AS gene, p_brand AS entry FROM part WHERE p_size <= 30 UNION SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'extra' END FROM part WHERE p_brand = 'Brand#12'")
 def j18(spark, sf):
-    a = part(spark, sf).where("p_partkey <= 100").select(F.col("p_partkey").alias("gene"), F.col("p_brand").alias("entry"))
-    b = part(spark, sf).where("p_partkey <= 50").select(F.col("p_partkey").alias("gene"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise("extra").alias("entry"))
+    a = part(spark, sf).where("p_size <= 30").select(F.col("p_partkey").alias("gene"), F.col("p_brand").alias("entry"))
+    b = part(spark, sf).where("p_brand = 'Brand#12'").select(F.col("p_partkey").alias("gene"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise("extra").alias("entry"))
     return a.unionByName(b).distinct()
 
 

@@ -24,8 +24,7 @@ def _sql(parts: list[str]) -> str:
     return LINES.format(arr="[" + ", ".join(parts) + "]", k=len(parts))
 
 
-_W = "replace(substr(text, {a}, 12), chr(10), ' ')"
-W1, W2 = _W.format(a=1), _W.format(a=13)
+W1, W2 = "translate(text, concat(chr(10), chr(13)), '  ')", "concat('source ', source)"
 SOFT = ["concat('^SAMPLE = GSM', CAST(doc_id AS STRING))", f"concat('!Sample_title = ', {W1})", "concat('!Sample_lang = ', lang)", f"concat('!Sample_title = ', {W2})"]
 BLK = "count(*) FILTER (starts_with(value, '{p}')) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
