@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenfold.functions import kernels
+from screenfold.operators.counts import average_rank
 from screenfold.operators.windows import with_fdr
 
 ALPHAS = [10.0, 31.6, 100.0, 316.0, 1000.0, 3160.0, 10000.0, 31600.0, 100000.0]
@@ -276,3 +277,59 @@ def average_linkage(profiles: DataFrame, gene: str, values: str, metric: str = "
         return pa.table({c: pa.array(list(v), t) for c, v, t in zip(("step", "left", "right", "height", "size"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()))})
 
     return profiles.select(gene, values).groupBy(F.lit("all")).applyInArrow(lambda k, t: run(k, t), "step long, left long, right long, height double, size long")
+
+
+def leaf_order(merges: DataFrame) -> DataFrame:
+    """(place, leaf): leaves of a clustering from left to right.
+
+    A merge's place is where its left part begins plus nothing, its right part after the left one's
+    leaves, so places follow from sizes from the last merge down. Merges are as few as
+    ``average_linkage`` lets them be, and one sequence.
+    """
+
+    def run(key_, got):
+        got = got.sort_by("step")
+        left, right, size = (got.column(c).to_pylist() for c in ("left", "right", "size"))
+        n = len(left) + 1
+        begins = {n + len(left) - 1: 0} if left else {}
+        count = lambda x: 1 if x < n else size[x - n]
+        for k in range(len(left) - 1, -1, -1):
+            at = begins[n + k]
+            begins[left[k]], begins[right[k]] = at, at + count(left[k])
+        leaves = sorted((at, x) for x, at in begins.items() if x < n)
+        return pa.table({"place": pa.array([a for a, _ in leaves], pa.int64()), "leaf": pa.array([x for _, x in leaves], pa.int64())})
+
+    return merges.select("step", "left", "right", "size").groupBy(F.lit("all")).applyInArrow(lambda k, t: run(k, t), "place long, leaf long")
+
+
+def design(rows: DataFrame, key: str, block: str, fit_on: DataFrame | None = None) -> DataFrame:
+    """(key, block, feature, slot) of a baseline's design: ``ones``, ``strain``, ``gene`` or ``both``.
+
+    ``both`` has the gene block before the strain block. Levels come from ``fit_on``; the first of each
+    is the reference, and unseen ones have no entry.
+    """
+    if block == "ones":
+        return rows.select(key, F.lit("ones").alias("block"), F.lit("1").alias("feature"), F.lit(1).alias("slot"))
+    if block not in ("strain", "gene", "both"):
+        raise ValueError(f"no design {block!r}")
+    fit = fit_on if fit_on is not None else rows
+    part = lambda c: one_hot(rows, key, c, fit).select(key, F.lit(c).alias("block"), F.col("feature").cast("string").alias("feature"), "slot")
+    if block != "both":
+        return part(block)
+    width = fit.where("gene is not null").agg((F.countDistinct("gene") - 1).cast("int").alias("width"))
+    return part("gene").unionByName(part("strain").crossJoin(F.broadcast(width)).withColumn("slot", F.col("slot") + F.col("width")).drop("width"))
+
+
+def clone_correlations(values: DataFrame) -> DataFrame:
+    """(base, id_1, id_2, n, pearson, spearman) of the members of each base over strains in which both have a value.
+
+    ``values`` is (base, id, strain, value). Correlations of constants, and of fewer than two strains, are null.
+    """
+    v = values.where("value is not null and not isnan(value)")
+    a = v.select("base", "strain", F.col("id").alias("id_1"), F.col("value").alias("x"))
+    b = v.select("base", "strain", F.col("id").alias("id_2"), F.col("value").alias("y"))
+    pairs = a.join(b, ["base", "strain"]).where("id_1 < id_2")
+    of = ["base", "id_1", "id_2"]
+    ranked = pairs.withColumn("rx", average_rank(of, "x")).withColumn("ry", average_rank(of, "y"))
+    corr = lambda p, q, n: F.try_divide(F.covar_pop(p, q), F.stddev_pop(p) * F.stddev_pop(q)).alias(n)
+    return ranked.groupBy(*of).agg(F.count("*").alias("n"), corr("x", "y", "pearson"), corr("rx", "ry", "spearman"))

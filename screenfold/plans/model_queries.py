@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from screenfold.operators import fitness as X
 from screenfold.operators import models as M
 from screenfold.operators.counts import cpm
-from screenfold.plans.bindings import B1, B1D, SAMPLE, counts, many_strains, table
+from screenfold.plans.bindings import B1, B1D, B2, SAMPLE, counts, many_strains, table
 from screenfold.plans.registry import query
 
 r6 = lambda c, n=None: F.round(c, 6).alias(n or c)
@@ -232,3 +232,27 @@ def t34(spark, sf):
 @query("t35_cluster")
 def t35(spark, sf):
     return M.average_linkage(_profiles(spark, sf), "gene", "v", "cosine")
+
+
+@query("w07_leaf_order")
+def w07(spark, sf):
+    return M.leaf_order(M.average_linkage(_profiles(spark, sf), "gene", "v", "correlation"))
+
+
+@query("t37_clone_corr", f"""WITH {B2}, v AS (SELECT gene % 100 AS base, gene AS id, strain, fc FROM b2 WHERE fc IS NOT NULL), p AS (SELECT a.base, a.id AS id_1, b.id AS id_2, a.fc AS x, b.fc AS y FROM v a JOIN v b ON a.base = b.base AND a.strain = b.strain AND a.id < b.id),
+r AS (SELECT *, rank() OVER (PARTITION BY id_1, id_2 ORDER BY x) + (count(*) OVER (PARTITION BY id_1, id_2, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY id_1, id_2 ORDER BY y) + (count(*) OVER (PARTITION BY id_1, id_2, y) - 1) / 2.0::DOUBLE AS ry FROM p)
+SELECT base, id_1, id_2, CAST(count(*) AS BIGINT) AS n, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) AS pearson, round(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 6) AS spearman FROM r GROUP BY ALL""")
+def t37(spark, sf):
+    v = many_strains(spark, sf).select((F.col("gene") % 100).alias("base"), F.col("gene").alias("id"), "strain", F.col("fc").alias("value"))
+    return M.clone_correlations(v).select("base", "id_1", "id_2", "n", r6("pearson"), r6("spearman"))
+
+
+@query("m15_design", "WITH r AS (SELECT p_partkey, p_brand AS gene, p_type AS strain FROM part), f AS (SELECT * FROM r WHERE p_partkey % 20 < 14), g AS (SELECT gene AS feature, row_number() OVER (ORDER BY gene) - 1 AS slot FROM (SELECT DISTINCT gene FROM f)), s AS (SELECT strain AS feature, row_number() OVER (ORDER BY strain) - 1 AS slot FROM (SELECT DISTINCT strain FROM f)) SELECT p_partkey, 'gene' AS block, feature, CAST(slot AS INTEGER) AS slot FROM r JOIN g ON gene = feature WHERE slot > 0 UNION ALL SELECT p_partkey, 'strain', feature, CAST(slot + (SELECT count(*) - 1 FROM g) AS INTEGER) FROM r JOIN s ON strain = feature WHERE slot > 0")
+def m15(spark, sf):
+    r = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("gene"), F.col("p_type").alias("strain"))
+    return M.design(r, "p_partkey", "both", r.where("p_partkey % 20 < 14"))
+
+
+@query("k16_split_map", f"WITH {SC} SELECT DISTINCT gene, Split AS split FROM sc")
+def k16(spark, sf):
+    return scores(spark, sf).select("gene", F.col("Split").alias("split")).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from screenfold.functions import text as T
+
 FEATURE_COLUMNS = tuple(f"c{i}" for i in range(16))
 SHEET_SCHEMA = "sample_id string, strain string, generation int, replicate string, fastq string, index_seq string"
 
@@ -120,3 +122,78 @@ def domain_faults(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n): cells other than 0, 1 and null."""
     bad = df.agg(*[F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(0, 1)).alias(c) for c in columns])
     return bad.unpivot([], columns, "column", "n").where("n > 0")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path, in whatever store the session reads, is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """(gene): distinct non-empty names of the column ``gene``, else of the first; a missing file has none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "gene string")
+    got = read_table(spark, path)
+    column = "gene" if "gene" in got.columns else got.columns[0]
+    return got.select(F.col(f"`{column}`").cast("string").alias("gene")).where("gene <> ''").distinct()
+
+
+def read_lane_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """A lane's count matrix, its columns without the well and index tag that end their names."""
+    got = read_table(spark, path)
+    return clean_lane_columns(got)
+
+
+def clean_lane_columns(df: DataFrame) -> DataFrame:
+    import re
+
+    names = [re.sub(r"[A-H][0-9]{1,2}-[ACGT]+$", "", c) for c in df.columns]
+    twice = {n for n in names if names.count(n) > 1}
+    if twice:
+        raise ValueError(f"columns that are one without their tags: {sorted(twice)}")
+    return df.toDF(*names)
+
+
+def paired_tables(a: DataFrame, b: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables, if their keys are the same with repeats; else an error that names some that differ."""
+    ka, kb = a.select(key), b.select(key)
+    odd = ka.exceptAll(kb).withColumn("side", F.lit("left")).unionByName(kb.exceptAll(ka).withColumn("side", F.lit("right"))).limit(5).collect()
+    if odd:
+        raise ValueError("keys of one table only: " + ", ".join(f"{r[key]} ({r['side']})" for r in odd))
+    return a, b
+
+
+def read_splits(spark: SparkSession, path: str) -> DataFrame:
+    """(run, gene, split) of split tables, ``path`` a glob; a run is its file's folder. NA and the like stay text."""
+    rows = spark.read.option("sep", "\t").option("header", True).option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+    gene, split = rows.columns[:2]
+    run = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    return rows.select(run.alias("run"), F.col(f"`{gene}`").alias("gene"), F.col(f"`{split}`").alias("split"))
+
+
+def read_annotations(spark: SparkSession, categories: str, features: str) -> tuple[DataFrame, DataFrame]:
+    """(gene, category) and (gene, feature, value); each table is empty if its file is missing."""
+    cats, long = spark.createDataFrame([], "gene string, category string"), spark.createDataFrame([], "gene string, feature string, value double")
+    if exists(spark, categories):
+        cats = spark.read.option("sep", "\t").schema("gene string, category string").csv(categories)
+    if exists(spark, features):
+        wide = read_table(spark, features)
+        names = [c for c in wide.columns if c != "gene"]
+        long = numeric(wide, names).unpivot(["gene"], names, "feature", "value") if names else long
+    return cats, long
+
+
+def draft_sheet(records: DataFrame, strains: DataFrame, name: str = "strain") -> DataFrame:
+    """A draft sample sheet of (record, title, hints...) rows: strain and generation guessed from all text
+    fields, the replicate from the title; what no field tells is empty."""
+    hints = [c for c in records.columns if c != "record"]
+    rows = records.withColumn("_text", F.concat_ws(" ; ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in hints]))
+    found = T.longest_contained(rows, "_text", strains, name, ["record"]).withColumnRenamed("found", "strain")
+    sheet = rows.select("record", F.replace(F.trim("title"), F.lit(" "), F.lit("_")).alias("sample_id"), T.generation(F.col("_text")).alias("generation"), T.replicate(F.trim("title")).alias("replicate"))
+    return sheet.join(found, "record", "left").select("record", "sample_id", F.coalesce("strain", F.lit("")).alias("strain"), "generation", F.coalesce("replicate", F.lit("")).alias("replicate"), F.lit("").alias("index_seq"), F.lit("").alias("fastq"))
+
+
+def coverage(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
+    """(source, file, status): loaded or missing, of named input files."""
+    return spark.createDataFrame([(k, p, "loaded" if exists(spark, p) else "missing") for k, p in sources.items()], "source string, file string, status string")

@@ -37,3 +37,24 @@ def verified_write(df: DataFrame, path: str) -> DataFrame:
     if not back.exceptAll(df).unionAll(df.exceptAll(back)).isEmpty():
         raise ValueError(f"{path} differs from what was written")
     return back
+
+
+def write_list(genes: DataFrame, path: str, scores: DataFrame | None = None) -> None:
+    """One list with its scores beside; an empty list is a file with its header."""
+    out = genes.select("gene").distinct()
+    write_table(out if scores is None else out.join(scores, "gene", "left"), path)
+
+
+def write_linkage(merges: DataFrame, path: str) -> None:
+    """The merges of a clustering in order; few rows, so one file."""
+    merges.coalesce(1).sortWithinPartitions("step").write.parquet(path, mode="overwrite")
+
+
+def write_split_map(rows: DataFrame, path: str, gene: str = "gene", split: str = "split") -> None:
+    """Distinct (gene, split) pairs."""
+    write_table(rows.select(gene, split).distinct(), path)
+
+
+def write_nonzero(pairs: DataFrame, path: str, value: str) -> None:
+    """Gzip table of the rows whose value is neither null nor zero."""
+    write_table(pairs.where(F.col(value) != 0), path, compression="gzip")

@@ -123,3 +123,61 @@ def test_sinks(spark, tmp_path):
     sinks.write_pairs(df, str(tmp_path / "pairs"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "pairs")).collect()] == ["g\tc"]
     assert sinks.verified_write(df, str(tmp_path / "table")).count() == 3
+
+
+def test_lists_lanes_pairs_and_annotations(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("x\tgene\n1\tG1\n2\tG2\n3\tG1\n4\t\n")
+    (tmp_path / "b.tsv").write_text("name\tv\nG3\t1\n")
+    names = lambda f: sorted(r["gene"] for r in files.read_list(spark, f"{tmp_path}/{f}").collect())
+    assert (names("a.tsv"), names("b.tsv"), names("none.tsv")) == (["G1", "G2"], ["G3"], [])
+    (tmp_path / "lane.tsv").write_text("gene\tS_Rep1_Gen0A1-AATAGG\tS_Rep2_Gen10H12-CC\nG\t4\t5\n")
+    assert files.read_lane_matrix(spark, f"{tmp_path}/lane.tsv").columns == ["gene", "S_Rep1_Gen0", "S_Rep2_Gen10"]
+    with pytest.raises(ValueError, match="S_Rep1"):
+        files.clean_lane_columns(spark.createDataFrame([(1, 2)], "`S_Rep1A1-AC` int, `S_Rep1B2-GT` int"))
+    a, b = spark.createDataFrame([("g",), ("h",)], "gene string"), spark.createDataFrame([("h",), ("g",)], "gene string")
+    assert files.paired_tables(a, b, "gene")[1] is b
+    with pytest.raises(ValueError, match="left"):
+        files.paired_tables(a, b.limit(1), "gene")
+    (tmp_path / "run1").mkdir()
+    (tmp_path / "run1" / "s.tsv").write_text("gene\tsplit\nNA\ttrain\nG\tNaN\n")
+    got = {(r["run"], r["gene"], r["split"]) for r in files.read_splits(spark, f"{tmp_path}/run*/s.tsv").collect()}
+    assert got == {("run1", "NA", "train"), ("run1", "G", "NaN")}
+    (tmp_path / "f.tsv").write_text("gene\tlen\nG\t3\nH\tx\n")
+    cats, long = files.read_annotations(spark, f"{tmp_path}/none", f"{tmp_path}/f.tsv")
+    assert cats.count() == 0 and {(r["gene"], r["value"]) for r in long.where("value is not null").collect()} == {("G", 3.0)}
+    assert {(r["source"], r["status"]) for r in files.coverage(spark, {"f": f"{tmp_path}/f.tsv", "n": f"{tmp_path}/none"}).collect()} == {("f", "loaded"), ("n", "missing")}
+    (tmp_path / "sgd.tsv").write_text("\t".join(f"v{i}" if i else "" for i in range(16)) + "\n")
+    assert files.read_features(spark, f"{tmp_path}/sgd.tsv").first()["c0"] == "" and len(files.read_features(spark, f"{tmp_path}/sgd.tsv", nulls=True).columns) == 16
+
+
+def test_sinks_of_small_tables(spark, tmp_path):
+    empty = spark.createDataFrame([], "gene string")
+    sinks.write_list(empty, f"{tmp_path}/none")
+    assert files.read_list(spark, f"{tmp_path}/none").count() == 0
+    sinks.write_list(spark.createDataFrame([("g",), ("h",)], "gene string"), f"{tmp_path}/some", spark.createDataFrame([("g", 1.5)], "gene string, fc double"))
+    assert {(r["gene"], r["fc"]) for r in files.read_table(spark, f"{tmp_path}/some").collect()} == {("g", "1.5"), ("h", None)}
+    sinks.write_split_map(spark.createDataFrame([("g", "train"), ("g", "train")], "gene string, split string"), f"{tmp_path}/map")
+    assert files.read_table(spark, f"{tmp_path}/map").count() == 1
+    sinks.write_nonzero(spark.createDataFrame([("g", 0.0), ("h", 2.0), ("i", None)], "gene string, v double"), f"{tmp_path}/nz", "v")
+    assert [r["gene"] for r in files.read_table(spark, f"{tmp_path}/nz").collect()] == ["h"]
+    sinks.write_by(spark.createDataFrame([("a", 1), ("b", 2)], "strain string, n int"), "strain", f"{tmp_path}/by")
+    assert spark.read.parquet(f"{tmp_path}/by/strain=a").count() == 1
+    assert sinks.stats_json(spark.createDataFrame([(1, "x")], "n int, t string")).first()["value"] == '{"n":1,"t":"x"}'
+
+
+def test_leaves_specs_and_designs(spark, tmp_path):
+    from screenfold.operators import models
+
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate([(1, 2, 3), (3, 2, 1), (1, 2, 3.1), (3, 2, 1.1), (2, 2, 9)])], "gene long, v array<double>")
+    merges = models.average_linkage(rows, "gene", "v")
+    order = [r["leaf"] for r in models.leaf_order(merges).orderBy("place").collect()]
+    assert sorted(order) == list(range(5)) and abs(order.index(0) - order.index(2)) == 1 and abs(order.index(1) - order.index(3)) == 1
+    sinks.write_linkage(merges, f"{tmp_path}/linkage")
+    assert [r["step"] for r in spark.read.parquet(f"{tmp_path}/linkage").collect()] == list(range(4))
+    assert splits.split_spec("0.7:0.15:0.15") == [("train", 0.7), ("val", 0.15), ("test", 0.15)] and splits.split_spec("0.8:0.2", "R", "x")[1] == ("test", 0.2)
+    for bad in (("1",), ("0.5:0.4",), ("0.5:0.5", "Z"), ("0.5:0.5", "C1e", "nothing")):
+        with pytest.raises(ValueError):
+            splits.split_spec(*bad)
+    r = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", "x")], "id int, gene string, strain string")
+    assert {(d["id"], d["block"], d["slot"]) for d in models.design(r, "id", "both").collect()} == {(2, "gene", 1), (3, "gene", 2), (2, "strain", 3)}
+    assert models.design(r, "id", "ones").count() == 3 and models.design(r, "id", "gene", r.where("gene <> 'c'")).count() == 1
