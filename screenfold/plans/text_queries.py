@@ -211,8 +211,8 @@ def s20(spark, sf):
     return d.unpivot(["doc_id"], ["lang", "source"], "c", "gene").where("gene rlike '^src' and length(gene) >= 5").select("gene").distinct()
 
 
-@query("s36_draft_sheet", f"""WITH n AS (SELECT DISTINCT source AS v FROM documents), h AS (SELECT d.doc_id, arg_min(n.v, (-length(n.v), n.v)) AS found FROM documents d JOIN n ON contains(upper(d.source), upper(n.v)) GROUP BY d.doc_id)
-SELECT d.doc_id AS record, replace(trim({_TITLE}), ' ', '_') AS sample_id, coalesce(found, '') AS strain, CASE d.doc_id % 6 WHEN 0 THEN 10 WHEN 2 THEN 0 WHEN 3 THEN 10 WHEN 4 THEN 0 END AS generation, CASE d.doc_id % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN '2' WHEN 3 THEN '3' WHEN 4 THEN 'C' ELSE '' END AS replicate, '' AS index_seq, '' AS fastq FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id""")
+@query("s36_draft_sheet", f"""WITH n AS (SELECT DISTINCT source AS v FROM documents), h AS (SELECT d.doc_id AS k, arg_min(n.v, (-length(n.v), n.v)) AS found FROM documents d JOIN n ON contains(upper(d.source), upper(n.v)) GROUP BY d.doc_id)
+SELECT d.doc_id AS record, replace(trim({_TITLE}), ' ', '_') AS sample_id, coalesce(found, '') AS strain, CASE d.doc_id % 6 WHEN 0 THEN 10 WHEN 2 THEN 0 WHEN 3 THEN 10 WHEN 4 THEN 0 END AS generation, CASE d.doc_id % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN '2' WHEN 3 THEN '3' WHEN 4 THEN 'C' ELSE '' END AS replicate, '' AS index_seq, '' AS fastq FROM documents d LEFT JOIN h ON d.doc_id = h.k""")
 def s36(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("record"), F.expr(_TITLE).alias("title"), F.col("source").alias("source_name"))
     return S.draft_sheet(d, d.select(F.col("source_name").alias("strain")).distinct())
