@@ -30,6 +30,8 @@ class WordHashes(dict):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > LONG_WORD:  # not kept: the cache is bounded in bytes too
+            return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         if len(self) >= self.most:
             self.clear()
         got = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")

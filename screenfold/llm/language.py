@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenfold.llm.common import slices
@@ -109,43 +109,42 @@ def fold(id_col: str = "doc_id") -> F.Column:
 
 
 def training_sample(docs: DataFrame, sample: int) -> DataFrame:
-    """At most about ``sample`` labelled rows, as many of each language as there are, by hash of id.
+    """About ``sample`` labelled rows at most, as many of each language as there are, by hash of id.
 
-    Counts of languages come first; then a row is in if its hash falls below its language's share, so
-    no language's rows meet in one task.
+    Counts of languages come first and are joined back; a row is in if its hash falls below its
+    language's share, so no language's rows meet in one task and no language is left out.
     """
     ok = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold(), F.lit(1)) != 1)).select("doc_id", "text", "lang")
-    counts = ok.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()  # languages, not rows
-    each = sample / max(1, len(counts))
-    rate = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))]) if counts else None
+    counts = ok.groupBy("lang").agg(F.count("*").alias("held"))
+    every = counts.agg(F.count("*").alias("langs"))
+    rates = counts.crossJoin(F.broadcast(every)).select("lang", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("langs") / F.col("held")).alias("rate"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return ok.where(place < F.coalesce(rate[F.col("lang")], F.lit(0.0))) if counts else ok.limit(0)
+    return ok.join(rates, "lang").where(place < F.col("rate")).select("doc_id", "text", "lang")
 
 
 def fit(docs: DataFrame, sample: int = 3000, longest: int = 20_000_000) -> LanguageModel | None:
     """Train on the whole texts of a bounded sample of rows outside the held-out fold.
 
-    Bounds: ``sample`` rows in expectation, and rows in hash order only as long as their texts have at
-    most ``longest`` characters together.
+    Bounds: ``sample`` rows in expectation and twice that at most, and rows in hash order only as long
+    as their texts have at most ``longest`` characters together. Lengths choose the rows; only texts
+    within the bounds are fetched.
     """
-    total = F.sum(F.length("text")).over(_running())
-    rows = training_sample(docs, sample).orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text")).limit(2 * sample)
-    got = rows.withColumn("so_far", total).where(F.col("so_far") <= longest).select("text", "lang", "so_far").toPandas().sort_values("so_far")
+    rows = training_sample(docs, sample).withColumn("hash", F.xxhash64("text"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("lang"), F.col("hash")]
+    first = rows.select("doc_id", "lang", "hash", F.length("text").alias("n")).dropDuplicates(["doc_id", "lang", "hash"]).orderBy(*order).limit(2 * sample)
+    so_far = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = first.withColumn("so_far", so_far).where(F.col("so_far") <= longest)
+    got = rows.join(F.broadcast(chosen), ["doc_id", "lang", "hash"]).select("text", "lang", "so_far").toPandas().drop_duplicates("so_far").sort_values("so_far")
     return train(got["text"].tolist(), got["lang"].tolist()) if len(got) else None
 
 
-def _running():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
-
-
 def identify(docs: DataFrame, sample: int = 3000, model: LanguageModel | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) of every row.
 
     A null text, or one without a letter, is ``und`` with score 0; so is everything when no row can be
     learned from. ``rejected`` marks predictions below the calibrated floor. Only text decides:
-    repeated texts get equal predictions; other columns are not read.
+    repeated rows and equal texts get equal predictions, ties of probability the first language in order,
+    very long texts are read whole; other columns are not read, an empty table gives an empty one.
     """
     learned = model or fit(docs, sample)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from screenfold.llm.common import slices
 
 SPACE = "▁"
+#: Longest word whose ids are kept, so that a cache is bounded in bytes too.
+LONGEST_KEPT = 64
 
 
 class PieceCodec:
@@ -65,7 +67,7 @@ class PieceCodec:
         self.chunk_ids: dict[str, str] = {}
         self.young: dict[str, str] = {}
         self.old: dict[str, str] = {}
-        self.odd: set[str] = set()  # words that do not decode to themselves
+        self.odd = False  # whether any word so far did not decode to itself
 
     def _merged(self, text: str) -> list[str]:
         """Greedy merges of a short text: the best score first, the leftmost of equals."""
@@ -151,13 +153,14 @@ class PieceCodec:
                     parts.append(word[start:i])
                     start = i
             parts.append(word[start:])
-            got = ",".join([self._ids(p) for p in parts])
-            if self._text([int(i) for i in got.split(",")]) != word.replace(SPACE, " "):
-                self.odd.add(word)
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
-            self.odd &= self.old.keys() | {word}
-        self.young[word] = got
+            ids = ",".join([self._ids(p) for p in parts])
+            back = self._text([int(i) for i in ids.split(",")])
+            got = ids if back == word.replace(SPACE, " ") else (ids, back)
+            self.odd = self.odd or got is not ids
+        if len(word) <= LONGEST_KEPT:
+            if len(self.young) >= self.most:
+                self.old, self.young = self.young, {}
+            self.young[word] = got
         return got
 
     def _words(self, text: str) -> list[str]:
@@ -179,12 +182,14 @@ class PieceCodec:
                 got = self._word(w)
                 young = self.young
             out.append(got)
-        ids = ",".join(out)
-        if self.odd and not self.odd.isdisjoint(words):
-            back = self.decode([int(i) for i in ids.split(",")])
-        else:  # every word was seen to decode to itself
-            back = text.replace(SPACE, " ")
-        return ids, ids.count(",") + 1, back
+        # words begin with a space, so no run of bytes goes from one to the next and their decoded forms join
+        if self.odd:
+            back = "".join([w if g.__class__ is str else g[1] for w, g in zip(words, out)])
+            ids = ",".join([g if g.__class__ is str else g[0] for g in out])
+        else:
+            back, ids = "".join(words), ",".join(out)
+        back = back.replace(SPACE, " ")
+        return ids, ids.count(",") + 1, back[1:] if back.startswith(" ") else back
 
     def encode(self, text: str | None) -> list[int]:
         ids = self.encoded(text)[0]
@@ -220,7 +225,8 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     empty one.
 
     ``round_trips``: the ids decode to the text. Rows are independent: repeated rows and ids give
-    repeated results, other columns are not read, an empty table gives an empty one. No shuffle.
+    repeated results, other columns are not read, an empty table gives an empty one, a very long text is cut
+    where no piece can span. No shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

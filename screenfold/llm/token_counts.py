@@ -133,6 +133,10 @@ class WordTransducer:
         return total + (self.moves[state].get(s) or self._move(state, s))[1]
 
 
+#: Longest stretch whose count is kept, so that a cache is bounded in bytes too.
+LONGEST_KEPT = 64
+
+
 @dataclass(frozen=True)
 class ChunkMap:
     """State map of a chunk. ``head`` runs from whatever state the chunk is entered in up to its first
@@ -172,9 +176,10 @@ class TokenCounter:
             got = self.old.get(stretch)
             if got is None:
                 got = sum(self.fst.count(w.encode("utf-8", "surrogatepass")) for w in self.words(stretch))
-            if len(self.young) >= self.most:
-                self.old, self.young = self.young, {}
-            self.young[stretch] = got
+            if len(stretch) <= LONGEST_KEPT:
+                if len(self.young) >= self.most:
+                    self.old, self.young = self.young, {}
+                self.young[stretch] = got
         return got
 
     def chunk_map(self, chunk: str) -> ChunkMap:
@@ -209,12 +214,6 @@ class TokenCounter:
             step *= 2
         return maps
 
-    def reduce(self, maps: list[ChunkMap]) -> ChunkMap:
-        """The last element of the scan, by a balanced tree."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
-
     def count(self, text: str | None) -> int:
         if not text:
             return 0
@@ -225,7 +224,7 @@ class TokenCounter:
         for part in parts:
             if part:
                 clean, n = self.normal(part), self.chunk_chars
-                whole = self.reduce([self.chunk_map(clean[i : i + n]) for i in range(0, len(clean), n)])
+                whole = self.scan([self.chunk_map(clean[i : i + n]) for i in range(0, len(clean), n)])[-1]
                 total += whole.emitted + sum(self.run(s) for s in (whole.head, whole.tail) if s)
         return total
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from dataclasses import replace
 
 import duckdb
 import numpy as np
@@ -77,12 +78,20 @@ def test_secrets_by_plain_regexes(spark):
 
 def test_the_ledger_scans_only_what_is_new(spark):
     a = spark.createDataFrame([("p1", "secret=abcdef"), ("p2", "secret=abcdef"), ("p3", "nothing")], "doc_id string, text string")
-    found, ledger = secrets.scan_versions(a)
-    assert ledger.count() == 2
+    rules = secrets.RULES[:2]
+    found, ledger = secrets.scan_versions(a, rules=rules)
+    assert ledger.count() == 4 and ledger.where("size(spans) > 0").count() == 1
     more = a.unionByName(spark.createDataFrame([("p4", "secret=ghijkl")], "doc_id string, text string"))
-    again, new = secrets.scan_versions(more, ledger)
-    assert new.count() == 1 and again.where(F.size("spans") > 0).count() == 3
-    assert secrets.scan_versions(more, ledger, version="v2")[1].count() == 3
+    again, new = secrets.scan_versions(more, ledger, rules=rules)
+    assert new.count() == 2 and again.where(F.size("spans") > 0).count() == 3
+    # a new version of one rule is scanned for in every blob, the other in none
+    changed = (replace(rules[0], version="2", least=7), rules[1])
+    third, newer = secrets.scan_versions(more, ledger.unionByName(new), rules=changed)
+    assert {(r["rule"], r["rule_version"]) for r in newer.collect()} == {("assign", "2")} and newer.count() == 3
+    assert third.where(F.size("spans") > 0).count() == 0
+    # one more rule: only its pairs
+    _, other = secrets.scan_versions(more, ledger.unionByName(new), rules=(*rules, secrets.RULES[2]))
+    assert {r["rule"] for r in other.collect()} == {"hex"} and secrets.scan_versions(more, ledger.unionByName(new), rules=rules)[1].count() == 0
 
 
 def test_mix_equals_sql_and_reruns_agree(spark):

@@ -47,7 +47,7 @@ def test_chunk_maps_compose_associatively():
     maps = [c.chunk_map(x) for x in ("ab", "c d", "ef", " g", "h i j", "k")]
     a = c.compose(c.compose(maps[0], maps[1]), maps[2])
     assert a == c.compose(maps[0], c.compose(maps[1], maps[2]))
-    assert c.scan(maps)[-1] == c.reduce(maps)
+    assert c.scan(maps)[-1] == c.compose(c.compose(a, maps[3]), c.compose(maps[4], maps[5]))
 
 
 def test_trees_are_monotone_where_told():
