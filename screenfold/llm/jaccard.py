@@ -282,7 +282,7 @@ def class_links(texts: DataFrame, classes: DataFrame, rule: Threshold, total_gra
     width = shuffle_width(texts.sparkSession)
     buckets = max(16, min(width, 64), total_grams // 4_000_000)
     blocks = max(16, total_grams // BLOCK_WORDS)
-    bins = max(8, total // 2000)
+    bins = max(32, total // 500)
     ranked = stash(_ranked(texts, classes, rule, buckets, blocks), "ranked")
     groups = ranked.groupBy("gid").agg(F.first("prefix").alias("prefix"), F.count("*").alias("n"))
     posts = groups.select("gid", "n", F.explode("prefix").alias("gram"))
