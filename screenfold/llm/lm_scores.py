@@ -31,40 +31,69 @@ class Smoothing:
     mass: float = 50.0
 
 
-def text_grams(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Hashes of the lower-cased words of each whole text, and of the pairs of neighbours."""
-    words, at = word_hashes(texts)
-    with np.errstate(over="ignore"):
-        pairs = mix64(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + mix64(words[1:] + np.uint64(1))) >> np.uint64(64 - BITS)
-    words = words >> np.uint64(64 - BITS)
-    return [(words[i:j], pairs[i : max(i, j - 1)]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+@dataclass(frozen=True)
+class Grams:
+    """Hashes of the lower-cased words of whole texts and of their pairs of neighbours, and where each
+    text's begin."""
+
+    words: np.ndarray
+    words_at: np.ndarray
+    pairs: np.ndarray
+    pairs_at: np.ndarray
+
+    @property
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.words, self.pairs])
+
+    def per_gram(self, of_texts: np.ndarray) -> np.ndarray:
+        """A value of each text for each of ``flat``."""
+        return np.concatenate([np.repeat(of_texts, np.diff(self.words_at)), np.repeat(of_texts, np.diff(self.pairs_at))])
+
+
+def text_grams(texts: pa.Table) -> Grams:
+    """Grams of the one column of ``texts``, hashed piece by piece."""
+    words, pairs, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for part in slices(texts.combine_chunks().to_batches()):
+        w, at = word_hashes(part.column(0))
+        with np.errstate(over="ignore"):
+            p = mix64(w[:-1] * np.uint64(0x9E3779B97F4A7C15) + mix64(w[1:] + np.uint64(1)))
+        inside = np.ones(len(p), bool)
+        inside[at[(at > 0) & (at < len(w))] - 1] = False  # from one text to the next
+        words.append(w >> np.uint64(64 - BITS))
+        pairs.append(p[inside] >> np.uint64(64 - BITS))
+        held.append(np.diff(at))
+    n = np.concatenate(held)[1:]
+    begins = lambda x: np.concatenate([[0], np.cumsum(x)])
+    return Grams(np.concatenate(words), begins(n), np.concatenate(pairs), begins(np.maximum(n - 1, 0)))
 
 
 def ratio(target: np.ndarray, background: np.ndarray, match: float, add: float) -> np.ndarray:
     return np.log((np.maximum(target, 0) + add) / (np.maximum(background, 0) * match + add))
 
 
-def document_score(words, pairs, counts, is_target: bool, match: float, smooth: Smoothing) -> float:
-    """Mean over tokens of background loss minus target loss, the document's own counts left out.
+def text_scores(grams: Grams, distinct: np.ndarray, at: np.ndarray, target: np.ndarray, background: np.ndarray, is_target: np.ndarray, match: float, smooth: Smoothing) -> np.ndarray:
+    """For each text the mean over tokens of background loss minus target loss, its own counts left out.
 
-    ``counts`` gives (target, background) counts of an array of grams. A token's loss is the mean of
-    its loss as a word and as the successor of the word before it; the first has only the former.
+    ``target`` and ``background`` count the ``distinct`` grams, ``at`` places ``grams.flat`` among them.
+    A token's loss is the mean of its loss as a word and as the successor of the word before it; the
+    first has only the former. A text without words scores 0.
     """
-    if not len(words):
-        return 0.0
-
-    def net(grams):
-        distinct, at, own = np.unique(grams, return_inverse=True, return_counts=True)
-        t, b = counts(distinct)
-        return (t - own * is_target)[at], (b - own)[at]
-
-    wt, wb = net(words)
-    loss = ratio(wt, wb, match, smooth.unit)
-    if len(pairs):
-        pt, pb = net(pairs)
-        after = ratio(pt, pb, match, smooth.unit) - ratio(wt[:-1], wb[:-1], match, smooth.mass)
-        loss[1:] = (loss[1:] + after) / 2
-    return float(loss.mean())
+    texts = grams.per_gram(np.arange(len(is_target)))
+    _, same, own = np.unique(texts * len(distinct) + at, return_inverse=True, return_counts=True)
+    own = own[same]
+    t, b = target[at] - own * is_target[texts], background[at] - own
+    n = len(grams.words)
+    loss = ratio(t[:n], b[:n], match, smooth.unit)
+    held = np.diff(grams.words_at)
+    later = np.ones(n, bool)
+    later[grams.words_at[:-1][held > 0]] = False
+    before = np.flatnonzero(later) - 1
+    after = ratio(t[n:], b[n:], match, smooth.unit) - ratio(t[before], b[before], match, smooth.mass)
+    loss[later] = (loss[later] + after) / 2
+    out = np.zeros(len(held))
+    if n:
+        out[held > 0] = np.add.reduceat(loss, grams.words_at[:-1][held > 0]) / held[held > 0]
+    return out
 
 
 def score(docs: DataFrame, labels: DataFrame, smooth: Smoothing = Smoothing(), block_words: int = 400_000) -> DataFrame:
@@ -89,23 +118,12 @@ def score(docs: DataFrame, labels: DataFrame, smooth: Smoothing = Smoothing(), b
     flags = good.select("doc_id", block)
     edges = ((np.arange(1, buckets, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets)) << np.uint64(BITS - 32)
 
-    def grams_of(rows):
-        """Grams of each document, and the distinct grams of all, in order."""
-        each = [g for part in slices(rows.select(["text"]).combine_chunks().to_batches()) for g in text_grams(part.column(0))]
-        flat = [g for pair in each for g in pair]
-        return each, np.unique(np.concatenate(flat)) if flat else np.zeros(0, np.uint64)
-
     def ask(key, rows, flagged):
-        each, grams = grams_of(rows)
+        held = text_grams(rows.select(["text"]))
+        grams, at = np.unique(held.flat, return_inverse=True)
         good_ids = set(flagged.column("doc_id").to_pylist())
-        total, chosen = np.zeros(len(grams)), np.zeros(len(grams))
-        for doc, (words, pairs) in zip(rows.column("doc_id").to_pylist(), each):
-            for g in (words, pairs):
-                distinct, n = np.unique(g, return_counts=True)
-                at = np.searchsorted(grams, distinct)
-                total[at] += n
-                if doc in good_ids:
-                    chosen[at] += n
+        chosen_texts = np.array([d in good_ids for d in rows.column("doc_id").to_pylist()], bool)
+        total, chosen = np.bincount(at, minlength=len(grams)), np.bincount(at[held.per_gram(chosen_texts)], minlength=len(grams))
         cuts = np.searchsorted(grams, edges)
         parts = list(zip(np.split(grams, cuts), np.split(total, cuts), np.split(chosen, cuts)))
         keep = [i for i, p in enumerate(parts) if len(p[0])]
@@ -121,20 +139,17 @@ def score(docs: DataFrame, labels: DataFrame, smooth: Smoothing = Smoothing(), b
         return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "total": pa.array([pack_counts(sums[0][w]) for w in where], pa.binary()), "chosen": pa.array([pack_counts(sums[1][w]) for w in where], pa.binary())})
 
     def finish(key, rows, got):
-        each, grams = grams_of(rows)
+        held = text_grams(rows.select(["text"]))
+        grams, at = np.unique(held.flat, return_inverse=True)
         got = got.to_pylist()
         good_ids = {r["doc_id"] for r in got if r["bucket"] is None}
         parts = sorted((r for r in got if r["bucket"] is not None), key=lambda r: r["bucket"])
-        held = np.diff(np.searchsorted(grams, edges), prepend=0, append=len(grams))
-        total, chosen = (np.concatenate([unpack_counts(r[c], held[r["bucket"]]) for r in parts] or [np.zeros(0)]) for c in ("total", "chosen"))
-
-        def counts(g):
-            at = np.searchsorted(grams, g)
-            return chosen[at], total[at]
-
+        counts_in = np.diff(np.searchsorted(grams, edges), prepend=0, append=len(grams))
+        total, chosen = (np.concatenate([unpack_counts(r[c], counts_in[r["bucket"]]) for r in parts] or [np.zeros(0)]) for c in ("total", "chosen"))
         ids = rows.column("doc_id")
-        scores = [document_score(w, p, counts, d in good_ids, match, smooth) for d, (w, p) in zip(ids.to_pylist(), each)]
-        return pa.table({"doc_id": ids, "n_tokens": pa.array([len(w) for w, _ in each], pa.int64()), "score": pa.array(scores, pa.float64())})
+        is_target = np.array([d in good_ids for d in ids.to_pylist()], bool)
+        scores = text_scores(held, grams, at, chosen, total, is_target, match, smooth)
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(np.diff(held.words_at), pa.int64()), "score": pa.array(scores, pa.float64())})
 
     asked = texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(ask, "block int, bucket int, grams binary, total binary, chosen binary")
     answers = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, total binary, chosen binary")

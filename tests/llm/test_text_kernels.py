@@ -84,12 +84,12 @@ def test_language_model_learns_and_rejects():
 
 
 def test_scores_leave_own_counts_out():
-    ((words, pairs),) = lm_scores.text_grams(pa.array(["a b a"]))
-    own = {int(w): 0 for w in [*words, *pairs]}
-    for w in [*words, *pairs]:
-        own[int(w)] += 1
-    only = lambda g: (np.array([own[int(x)] for x in g]), np.array([own[int(x)] for x in g]))
-    assert lm_scores.document_score(words, pairs, only, True, 1.0, lm_scores.Smoothing()) == 0
+    held = lm_scores.text_grams(pa.table({"text": ["a b a", "", None, "c", "a b"]}))
+    assert held.words_at.tolist() == [0, 3, 3, 3, 4, 6] and held.pairs_at.tolist() == [0, 2, 2, 2, 2, 3]
+    assert held.pairs[0] == held.pairs[2] != held.pairs[1] and held.words[0] == held.words[2]
+    one = lm_scores.text_grams(pa.table({"text": ["a b a"]}))
+    grams, at, times = np.unique(one.flat, return_inverse=True, return_counts=True)
+    assert lm_scores.text_scores(one, grams, at, times, times, np.array([True]), 1.0, lm_scores.Smoothing()).tolist() == [0]
 
 
 def test_hashes_of_whole_columns_by_plain_loops():
