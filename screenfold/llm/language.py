@@ -108,18 +108,27 @@ def fold(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
 
 
+#: Parts into which a language's rows are dealt where its rate is joined to them.
+SALTS = 16
+
+
 def training_sample(docs: DataFrame, sample: int) -> DataFrame:
-    """About ``sample`` labelled rows at most, as many of each language as there are, by hash of id.
+    """(doc_id, lang, hash, n) of about ``sample`` labelled rows at most, as many of each language as there
+    are, by hash of id; ``hash`` and ``n`` are a hash of the text and its length.
 
-    Counts of languages come first and are joined back; a row is in if its hash falls below its
-    language's share, so no language's rows meet in one task and no language is left out.
+    Counts of languages come first and are joined back to rows without their texts; a row is in if its
+    hash falls below its language's share, so no language's rows meet in one task and no language is
+    left out.
     """
-    ok = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold(), F.lit(1)) != 1)).select("doc_id", "text", "lang")
+    ok = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold(), F.lit(1)) != 1))
     counts = ok.groupBy("lang").agg(F.count("*").alias("held"))
     every = counts.agg(F.count("*").alias("langs"))
     rates = counts.crossJoin(F.broadcast(every)).select("lang", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("langs") / F.col("held")).alias("rate"))
+    rates = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    light = ok.select("doc_id", "lang", F.xxhash64("text").alias("hash"), F.length("text").alias("n"))
+    light = light.withColumn("salt", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(SALTS)).cast("int"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return ok.join(rates, "lang").where(place < F.col("rate")).select("doc_id", "text", "lang")
+    return light.join(rates, ["lang", "salt"]).where(place < F.col("rate")).select("doc_id", "lang", "hash", "n")
 
 
 def fit(docs: DataFrame, sample: int = 3000, longest: int = 20_000_000) -> LanguageModel | None:
@@ -129,11 +138,11 @@ def fit(docs: DataFrame, sample: int = 3000, longest: int = 20_000_000) -> Langu
     as their texts have at most ``longest`` characters together. Lengths choose the rows; only texts
     within the bounds are fetched.
     """
-    rows = training_sample(docs, sample).withColumn("hash", F.xxhash64("text"))
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("lang"), F.col("hash")]
-    first = rows.select("doc_id", "lang", "hash", F.length("text").alias("n")).dropDuplicates(["doc_id", "lang", "hash"]).orderBy(*order).limit(2 * sample)
+    first = training_sample(docs, sample).dropDuplicates(["doc_id", "lang", "hash"]).orderBy(*order).limit(2 * sample)
     so_far = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    chosen = first.withColumn("so_far", so_far).where(F.col("so_far") <= longest)
+    chosen = first.withColumn("so_far", so_far).where(F.col("so_far") <= longest).drop("n")
+    rows = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("hash"))
     got = rows.join(F.broadcast(chosen), ["doc_id", "lang", "hash"]).select("text", "lang", "so_far").toPandas().drop_duplicates("so_far").sort_values("so_far")
     return train(got["text"].tolist(), got["lang"].tolist()) if len(got) else None
 
