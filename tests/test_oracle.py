@@ -10,9 +10,7 @@ import pytest
 from screenfold.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-#: As many as fit a quick run; the comparison of all is made with SCREENFOLD_ALL=1.
-QUICK = "c03 c10 c11 c21 t10 t12_impute_any x03 t06 w01 o04 t15 j02 t16 t17 t18_wilcoxon_u g05 g07 g09 m07 m10_ridge_one a25 j12 s10 s12 s13 x08 x18".split()
-NAMES = [n for n in catalogue.oracle_sql() if os.environ.get("SCREENFOLD_ALL") or any(n.startswith(q) for q in QUICK)]
+NAMES = list(catalogue.oracle_sql())
 
 
 @pytest.fixture(scope="session")
