@@ -151,20 +151,59 @@ def test_language_of_held_out_documents(spark):
     assert (got["lang"] == got["lang_pred"]).mean() > 0.95 and got["score"].between(0, 1).all()
 
 
-def test_pipeline_keeps_columns_and_drops_copies(spark):
+def test_pipeline_by_plain_python(spark):
+    """Every stage after the trees, over what the stage before kept, against loops and the library."""
     import corpus_pipeline as c
+    import sentencepiece
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
+    columns, rows = docs.columns, {}
     for name, stage in c.STAGES[:-1]:
         docs = c.stash(stage(spark, docs, sf), name)
         assert docs.columns == columns, name
-        if name == "near_duplicates":
-            texts = docs.select("text").toPandas()["text"]
-            assert texts.is_unique
-    out = c.STAGES[-1][1](spark, docs, sf)
-    assert out.count() == docs.count() and out.where("not round_trips").count() == 0
+        rows[name] = docs.toPandas()
+    judged = {r["doc_id"]: r for r in quality.judge(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    assert set(rows["quality_rules"]["doc_id"]) == {i for i, r in judged.items() if r["kept"]} and not any(r["kept"] and r["base_failed"] for r in judged.values())
+    texts = dict(zip(rows["quality_rules"]["doc_id"], rows["quality_rules"]["text"]))
+    sets = {}
+    for i, t in texts.items():
+        w = re.sub("[A-Z]+", lambda m: m[0].lower(), t or "").encode().split()
+        k = min(5, len(w))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if i < j and x and y and 100 * len(x & y) >= 80 * len(x | y) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    kept = {i for i in sets if find(i) == i}
+    assert set(rows["near_duplicates"]["doc_id"]) == kept and len(rows["near_duplicates"]) == len(kept) < len(texts)
+
+    def masked(t):
+        spans = sorted((m.start(), m.end()) for r in secrets.RULES for m in re.finditer(r.pattern.replace("(?i:", "(?ai:"), t) if len(m[r.group]) >= r.least)
+        out, at = "", 0
+        for x, y in spans:
+            if x >= at:
+                out += t[at:x] + "[SECRET]"
+            at = max(at, y)
+        return out + t[at:]
+
+    clean = {i: masked(texts[i] or "") for i in kept}
+    assert dict(zip(rows["secret_scans"]["doc_id"], rows["secret_scans"]["text"].fillna(""))) == clean
+    taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix(spark.createDataFrame(rows["secret_scans"], docs.schema)).collect()}
+    times = rows["source_mix"].groupby("doc_id").size().to_dict()
+    assert set(times) <= kept and all(0 <= n <= 3 and rows["source_mix"].shape[0] >= len(times) for n in times.values())
+    assert all(abs(times.get(i, 0) * size - got) < size or size == 0 for i, (got, size) in taken.items())
+    out = c.STAGES[-1][1](spark, docs, sf).toPandas()
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_MODEL)
+    assert len(out) == len(rows["source_mix"]) and out["round_trips"].all()
+    assert all(list(r["ids"]) == sp.encode(clean[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) for _, r in out.iterrows())
 
 
 def test_scores_equal_plain_counts_of_any_size(spark):
