@@ -227,9 +227,13 @@ def _units(rows: DataFrame, most: int, step: int) -> DataFrame:
 
 
 def _apart(posts: DataFrame, parts: DataFrame) -> DataFrame:
-    """(gram, gid, cid, comp, size) of the classes at grams whose posting holds several parts."""
+    """(gram, gid, cid, comp, size) of the classes at grams whose posting holds several parts.
+
+    Tables with a row for each gram are written before they are joined, here and below: a join of plain
+    shuffles is one that adaptive execution can split where a gram is frequent.
+    """
     rows = posts.join(parts.select("gid", "cid", "comp", "size"), "gid")
-    mixed = rows.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram")
+    mixed = stash(rows.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram"), "mixed")
     return rows.join(mixed, "gram", "left_semi").select("gram", "gid", "cid", "comp", "size")
 
 
@@ -238,7 +242,7 @@ def _families(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
 
     A family is what the grams of ``rows`` connect: its classes meet once, not at every gram.
     """
-    heads = rows.groupBy("gram").agg(F.min("gid").alias("head"))
+    heads = stash(rows.groupBy("gram").agg(F.min("gid").alias("head")), "heads")
     near = rows.select("gram", "gid").distinct().join(heads, "gram").select("gid", "head").distinct()
     families = connected_components(near, "gid", "head").select(F.col("id").alias("gid"), F.col("component").alias("family"))
     held = rows.select("gid", "cid", "comp").distinct().join(families, "gid")
@@ -286,7 +290,7 @@ def class_links(texts: DataFrame, classes: DataFrame, rule: Threshold, total_gra
     ranked = stash(_ranked(texts, classes, rule, buckets, blocks), "ranked")
     groups = ranked.groupBy("gid").agg(F.first("prefix").alias("prefix"), F.count("*").alias("n"))
     posts = groups.select("gid", "n", F.explode("prefix").alias("gram"))
-    common = posts.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    common = stash(posts.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"), "common")
     posts = stash(posts.select("gid", "gram").join(common, "gram", "left_semi"), "posts")
     meet = posts.groupBy("gid").agg(F.min("gram").alias("meet"))
     members = stash(ranked.select("cid", "gid", "size").join(meet, "gid"), "members")
