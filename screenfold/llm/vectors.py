@@ -1,22 +1,27 @@
 """Op 6: near-duplicate vectors by navigable small-world graphs, one a shard.
 
-Each shard's vectors form a hierarchical graph. Every vector is searched for in every shard, in blocks:
-a block and a shard meet in one task, with beams that widen until an audit against the shard's whole
-matrix finds no link missed. Candidates are verified by cosine in double precision; links are united
-into components.
+Each shard's vectors form a hierarchical graph. Two shards meet in one task, and every vector of either
+is searched for in the other's graph, with beams that widen until an audit against the whole matrix
+finds no link missed. Candidates are verified by cosine in double precision. Tasks give out only how many
+links a vector has and the part it lies in, never the links, so a large group of near copies leaves one
+row a vector and task; the parts are united into components.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenfold.operators.graph import connected_components
+from screenfold.operators.graph import connected_components, unite
 from screenfold.plans.session import stash
 
 DEGREE, BUILD_BEAM, FIRST_BEAM, LEVEL_RATE = 12, 32, 24, 16
+#: Cells of a matrix product that a task holds at a time, and edges that it holds before it unites them.
+CELLS, HELD_EDGES = 8_000_000, 2_000_000
 
 
 def search(vectors: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,24 +148,27 @@ class Graph:
         import io
 
         out = io.BytesIO()
-        np.savez(out, v=self.vectors, **{f"m{i}": m for i, (m, _) in enumerate(self.layers)}, **{f"n{i}": x for i, (_, x) in enumerate(self.layers)})
+        np.savez(out, **{f"m{i}": m.astype(np.int32) for i, (m, _) in enumerate(self.layers)}, **{f"n{i}": x.astype(np.int32) for i, (_, x) in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
-    def load(cls, blob: bytes) -> Graph:
+    def load(cls, blob: bytes, vectors: np.ndarray) -> Graph:
+        """The graph that ``dump`` wrote; its vectors are kept apart from it."""
         import io
 
         got = np.load(io.BytesIO(blob))
         self = cls.__new__(cls)
-        self.vectors = got["v"]
-        self.layers = [(got[f"m{i}"], got[f"n{i}"]) for i in range(sum(k[0] == "m" for k in got.files))]
+        self.vectors = np.ascontiguousarray(vectors, dtype=np.float32)
+        self.layers = [(got[f"m{i}"].astype(np.int64), got[f"n{i}"].astype(np.int64)) for i in range(sum(k[0] == "m" for k in got.files))]
         return self
 
 
-def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, recall: float, audit: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query rows, shard rows) with cosine of at least ``least`` in double precision.
+def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, recall: float, audit: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query rows, shard rows) with cosine of at least ``least`` in double precision, and whole rows.
 
-    Beams double for queries whose beam is full of links. Then ``audit`` queries, or a thousandth of
+    Beams double for queries whose beam is full of links. Once a wider beam would cost more than the
+    shard's whole matrix does, a query that still needs it is a whole row: its links are not among the
+    pairs, but left to be read off the matrix. Then ``audit`` of the other queries, or a thousandth of
     them all if that is more, are compared with the whole shard, half of them drawn by key and half
     from those that have links, and as many again of those that have none: half with the best
     similarity below ``least``, half by key. While the share of their links found is below ``recall``,
@@ -168,13 +176,11 @@ def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float,
     """
     n, beam = len(graph.vectors), FIRST_BEAM
     audit = max(audit, len(queries) // 1000)
-    order = np.argsort(keys, kind="stable")
-    picked = order[: audit // 2]
+    by_key = np.argsort(keys, kind="stable")
     best = np.full(len(queries), -np.inf)
     rows = np.arange(len(queries))
-    found_q, found_s = np.zeros(0, np.int64), np.zeros(0, np.int64)
     while True:
-        width, left, got = min(beam, n), rows, []
+        width, left, got, whole = min(beam, n), rows, [np.zeros(0, np.int64)], rows[:0]
         while len(left):
             full = []
             for part in np.array_split(left, max(1, len(left) * width // 400_000)):
@@ -184,16 +190,22 @@ def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float,
                 hit = (sim >= least - 1e-4) & (ids >= 0)
                 r, c = np.nonzero(hit)
                 best[part] = np.maximum(best[part], np.where(ids >= 0, sim, -np.inf).max(1))
-                got.append((part[r], ids[r, c]))
+                got.append(part[r] * n + ids[r, c])
                 full.append(part[hit[:, -1]])
             if width >= n:
                 break
             left = np.concatenate(full) if full else left[:0]
             width = min(2 * width, n)
-        pairs = np.unique(np.concatenate([np.stack(g, 1) for g in got] + [np.zeros((0, 2), np.int64)]), axis=0)
-        q, s = pairs[:, 0], pairs[:, 1]
+            if width >= 4 * FIRST_BEAM and 2 * DEGREE * width * width > exact.size:
+                whole = left
+                break
+        q, s = np.divmod(np.unique(np.concatenate(got)), n)
+        part = ~np.isin(q, whole)
+        q, s = q[part], s[part]
         ok = np.concatenate([np.einsum("ij,ij->i", queries[a], exact[b]) >= least for a, b in zip(np.array_split(q, len(q) // 50_000 + 1), np.array_split(s, len(s) // 50_000 + 1))])
         found_q, found_s = q[ok], s[ok]
+        order = by_key[~np.isin(by_key, whole)]
+        picked = order[: audit // 2]
         linked = np.unique(found_q)
         alone = order[~np.isin(order, linked)]
         missed = alone[np.argsort(-best[alone], kind="stable")][: audit // 2]
@@ -201,14 +213,96 @@ def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float,
         check = np.unique(np.concatenate([picked, linked[np.argsort(keys[linked], kind="stable")][: audit - len(picked)], missed, others]))
         truth = sum(int((queries[c] @ exact.T >= least).sum()) for c in np.array_split(check, len(check) // 64 + 1))
         if truth == 0 or np.isin(found_q, check).sum() >= recall * truth or beam >= n:
-            return found_q, found_s
+            return found_q, found_s, whole
         beam *= 2
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.9, shards: int = 8, shard_rows: int = 200_000, recall: float = 1.0, audit: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+@dataclass
+class Shard:
+    """Nodes of one shard and vector length: ids, how many vectors each stands for, unit vectors, graph."""
+
+    ids: np.ndarray
+    copies: np.ndarray
+    exact: np.ndarray
+    graph: Graph
+
+    @property
+    def keys(self) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return self.ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+class Edges:
+    """Edges between nodes, united whenever many are held."""
+
+    def __init__(self):
+        self.held, self.n = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        self.held.append((u, v))
+        self.n += len(u)
+        if self.n >= HELD_EDGES:
+            self.held, self.n = [self.parts()], 0
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray]:
+        return unite(*(np.concatenate([x[i] for x in self.held]) for i in (0, 1)))
+
+
+def read_whole(one: Shard, rows: np.ndarray, other: Shard, skip: np.ndarray, least: float, edges: Edges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many vectors of ``other`` each of ``rows`` links with, and the pairs with rows not in ``skip``.
+
+    The links of a block of rows are counted and united in place, so their number costs no memory.
+    """
+    counts, got = np.zeros(len(rows), np.int64), [np.zeros((2, 0), np.int64)]
+    for at in () if not len(rows) else np.array_split(np.arange(len(rows)), len(rows) * len(other.ids) // CELLS + 1):
+        mine = rows[at]
+        hits = one.exact[mine] @ other.exact.T >= least
+        if one is other:
+            hits[np.arange(len(mine)), mine] = False
+        counts[at] = hits @ other.copies
+        columns = np.flatnonzero(hits.any(0))
+        edges.add(one.ids[mine[hits[:, columns].argmax(0)]], other.ids[columns])
+        near = hits[:, columns].astype(np.float32)
+        i, j = np.nonzero(np.triu(near @ near.T > 0, 1))
+        edges.add(one.ids[mine[i]], one.ids[mine[j]])
+        r, c = np.nonzero(hits[:, ~skip])
+        got.append(np.stack([mine[r], np.flatnonzero(~skip)[c]]))
+    return counts, *np.concatenate(got, 1)
+
+
+def links_between(a: Shard, b: Shard, least: float, recall: float, audit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, others, low) of every linked node of two shards, or of one given twice.
+
+    others is the number of vectors that it links with in the other shard, found from either end; low is
+    the smallest node that the links connect it with.
+    """
+    edges = Edges()
+    x, y, whole_a = links_in(b.graph, b.exact, a.exact, least, recall, audit, a.keys)
+    # equal vectors are one node, so a node of the same shard links with others only
+    q, p, whole_b = (x, y, whole_a) if a is b else links_in(a.graph, a.exact, b.exact, least, recall, audit, b.keys)
+    is_a, is_b = np.zeros(len(a.ids), bool), np.zeros(len(b.ids), bool)
+    is_a[whole_a], is_b[whole_b] = True, True
+    count_a, u, v = read_whole(a, whole_a, b, is_b, least, edges)
+    count_b, s, r = (count_a, u, v) if a is b else read_whole(b, whole_b, a, is_a, least, edges)
+    i, j = np.divmod(np.unique(np.concatenate([x, p, u, r]) * len(b.ids) + np.concatenate([y, q, v, s])), len(b.ids))
+    if a is b:
+        i, j = i[i != j], j[i != j]
+    edges.add(a.ids[i], b.ids[j])
+    others_a = np.bincount(i, weights=b.copies[j], minlength=len(a.ids)).astype(np.int64)
+    others_a[whole_a] = count_a
+    others_b = np.bincount(j, weights=a.copies[i], minlength=len(b.ids)).astype(np.int64)
+    others_b[whole_b] = count_b
+    nodes, low = edges.parts()
+    known, others = (a.ids, others_a) if a is b else (np.concatenate([a.ids, b.ids]), np.concatenate([others_a, others_b]))
+    order = np.argsort(known)
+    return nodes, others[order][np.searchsorted(known[order], nodes)], low
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.9, shards: int = 8, shard_rows: int = 200_000, shard_values: int = 12_800_000, recall: float = 1.0, audit: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) of every row.
 
-    Equal vectors are one node with a count, whatever their number, so copies never meet in a beam.
+    Equal vectors are one node with a count, whatever their number, so copies never meet in a beam. A
+    shard has about ``shard_rows`` nodes and ``shard_values`` components of vectors at most.
     Null, zero and non-finite vectors, and those with a null component, link with nothing. Vectors of
     different lengths are never compared. Repeated rows are copies of each other; a row without an id
     is counted by the others but gets its vector's component. Other columns are not read; an empty
@@ -222,59 +316,51 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, shards: int = 8, shard_
     usable = F.coalesce(F.col("v").isNotNull() & (F.size("v") > 0) & (norm > 0) & ~F.isnan(norm) & (norm < F.lit(float("inf"))), F.lit(False))
     keyed = rows.withColumn("key", F.when(usable, F.sha2(F.to_json("v").cast("binary"), 256)))
     light = keyed.select("id", "key")
-    nodes = keyed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    nodes = keyed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max(F.size("v")).alias("dim"))
     # vectors differ by key, so any of a key's rows will do: the first id, or all equal rows of it once
     nodes = stash(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    total = nodes.count()
-    shards = max(1, min(max(shards, -(-total // shard_rows)), -(-total // 64))) if total else 1
-    firsts = keyed.join(nodes, "key").where(F.col("id").eqNullSafe(F.col("rep"))).groupBy("node").agg(F.max("v").alias("v"))
+    total, values = nodes.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    shards = max(1, min(max(shards, -(-total // shard_rows), -(-values // shard_values)), -(-total // 64)))
+    firsts = keyed.join(nodes, "key").where(F.col("id").eqNullSafe(F.col("rep"))).groupBy("node", "copies").agg(F.max("v").alias("v"))
     unit = F.transform("v", lambda x: x / norm)
-    placed = stash(firsts.select("node", unit.alias("v"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(shards)).cast("int").alias("block")), "placed")
-
-    def matrices(rows):
-        """Node ids and matrix, one of each vector length."""
-        ids, v = np.array(rows.column("node").to_pylist(), dtype=np.int64), rows.column("v").to_pylist()
-        by: dict[int, list[int]] = {}
-        for i, x in enumerate(v):
-            by.setdefault(len(x), []).append(i)
-        for k in sorted(by):
-            at = sorted(by[k], key=lambda i: ids[i])
-            yield ids[at], np.array([v[i] for i in at])
+    placed = firsts.select("node", "copies", unit.alias("v"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
 
     def build(key, rows):
-        parts = [(ids, Graph(m).dump(), m) for ids, m in matrices(rows)]
-        return pa.table({"shard": pa.array([key[0].as_py()] * len(parts), pa.int32()), "dim": pa.array([m.shape[1] for _, _, m in parts], pa.int32()), "ids": pa.array([i.tobytes() for i, _, _ in parts], pa.binary()), "graph": pa.array([g for _, g, _ in parts], pa.binary()), "exact": pa.array([m.tobytes() for _, _, m in parts], pa.binary())})
-
-    def find(key, left, right):
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        held = {r["dim"]: r for r in right.to_pylist()}
-        for ids, q in matrices(left) if left.num_rows else ():
-            r = held.get(q.shape[1])
-            if r is None:
-                continue
-            own = np.frombuffer(r["ids"], np.int64)
-            exact = np.frombuffer(r["exact"], np.float64).reshape(len(own), -1)
-            with np.errstate(over="ignore"):
-                keys = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            x, y = links_in(Graph.load(r["graph"]), exact, q, least, recall, audit, keys)
-            different = ids[x] != own[y]
-            a.append(ids[x][different]), b.append(own[y][different])
-        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
-
-    graphs = stash(placed.groupBy("shard").applyInArrow(build, "shard int, dim int, ids binary, graph binary, exact binary"), "graphs")
-    each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    asking = placed.select("node", "v", "block", each.alias("shard"))
-    graphs = graphs.withColumn("block", each)
-    # blocks are as large as shards, so what is sent of either is (vectors x shards)
-    found = asking.groupBy("block", "shard").cogroup(graphs.groupBy("block", "shard")).applyInArrow(find, "a long, b long")
-    # the beam of either end may have found the pair
-    pairs = stash(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = both.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    comps = connected_components(pairs).select(F.col("id").alias("node"), "component")
+        """One row for each vector length of a shard."""
+        ids, copies = (np.array(rows.column(c), dtype=np.int64) for c in ("node", "copies"))
+        length = rows.column("v").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        out = []
+        for dim in np.unique(length):
+            at = np.flatnonzero(length == dim)
+            at = at[np.argsort(ids[at], kind="stable")]
+            exact = np.asarray(rows.column("v").combine_chunks().take(pa.array(at)).flatten(), dtype=np.float64).reshape(len(at), dim)
+            out.append({"shard": key[0].as_py(), "dim": int(dim), "ids": ids[at].tobytes(), "copies": copies[at].tobytes(), "graph": Graph(exact).dump(), "exact": exact.tobytes()})
+        return pa.Table.from_pylist(out, pa.schema([("shard", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("copies", pa.binary()), ("graph", pa.binary()), ("exact", pa.binary())]))
+
+    def held(row) -> Shard:
+        exact = np.frombuffer(row["exact"], np.float64).reshape(-1, row["dim"])
+        return Shard(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["copies"], np.int64), exact, Graph.load(row["graph"], exact))
+
+    def find(key, rows):
+        low, high = (k.as_py() for k in key)
+        by = {(r["dim"], r["shard"]): r for r in rows.to_pylist()}
+        got = [(np.zeros(0, np.int64),) * 3]
+        for dim in sorted({d for d, _ in by}):
+            if (dim, low) in by and (dim, high) in by:
+                one = held(by[dim, low])
+                got.append(links_between(one, one if low == high else held(by[dim, high]), least, recall, audit))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*got)], ["node", "others", "low"])
+
+    graphs = stash(placed.groupBy("shard").applyInArrow(build, "shard int, dim int, ids binary, copies binary, graph binary, exact binary"), "graphs")
+    # each two shards meet once, so what is sent is (vectors x shards)
+    other = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    meeting = graphs.withColumn("other", other).withColumn("from", F.least("shard", "other")).withColumn("to", F.greatest("shard", "other")).drop("other")
+    found = stash(meeting.groupBy("from", "to").applyInArrow(find, "node long, others long, low long"), "linked")
+    counts = found.groupBy("node").agg(F.sum("others").alias("others"))
+    comps = connected_components(found, "node", "low").select(F.col("id").alias("node"), "component")
     named = nodes.join(comps, "node", "left").withColumn("root", F.coalesce("component", "node"))
     low = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(low, "root").join(counts.withColumnRenamed("a", "node"), "node", "left")
+    named = named.join(low, "root").join(counts, "node", "left")
     named = named.select("key", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
     out = light.join(named, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))

@@ -249,3 +249,30 @@ def test_templates_take_evidence_of_the_whole_host(spark):
         trees = {i: pages.blocks(pages.parse(h)) for i, (url, h) in html.items() if f"//{host}." in url}
         constant = pages.induce(list(trees.values()))
         assert all(pages.main_text(t, constant) == got[i] for i, t in trees.items()), host
+
+
+def test_vectors_by_brute_force(spark):
+    import numpy as np
+
+    from screenfold.llm import vectors
+
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(900, 12))
+    v[:250] = v[0] + rng.normal(0, 0.09, (250, 12))
+    for i in range(300, 600, 3):
+        v[i + 1 : i + 3] = v[i] + rng.normal(0, 0.12, (2, 12))
+    v[600:640] = v[:40]
+    v[640:700] = v[640]
+    ids = (rng.permutation(len(v)) + 10).tolist()
+    rows = [(i, x.tolist(), "same") for i, x in zip(ids, v)] + [(5, None, "same"), (6, [0.0] * 12, "same"), (7, [1.0] * 5, "same")]
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    low = np.array(ids)
+    while True:
+        least = np.where(near, low[None, :], 10**9).min(1)
+        if (least == low).all():
+            break
+        low = least
+    want = {i: (int(n), int(c), i == c) for i, n, c in zip(ids, near.sum(1) - 1, low)} | {i: (0, i, True) for i in (5, 6, 7)}
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, component_id string").repartition(3), shards=3)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got.collect()} == want

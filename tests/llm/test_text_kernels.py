@@ -13,7 +13,7 @@ from screenfold.llm import common, language, lm_scores, pages, quality, trees
 from screenfold.llm.common import WordHashes
 from screenfold.llm.pieces import PieceCodec
 from screenfold.llm.token_counts import TokenCounter
-from screenfold.llm.vectors import Graph, links_in
+from screenfold.llm.vectors import Graph, Shard, links_between, links_in
 
 ODD = list(" \n\t\r▁aeiouthnTHE’'s.,!éçñß漢字ﬁ́\u0000\x1c\xa0 😀<>|½²٣ΣİǅΣ") + ["<|endoftext|>", "<0x0A>", "the", "ing", "  "]
 
@@ -140,10 +140,46 @@ def test_graph_finds_all_links():
     v = rng.normal(size=(1500, 16))
     v[:300] = v[0] + rng.normal(0, 0.05, (300, 16))
     v /= np.linalg.norm(v, axis=1)[:, None]
-    g = Graph.load(Graph(v).dump())
-    q, s = links_in(g, v, v, 0.9, 1.0, 64, np.arange(1500))
-    truth = (v @ v.T >= 0.9).sum()
-    assert truth * 0.99 <= len(q) <= truth
+    g = Graph.load(Graph(v).dump(), v)
+    q, s, whole = links_in(g, v, v, 0.9, 1.0, 64, np.arange(1500))
+    truth = v @ v.T >= 0.9
+    # rows of the large group are left to the matrix; of the others no link may miss
+    assert set(whole) <= set(range(300)) and len(whole)
+    part = np.setdiff1d(np.arange(1500), whole)
+    assert set(zip(q, s)) == {(i, j) for i in part for j in np.flatnonzero(truth[i])}
+
+
+def test_links_of_shards_by_brute_force():
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(1200, 16))
+    v[:500] = v[0] + rng.normal(0, 0.06, (500, 16))  # a large group, partly beyond the threshold of its middle
+    for i in range(600, 900, 3):
+        v[i + 1 : i + 3] = v[i] + rng.normal(0, 0.1, (2, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    copies = rng.integers(1, 4, len(v))
+    order = rng.permutation(len(v))
+
+    def shard(at):
+        at = np.sort(at)
+        return Shard(at, copies[at], v[at], Graph(v[at]))
+
+    one, two = shard(order[:700]), shard(order[700:])
+    for a, b in ((one, one), (one, two)):
+        near = np.zeros((len(v), len(v)), bool)
+        near[np.ix_(a.ids, b.ids)] = v[a.ids] @ v[b.ids].T >= 0.9
+        near |= near.T
+        np.fill_diagonal(near, False)
+        low = np.arange(len(v))
+        while True:
+            least = np.minimum(low, np.where(near, low[None, :], len(v)).min(1))
+            if (least == low).all():
+                break
+            low = least
+        linked = np.flatnonzero(near.any(1))
+        nodes, others, parts = links_between(a, b, 0.9, 1.0, 64)
+        assert nodes.tolist() == linked.tolist()
+        assert others.tolist() == (near @ copies)[linked].tolist()
+        assert parts.tolist() == low[linked].tolist()
 
 
 def test_named_noise_inside_an_article():
@@ -178,4 +214,4 @@ def test_audit_sees_near_misses_of_queries_without_links():
             return ids, np.take_along_axis(sim, ids, 1)
 
     keys = np.arange(1000)
-    assert [x.tolist() for x in links_in(Narrow(), v, q, 0.99, 1.0, 64, keys)] == [[500], [3]]
+    assert [x.tolist() for x in links_in(Narrow(), v, q, 0.99, 1.0, 64, keys)] == [[500], [3], []]
