@@ -22,16 +22,24 @@ from screenfold.plans.session import stash
 DEGREE, BUILD_BEAM, FIRST_BEAM, LEVEL_RATE = 12, 32, 24, 16
 #: Cells of a matrix product that a task holds at a time, and edges that it holds before it unites them.
 CELLS, HELD_EDGES = 8_000_000, 2_000_000
+#: Places in the beams of queries that are searched for in step, so that what they look at stays in a core's cache.
+IN_STEP = 24_000
 
 
 def search(vectors: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Beam search of many queries in step; (ids, similarities) of each beam, best first, -1 for none.
+    """Beam search of many queries; (ids, similarities) of each beam, best first, -1 for none."""
+    parts = np.array_split(np.arange(len(queries)), len(queries) * beam // IN_STEP + 1)
+    got = [_in_step(vectors, neighbours, queries[p], entry[p], beam) for p in parts]
+    return np.concatenate([ids for ids, _ in got]), np.concatenate([sim for _, sim in got])
 
-    Every step opens each query's best unopened candidate and merges its neighbours into the beam; a
-    query ends when its beam holds nothing unopened.
+
+def _in_step(vectors: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every step opens each query's best unopened candidate and merges its neighbours into the beam.
+
+    A query ends when its beam holds nothing unopened.
     """
     n = len(queries)
-    ids = np.full((n, beam), -1, dtype=np.int64)
+    ids = np.full((n, beam), -1, dtype=np.int32)
     sim = np.full((n, beam), -np.inf, dtype=np.float32)
     opened = np.zeros((n, beam), dtype=bool)
     ids[:, 0] = entry
@@ -46,14 +54,19 @@ def search(vectors: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, ent
             break
         opened[live, best] = True
         near = neighbours[ids[live, best]]
-        known = (near[:, :, None] == ids[live][:, None, :]).any(2) | (near < 0)
-        score = np.einsum("ijk,ik->ij", vectors[near], queries[live])
-        score[known] = -np.inf
-        all_sim = np.concatenate([sim[live], score], 1)
-        all_ids = np.concatenate([ids[live], np.where(known, -1, near)], 1)
-        all_open = np.concatenate([opened[live], np.zeros(near.shape, dtype=bool)], 1)
+        held = ids[live]
+        fresh = ~(near[:, :, None] == held[:, None, :]).any(2) & (near >= 0)
+        r, c = np.nonzero(fresh)
+        score = np.full(near.shape, -np.inf, dtype=np.float32)
+        score[r, c] = np.einsum("ij,ij->i", vectors[near[r, c]], queries[live[r]])
+        # only a query whose beam takes something in has to be sorted anew
+        gain = score.max(1) > sim[live, -1]
+        live_gain, score = live[gain], score[gain]
+        all_sim = np.concatenate([sim[live_gain], score], 1)
+        all_ids = np.concatenate([held[gain], np.where(fresh[gain], near[gain], -1)], 1)
+        all_open = np.concatenate([opened[live_gain], np.zeros(score.shape, dtype=bool)], 1)
         order = np.argsort(-all_sim, axis=1, kind="stable")[:, :beam]
-        sim[live], ids[live], opened[live] = np.take_along_axis(all_sim, order, 1), np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_open, order, 1)
+        sim[live_gain], ids[live_gain], opened[live_gain] = np.take_along_axis(all_sim, order, 1), np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_open, order, 1)
     return ids, sim
 
 
@@ -95,7 +108,7 @@ class Graph:
 
     def _build(self, members: np.ndarray) -> np.ndarray:
         v, n, degree = self.vectors[members], len(members), 2 * DEGREE
-        near = np.full((n, degree), -1, dtype=np.int64)
+        near = np.full((n, degree), -1, dtype=np.int32)
         done = 1
         while done < n:
             new = np.arange(done, min(n, 2 * done, done + 2000))
@@ -148,7 +161,7 @@ class Graph:
         import io
 
         out = io.BytesIO()
-        np.savez(out, **{f"m{i}": m.astype(np.int32) for i, (m, _) in enumerate(self.layers)}, **{f"n{i}": x.astype(np.int32) for i, (_, x) in enumerate(self.layers)})
+        np.savez(out, **{f"m{i}": m.astype(np.int32) for i, (m, _) in enumerate(self.layers)}, **{f"n{i}": x for i, (_, x) in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
@@ -159,11 +172,11 @@ class Graph:
         got = np.load(io.BytesIO(blob))
         self = cls.__new__(cls)
         self.vectors = np.ascontiguousarray(vectors, dtype=np.float32)
-        self.layers = [(got[f"m{i}"].astype(np.int64), got[f"n{i}"].astype(np.int64)) for i in range(sum(k[0] == "m" for k in got.files))]
+        self.layers = [(got[f"m{i}"].astype(np.int64), got[f"n{i}"]) for i in range(sum(k[0] == "m" for k in got.files))]
         return self
 
 
-def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, recall: float, audit: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, recall: float, audit: int, keys: np.ndarray, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query rows, shard rows) with cosine of at least ``least`` in double precision, and whole rows.
 
     Beams double for queries whose beam is full of links. Once a wider beam would cost more than the
@@ -172,7 +185,8 @@ def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float,
     them all if that is more, are compared with the whole shard, half of them drawn by key and half
     from those that have links, and as many again of those that have none: half with the best
     similarity below ``least``, half by key. While the share of their links found is below ``recall``,
-    all beams double, up to the size of the shard.
+    all beams double, up to the size of the shard. With ``own`` the queries are the shard's rows, and no
+    row is asked to find itself.
     """
     n, beam = len(graph.vectors), FIRST_BEAM
     audit = max(audit, len(queries) // 1000)
@@ -183,15 +197,16 @@ def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float,
         width, left, got, whole = min(beam, n), rows, [np.zeros(0, np.int64)], rows[:0]
         while len(left):
             full = []
-            for part in np.array_split(left, max(1, len(left) * width // 400_000)):
-                if not len(part):
-                    continue
+            for part in np.array_split(left, len(left) * width // 400_000 + 1):
                 ids, sim = graph.query(queries[part], width)
                 hit = (sim >= least - 1e-4) & (ids >= 0)
+                full.append(part[hit[:, -1]])
+                if own:
+                    sim = np.where(ids == part[:, None], -np.inf, sim)
+                    hit &= ids != part[:, None]
                 r, c = np.nonzero(hit)
                 best[part] = np.maximum(best[part], np.where(ids >= 0, sim, -np.inf).max(1))
                 got.append(part[r] * n + ids[r, c])
-                full.append(part[hit[:, -1]])
             if width >= n:
                 break
             left = np.concatenate(full) if full else left[:0]
@@ -211,7 +226,12 @@ def links_in(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float,
         missed = alone[np.argsort(-best[alone], kind="stable")][: audit // 2]
         others = alone[~np.isin(alone, picked) & ~np.isin(alone, missed)][: audit - audit // 2]
         check = np.unique(np.concatenate([picked, linked[np.argsort(keys[linked], kind="stable")][: audit - len(picked)], missed, others]))
-        truth = sum(int((queries[c] @ exact.T >= least).sum()) for c in np.array_split(check, len(check) // 64 + 1))
+        truth = 0
+        for c in np.array_split(check, len(check) // 64 + 1):
+            near = queries[c] @ exact.T >= least
+            if own:
+                near[np.arange(len(c)), c] = False
+            truth += int(near.sum())
         if truth == 0 or np.isin(found_q, check).sum() >= recall * truth or beam >= n:
             return found_q, found_s, whole
         beam *= 2
@@ -277,16 +297,13 @@ def links_between(a: Shard, b: Shard, least: float, recall: float, audit: int) -
     the smallest node that the links connect it with.
     """
     edges = Edges()
-    x, y, whole_a = links_in(b.graph, b.exact, a.exact, least, recall, audit, a.keys)
-    # equal vectors are one node, so a node of the same shard links with others only
+    x, y, whole_a = links_in(b.graph, b.exact, a.exact, least, recall, audit, a.keys, a is b)
     q, p, whole_b = (x, y, whole_a) if a is b else links_in(a.graph, a.exact, b.exact, least, recall, audit, b.keys)
     is_a, is_b = np.zeros(len(a.ids), bool), np.zeros(len(b.ids), bool)
     is_a[whole_a], is_b[whole_b] = True, True
     count_a, u, v = read_whole(a, whole_a, b, is_b, least, edges)
     count_b, s, r = (count_a, u, v) if a is b else read_whole(b, whole_b, a, is_a, least, edges)
     i, j = np.divmod(np.unique(np.concatenate([x, p, u, r]) * len(b.ids) + np.concatenate([y, q, v, s])), len(b.ids))
-    if a is b:
-        i, j = i[i != j], j[i != j]
     edges.add(a.ids[i], b.ids[j])
     others_a = np.bincount(i, weights=b.copies[j], minlength=len(a.ids)).astype(np.int64)
     others_a[whole_a] = count_a
