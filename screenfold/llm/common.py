@@ -8,7 +8,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -201,3 +202,29 @@ def slices(batches, rows: int = 500, most: int = 4 << 20):
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def finite_vectors(df: DataFrame, vec_col: str, *keep: Column) -> DataFrame:
+    """``keep`` and ``vector`` (array<double>) of the rows whose vector is there and holds finite numbers only."""
+    rows = df.select(*keep, F.col(vec_col).cast("array<double>").alias("vector"))
+    return rows.where(F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors as the rows of a matrix of doubles; a shorter one ends in zeros."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    held = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if (held == width).all():
+        return flat.reshape(-1, width)
+    out = np.zeros((len(column), width))
+    row = np.repeat(np.arange(len(column)), held)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(held) - held, held)] = flat
+    return out
+
+
+def scaled_floor(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as long; what lies beyond 2^62 counts as 2^62."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(scale * x), -float(1 << 62), float(1 << 62)).astype(np.int64)
