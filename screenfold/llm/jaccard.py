@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from screenfold.llm.common import distinct_each, pack_counts, pack_sorted, slices, unpack_counts, unpack_sorted, windows, word_hashes
 from screenfold.operators.graph import connected_components
@@ -355,19 +356,48 @@ def near_classes(docs: DataFrame, rule: Threshold = Threshold(), id_col: str = "
     named = classes.join(comps, "cid", "left").select("key", "rep", F.coalesce("component", "cid").alias("root"))
     low = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(low, "root").select("key", "component_id")
-    out = light.join(named, "key", "left")
+    # sets without grams have no key: those rows, however many, are not joined
+    none = light.where("key IS NULL").withColumn("component_id", F.lit(None).cast(light.schema["id"].dataType))
+    out = light.where("key IS NOT NULL").join(named, "key").select(*none.columns).unionByName(none)
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, rule: Threshold, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component: that with its smallest id.
+    """One row of ``docs`` for each component, and every row without a gram.
 
-    Of rows that repeat this id one stays; rows without an id stay where they link with nothing.
+    The row with the smallest id stays, one without an id only where its component has none with one; of rows
+    that share this id, that with the smallest set key, then the smallest hash of its text, then any of
+    equal ones. So rows of one id that are not alike all stay, each for its own component.
     """
-    found = near_classes(docs, rule, id_col, text_col)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id"))
-    repeats = kept.groupBy("kept_id").count().where("count > 1 and kept_id is not null")
-    if repeats.isEmpty():
-        return docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
-    rows = docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rows.where(F.col(id_col).isNull()))
+    light, classes, texts, grams, n = _classes(docs, rule, id_col, text_col)
+    comps = connected_components(class_links(texts, classes, rule, grams, n)).select(F.col("id").alias("cid"), "component")
+    roots = classes.join(comps, "cid", "left").select("key", F.coalesce("component", "cid").alias("root"))
+    each = light.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first"))
+    chosen = each.join(roots, "key").groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.key")
+    chosen = stash(chosen, "chosen")
+    if light.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").isEmpty():
+        kept = chosen.select("id").unionByName(light.where("key IS NULL").select("id"))
+        return docs.join(kept.withColumnRenamed("id", "kept_id"), F.col(id_col) == F.col("kept_id"), "left_semi")
+    named = set_keys_of_rows(docs, rule.n, text_col)
+    same = (F.col("own_id").eqNullSafe(F.col("id"))) & (F.col(f"`{KEY}`") == F.col("key"))
+    rows = named.where(F.col(f"`{KEY}`").isNotNull()).withColumn("own_id", F.col(id_col)).join(chosen, same, "left_semi").withColumn("own_hash", F.xxhash64(text_col))
+    least = rows.groupBy("own_id", KEY).agg(F.min("own_hash").alias("least")).select(F.col("own_id").alias("least_id"), F.col(f"`{KEY}`").alias("least_key"), "least")
+    rows = rows.join(least, F.col("own_id").eqNullSafe(F.col("least_id")) & (F.col(f"`{KEY}`") == F.col("least_key")) & (F.col("own_hash") == F.col("least")), "left_semi")
+    rows = rows.dropDuplicates(["own_id", KEY]).select(*docs.columns)
+    return rows.unionByName(named.where(F.col(f"`{KEY}`").isNull()).select(*docs.columns))
+
+
+#: Column that ``set_keys_of_rows`` adds.
+KEY = "own set key"
+
+
+def set_keys_of_rows(docs: DataFrame, n: int, text_col: str = "text") -> DataFrame:
+    """Every row of ``docs`` with the key of its text's set, null if it has no gram."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in slices(batches):
+            keys = pa.array([_set_key(s) for s in gram_sets(b.column(at), n)], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, keys], [*b.schema.names, KEY])
+
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(KEY, StringType())]))

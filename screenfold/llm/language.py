@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 from screenfold.llm.common import slices
 
 BITS = 15
-_letter = re.compile(r"[^\W\d_]").search
+_word = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; numerals such as superscripts are none."""
+    return any(m[0].isalpha() for m in _word.finditer(text))
 
 
 def buckets(text: str) -> np.ndarray:
@@ -134,16 +139,21 @@ def training_sample(docs: DataFrame, sample: int) -> DataFrame:
 def fit(docs: DataFrame, sample: int = 3000, longest: int = 20_000_000) -> LanguageModel | None:
     """Train on the whole texts of a bounded sample of rows outside the held-out fold.
 
-    Bounds: ``sample`` rows in expectation and twice that at most, and rows in hash order only as long
-    as their texts have at most ``longest`` characters together. Lengths choose the rows; only texts
-    within the bounds are fetched.
+    Bounds: ``sample`` rows in expectation and twice that at most, of which each language has its share
+    of ``longest`` characters: rows in hash order, those of over a sixteenth of the share last, as long as
+    their lengths together are within it, and its first row in any case unless that alone is longer than
+    ``longest``. So a very long text takes no other's place. Lengths choose the rows; only texts within
+    the bounds are fetched.
     """
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("lang"), F.col("hash")]
     first = training_sample(docs, sample).dropDuplicates(["doc_id", "lang", "hash"]).orderBy(*order).limit(2 * sample)
-    so_far = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    chosen = first.withColumn("so_far", so_far).where(F.col("so_far") <= longest).drop("n")
+    share = F.lit(float(longest)) / F.size(F.collect_set("lang").over(Window.partitionBy()))
+    own = Window.partitionBy("lang").orderBy(F.col("n") > F.col("share") / 16, *order)  # over at most 2 * sample rows
+    chosen = first.withColumn("share", share).withColumn("so_far", F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("k", F.row_number().over(own))
+    chosen = chosen.where((F.col("so_far") <= F.col("share")) | (F.col("k") == 1) & (F.col("n") <= longest))
+    chosen = chosen.select("doc_id", "lang", "hash", F.row_number().over(Window.orderBy(*order)).alias("at"))
     rows = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("hash"))
-    got = rows.join(F.broadcast(chosen), ["doc_id", "lang", "hash"]).select("text", "lang", "so_far").toPandas().drop_duplicates("so_far").sort_values("so_far")
+    got = rows.join(F.broadcast(chosen), ["doc_id", "lang", "hash"]).select("text", "lang", "at").toPandas().drop_duplicates("at").sort_values("at")
     return train(got["text"].tolist(), got["lang"].tolist()) if len(got) else None
 
 
@@ -164,7 +174,7 @@ def identify(docs: DataFrame, sample: int = 3000, model: LanguageModel | None =
         for b in slices(batches):
             langs, scores, rejected = [], [], []
             for t in b.column(2).to_pylist():
-                if m is None or not t or not _letter(t):
+                if m is None or not t or not has_letter(t):
                     langs.append("und"), scores.append(0.0), rejected.append(True)
                     continue
                 p = m.probabilities(t)

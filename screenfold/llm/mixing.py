@@ -76,7 +76,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
 
 def repeat(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its columns."""
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns.
+
+    Rows that the mix does not take, null and empty texts among them, are not in it; what ``mix`` says of
+    ties, repeated rows and null sources holds here. Very long texts are counted whole.
+    """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
     kept = {c: f"own {c}" for c in others}
     renamed = docs.select("doc_id", "source", F.col("text").alias("text"), *[F.col(c).alias(v) for c, v in kept.items()])

@@ -112,8 +112,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, keep_rate: f
     rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` rows of 16 bytes
     found = docs.select("doc_id", "text").join(F.broadcast(rows.select(F.col("doc_id").alias("doc_id"))), "doc_id", "left_semi")
-    got = document_statistics(found).join(F.broadcast(rows), "doc_id").limit(2 * sample).toPandas()
-    got = got.sort_values(["doc_id", *FEATURES]).drop_duplicates("doc_id")
+    first = F.min(F.struct(*FEATURES)).alias("x")  # a repeated id counts once, with its least statistics
+    got = document_statistics(found).groupBy("doc_id").agg(first).join(F.broadcast(rows), "doc_id").select("doc_id", "x.*", "quality").toPandas()
+    got = got.sort_values("doc_id")
     x, y = got[list(FEATURES)].to_numpy(np.float64), got["quality"].to_numpy(np.float64)
     if len(set(y)) < 2:
         return trees.fit(np.zeros((0, len(FEATURES))), np.ones(0), list(FEATURES.values()), trees=0), 0.0
@@ -128,8 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, keep_rate: f
 def judge(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
     """(doc_id, base counts, base_failed, score, kept) of every document.
 
-    A null or empty text has no words and fails; repeated rows get the same verdict; other columns
-    are not read; an empty table gives an empty one.
+    A null or empty text has no words and fails; repeated rows get the same verdict; very long texts
+    are read whole; other columns are not read; an empty table gives an empty one.
     """
     model, threshold = train(docs, labels, sample)
     out = document_statistics(docs, with_features=False, model=model).withColumn("base_failed", base_failed())
@@ -137,7 +138,11 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
-    """Rows of ``docs`` that ``judge`` keeps, with all their columns, in one pass without a join."""
+    """Rows of ``docs`` that ``judge`` keeps, with all their columns, in one pass without a join.
+
+    Null and empty texts go, as they fail; repeated rows and null ids go or stay with their text; a
+    very long text is read whole; ties cannot arise, as a row's own text decides. An empty table gives an empty one.
+    """
     model, threshold = train(docs, labels, sample)
     at = docs.columns.index("text")
 

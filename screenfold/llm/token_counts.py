@@ -107,7 +107,12 @@ class WordTransducer:
         return got
 
     def _move(self, state: int, symbol: str) -> tuple[int, int]:
-        """Compile one transition: the next state and the tokens it adds."""
+        """Compile one transition: the next state and the tokens it adds. A word with too many states
+        drops those it has passed."""
+        if len(self.content) > self.most:
+            held = self.content[state]
+            self.reset()
+            state = self._state(held)
         live, found, added = [], 0, 0
         for node, last, fewer in self.content[state]:
             nxt = self.trie[node].get(symbol)

@@ -379,7 +379,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, shards: int = 8, shard_
     low = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(low, "root").join(counts, "node", "left")
     named = named.select("key", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
-    out = light.join(named, "key", "left")
+    # vectors that link with nothing have no key: those rows, however many, are not joined
+    none = light.where("key IS NULL").select("key", "id", F.lit(None).cast(light.schema["id"].dataType).alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    out = light.where("key IS NOT NULL").join(named, "key").select(*none.columns).unionByName(none)
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     out = out.select(F.col("id").cast(kind).alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))

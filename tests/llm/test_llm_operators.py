@@ -246,7 +246,7 @@ def test_templates_take_evidence_of_the_whole_host(spark):
     assert all(got[2000 + i] == f"Read our site News {i} Story {i} has its own words" for i in range(3))
     assert all(got[3000 + i] == "One article" for i in range(30))
     for host in ("big", "small", "tiny", "one"):
-        trees = {i: pages.blocks(pages.parse(h)) for i, (url, h) in html.items() if f"//{host}." in url}
+        trees = {i: pages.parse(h) for i, (url, h) in html.items() if f"//{host}." in url}
         constant = pages.induce(list(trees.values()))
         assert all(pages.main_text(t, constant) == got[i] for i, t in trees.items()), host
 

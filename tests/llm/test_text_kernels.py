@@ -122,17 +122,17 @@ def test_page_text():
     page = """<html><head><title>T</title><script>var a="</p>"</script></head><body><header>Top</header><nav><a>Menu</a></nav>
     <article><h1>Head &amp; line</h1><p>One <b>two</b>three<br>four<p>five<div class="share">Share</div><aside>no</aside></article>
     <div id="comments"><p>first!</p></div><form><input><label>Mail</label></form><footer>(c)</footer></body>"""
-    assert pages.main_text(pages.blocks(pages.parse(page)), set()) == "Head & line One twothree four five"
-    assert pages.main_text(pages.blocks(pages.parse(None)), set()) == ""
-    assert pages.main_text(pages.blocks(pages.parse("1 < 2 <b>x")), set()) == "1 < 2 x"
+    assert pages.main_text(pages.parse(page)) == "Head & line One twothree four five"
+    assert pages.main_text(pages.parse(None)) == ""
+    assert pages.main_text(pages.parse("1 < 2 <b>x")) == "1 < 2 x"
 
 
 def test_wrapper_drops_what_never_varies():
     make = lambda i: f"<body><div class='w'><p>Welcome to our site</p></div><div class='t'><h2>News {i}</h2><p>Story {i} is told here at some length</p></div><p>All rights</p></body>"
-    trees_ = [pages.blocks(pages.parse(make(i))) for i in range(12)]
+    trees_ = [pages.parse(make(i)) for i in range(12)]
     constant = pages.induce(trees_)
     assert pages.main_text(trees_[3], constant) == "News 3 Story 3 is told here at some length"
-    assert pages.induce(trees_[:3]) == set() and pages.induce([trees_[0]] * 50) == set()
+    assert not pages.induce(trees_[:3]).constants and not pages.induce([trees_[0]] * 50).constants
 
 
 def test_graph_finds_all_links():
@@ -184,12 +184,12 @@ def test_links_of_shards_by_brute_force():
 
 def test_named_noise_inside_an_article():
     page = '<article><div class="article-header"><h1>T</h1></div><p>a</p><div class="comments-content"><p>no</p></div><div class="entry-content"><ul><li>b<li>c</ul></div></article>'
-    assert pages.main_text(pages.blocks(pages.parse(page)), set()) == "T a b c"
+    assert pages.main_text(pages.parse(page)) == "T a b c"
 
 
 def test_unnamed_content_keeps_every_varying_slot():
     page = "<h1>Head</h1><div class='t'><p>short one</p><ul><li>a list that is longer than all<li>of the prose beside it</ul></div><section class='b'><p>second part</p></section><div>bare text</div>"
-    assert pages.main_text(pages.blocks(pages.parse(page)), set()) == "Head short one a list that is longer than all of the prose beside it second part bare text"
+    assert pages.main_text(pages.parse(page)) == "Head short one a list that is longer than all of the prose beside it second part bare text"
 
 
 def test_audit_sees_near_misses_of_queries_without_links():
