@@ -10,10 +10,9 @@ they begin as they are, so that a level never needs more bins than the one befor
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,55 +22,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenfold.llm.common import slices
+from screenfold.llm.token_counts import byte_symbols
 from screenfold.plans.session import Scratch, shuffle_width
 
-#: A space that a token may hold together with what stands before it: one before white space or at the end.
-_odd = re.compile(r"\x20(?:[\s\u180e]|\Z)")
-_cut = re.compile(r"(?=\x20[^\s\u180e])")
+#: Pre-tokenizer of byte-level vocabularies; a fixed value.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Encoder:
-    """Ids of texts as 32-bit little-endian bytes, equal to the library's.
+    """Ids of texts as 32-bit little-endian bytes, equal to those of the tokenizer file's library.
 
-    The pre-tokenizer never joins a space and the word after it with what stands before them, so texts
-    are cut there and the ids of short pieces are kept, at most ``most`` of them, each of at most
-    ``long`` characters. Texts that hold an added token are encoded whole.
+    A byte-level vocabulary whose ids follow its merges means the same to a rank-based encoder, which is
+    several times faster; any other tokenizer, and texts that hold an added token, go to the library itself.
     """
 
-    def __init__(self, path: str, most: int = 200_000, long: int = 64):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.most, self.long = Tokenizer.from_file(path), most, long
+        self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            self.ranks = self._ranks(json.load(f))
+
+    def _ranks(self, read: dict):
+        """The rank-based encoder, or None if the file asks for anything else than plain byte-level merges."""
+        model, before = read["model"], read.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not read.get("normalizer")
+        if not plain or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            return None
+        vocab = model["vocab"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        symbols = byte_symbols()
+        if any(vocab.get(c, 256) > 255 for c in symbols) or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+            return None
+        import tiktoken
+
+        byte = {c: b for b, c in enumerate(symbols)}
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={bytes(byte[c] for c in t): i for t, i in vocab.items() if i < 256 + len(merges)}, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if any(x in text for x in self.added):
-            return self._library([text])[0]
-        if _odd.search(text) is None:
-            first, *rest = text.split(" ")
-        else:
-            rest = _cut.split(text)
-            first = "" if rest[0].startswith(" ") else rest.pop(0)
-            rest = [r[1:] for r in rest]
-        out = [self._library([first])[0]] if first else []
-        for k in range(0, len(rest), 50_000):
-            part = rest[k : k + 50_000]
-            new = [*set(part).difference(self.known)]
-            if new:
-                if len(self.known) + len(new) > self.most:
-                    self.known.clear()
-                    new = [*set(part)]
-                self.known.update(zip(new, self._library([" " + x for x in new])))
-            out.append(b"".join(map(self.known.__getitem__, part)))
-            for x in new:
-                if len(x) > self.long:
-                    del self.known[x]
-        return b"".join(out)
+        if self.ranks is None or any(x in text for x in self.added):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        try:
+            return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:  # runs of white space too long for its pattern engine
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str, limit: int, end: int, id_col: str, text_col: str) -> DataFrame:

@@ -76,10 +76,12 @@ TEXTS = ["", "a", "hello world", "  two  spaces\n\n and\tlines ", "x" * 5000, "w
 
 def test_encoder_equals_the_library():
     rng = np.random.default_rng(5)
-    library, own = Tokenizer.from_file(queries.BYTE_TOKENIZER), packing.Encoder(queries.BYTE_TOKENIZER, most=40)
+    library, own = Tokenizer.from_file(queries.BYTE_TOKENIZER), packing.Encoder(queries.BYTE_TOKENIZER)
     alphabet = list("ab'sL3. \n\t é😀\x1f") + [" ", " the", "'ll"]
     for text in TEXTS + ["".join(rng.choice(alphabet, rng.integers(1, 30))) for _ in range(1500)]:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert own.ranks is not None and packing.Encoder(queries.WORD_TOKENIZER).ranks is None
+    assert len(own.encode(" " * 1_000_000 + "x" * 1_000_000)) > 0
 
 
 def check_packing(rows, docs, limit=1024):
