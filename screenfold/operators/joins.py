@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenfold.operators.scan import running
+
 
 def nearest_gap(rows: DataFrame, marks: DataFrame, row_id: str, key: str, at: str) -> DataFrame:
     """(row_id, gap): distance of each row to the nearest mark of its key, null without one.
 
     Rows and marks are merged in order of position, so each row sees the last mark before it and the
-    first after it; nothing is paired with every mark of its key.
+    first after it; nothing is paired with every mark of its key, and no key is one task. Rows without
+    a key are left out.
     """
     both = rows.select(F.col(row_id).alias("id"), F.col(key).alias("k"), F.col(at).alias("at"), F.lit(None).cast("long").alias("m")).unionAll(marks.select(F.lit(None), F.col(key), F.col(at), F.col(at).cast("long")))
-    by = Window.partitionBy("k").orderBy("at")
-    before = F.last("m", ignorenulls=True).over(by.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.last("m", ignorenulls=True).over(Window.partitionBy("k").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0))
-    gap = F.least(F.col("at") - before, after - F.col("at"))
+    at_first = [F.col("m").isNull(), F.col("id")]  # marks before the rows at their place
+    both = running(both.where("k is not null"), [F.col("at"), *at_first], {"before": ("last", F.col("m"))}, ["k"])
+    both = running(both, [F.desc("at"), *at_first], {"after": ("last", F.col("m"))}, ["k"])
+    gap = F.least(F.col("at") - F.col("before"), F.col("after") - F.col("at"))
     return both.withColumn("gap", gap).where("id is not null").select(F.col("id").alias(row_id), "gap")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from screenfold.functions import kernels
 from screenfold.operators.counts import average_rank
+from screenfold.operators.scan import numbered
 from screenfold.operators.windows import with_fdr
 
 ALPHAS = [10.0, 31.6, 100.0, 316.0, 1000.0, 3160.0, 10000.0, 31600.0, 100000.0]
@@ -21,27 +22,10 @@ ALPHAS = [10.0, 31.6, 100.0, 316.0, 1000.0, 3160.0, 10000.0, 31600.0, 100000.0]
 def one_hot(rows: DataFrame, key: str, level: str, fit_on: DataFrame | None = None) -> DataFrame:
     """(key, feature, slot): levels in order, the first dropped; unseen levels have no row."""
     levels = (fit_on if fit_on is not None else rows).select(level).where(F.col(level).isNotNull()).distinct()
-    slots = levels.withColumn("slot", F.row_number().over(Window.orderBy(level)) - 1).where("slot > 0")
+    slots = numbered(levels, [F.col(level)], "slot", start=0).where("slot > 0")
     return rows.select(key, level).join(slots, level).select(key, F.col(level).alias("feature"), "slot")
 
 
-def gram_rank(features: DataFrame, key: str) -> DataFrame:
-    """(width, rank) of a 0/1 design given as (key, feature), by its Gram matrix."""
-    a = features.select(key, F.col("feature").alias("f1"))
-    b = features.select(key, F.col("feature").alias("f2"))
-    gram = a.join(b, key).groupBy("f1", "f2").agg(F.count("*").cast("double").alias("v"))
-
-    def solve(key_, got):
-        names = sorted(set(got.column("f1").to_pylist()))
-        at = {f: i for i, f in enumerate(names)}
-        m = np.zeros((len(names), len(names)))
-        for x, y, v in zip(got.column("f1").to_pylist(), got.column("f2").to_pylist(), got.column("v").to_pylist()):
-            m[at[x], at[y]] = v
-        return pa.table({"width": pa.array([len(names)], pa.int64()), "rank": pa.array([int(np.linalg.matrix_rank(m))], pa.int64())})
-
-    return gram.groupBy(F.lit("all")).applyInArrow(lambda k, t: solve(k, t), "width long, rank long")
-
-
 def mean_predictions(scores: DataFrame, train: str = "Split = 'train'") -> DataFrame:
     """Rows of ``scores`` with the training means of all, of their strain and of their gene, and their
     sum less the overall mean; a gene without training rows takes the overall mean."""
@@ -243,65 +227,6 @@ def count_models(counts: DataFrame, gene: str, columns: list[str], value: str, p
     return with_fdr(tested, "pvalue", ["term"])
 
 
-def average_linkage(profiles: DataFrame, gene: str, values: str, metric: str = "correlation", most: int = 5000) -> DataFrame:
-    """(step, left, right, height, size) of agglomerative clustering of at most ``most`` genes.
-
-    An agglomeration is one sequence of merges, so the genes, which are few beside the data they sum
-    up, meet in one task; more than ``most`` are refused.
-    """
-
-    def run(key_, got):
-        got = got.sort_by(gene)
-        if got.num_rows > most:
-            raise ValueError(f"more than {most} genes to cluster")
-        x = np.array([[0.0 if v is None else v for v in r] for r in got.column(values).to_pylist()], dtype=float)
-        if metric == "correlation":
-            x = x - x.mean(1, keepdims=True)
-        norm = np.sqrt((x * x).sum(1))
-        u = x / np.where(norm > 0, norm, 1)[:, None]
-        d = 1 - u @ u.T
-        np.fill_diagonal(d, np.inf)
-        n = len(x)
-        ids, sizes, out = list(range(n)), np.ones(n), []
-        live = np.ones(n, bool)
-        for step in range(n - 1):
-            i, j = divmod(int(np.argmin(d)), n)
-            i, j = min(i, j), max(i, j)
-            out.append((step, min(ids[i], ids[j]), max(ids[i], ids[j]), float(d[i, j]), int(sizes[i] + sizes[j])))
-            merged = (d[i] * sizes[i] + d[j] * sizes[j]) / (sizes[i] + sizes[j])
-            d[i], d[:, i] = merged, merged
-            d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
-            sizes[i] += sizes[j]
-            ids[i], live[j] = n + step, False
-        cols = list(zip(*out)) if out else [[]] * 5
-        return pa.table({c: pa.array(list(v), t) for c, v, t in zip(("step", "left", "right", "height", "size"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()))})
-
-    return profiles.select(gene, values).groupBy(F.lit("all")).applyInArrow(lambda k, t: run(k, t), "step long, left long, right long, height double, size long")
-
-
-def leaf_order(merges: DataFrame) -> DataFrame:
-    """(place, leaf): leaves of a clustering from left to right.
-
-    A merge's place is where its left part begins plus nothing, its right part after the left one's
-    leaves, so places follow from sizes from the last merge down. Merges are as few as
-    ``average_linkage`` lets them be, and one sequence.
-    """
-
-    def run(key_, got):
-        got = got.sort_by("step")
-        left, right, size = (got.column(c).to_pylist() for c in ("left", "right", "size"))
-        n = len(left) + 1
-        begins = {n + len(left) - 1: 0} if left else {}
-        count = lambda x: 1 if x < n else size[x - n]
-        for k in range(len(left) - 1, -1, -1):
-            at = begins[n + k]
-            begins[left[k]], begins[right[k]] = at, at + count(left[k])
-        leaves = sorted((at, x) for x, at in begins.items() if x < n)
-        return pa.table({"place": pa.array([a for a, _ in leaves], pa.int64()), "leaf": pa.array([x for _, x in leaves], pa.int64())})
-
-    return merges.select("step", "left", "right", "size").groupBy(F.lit("all")).applyInArrow(lambda k, t: run(k, t), "place long, leaf long")
-
-
 def design(rows: DataFrame, key: str, block: str, fit_on: DataFrame | None = None) -> DataFrame:
     """(key, block, feature, slot) of a baseline's design: ``ones``, ``strain``, ``gene`` or ``both``.
 

@@ -7,19 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from screenfold.operators.scan import step_up
+
 
 def with_fdr(tests: DataFrame, p: str = "pvalue", family: Sequence[str] = (), out: str = "fdr") -> DataFrame:
     """Adds the step-up FDR; rows without a p-value get none and do not count.
 
-    The least of all larger p-values' ratios is a running minimum from the largest down, so every row
-    adds one value to its frame; equal p-values share a frame.
+    Equal p-values are one row until the rates are joined back, and the scans over them go slice by
+    slice, so neither a family nor a frequent p-value is one task.
     """
-    every = Window.partitionBy(*family)
-    known = tests.where(F.col(p).isNotNull())
-    ratio = F.col(p) * F.count(p).over(every) / F.row_number().over(every.orderBy(p))
-    from_top = every.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    done = known.withColumn("_v", ratio).withColumn(out, F.least(F.lit(1.0), F.min("_v").over(from_top))).drop("_v")
-    return done.unionByName(tests.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+    return step_up(tests, list(family), p, out)
 
 
 def moving_mean(rows: DataFrame, part: Sequence[str], order: Sequence[str], value: str, half: int, out: str) -> DataFrame:

@@ -121,7 +121,7 @@ def g10(spark, sf):
     return S.split_sizes(s, S.move(s, S.straddling(e, s, LEAST)), {"train": 0.7, "val": 0.15, "test": 0.15})
 
 
-@query("g11_baseline")
+@query("g11_baseline", f"WITH {EDGES}, rn AS (SELECT unnest(range(15)) AS run), gk AS (SELECT run, gene, row_number() OVER (PARTITION BY run ORDER BY md5(gene || ':' || run), gene) AS k FROM sp, rn), lk AS (SELECT run, split, row_number() OVER (PARTITION BY run ORDER BY split, gene) AS k FROM sp, rn), sh AS (SELECT gk.run, gene, split FROM gk JOIN lk ON gk.run = lk.run AND gk.k = lk.k) SELECT CAST(a.run AS INTEGER) AS run, a.split AS set_1, b.split AS set_2, CAST(count(DISTINCT g1) AS BIGINT) AS n_with_relative FROM bw JOIN sh a ON g1 = a.gene JOIN sh b ON g2 = b.gene AND a.run = b.run WHERE a.split <> b.split GROUP BY ALL")
 def g11(spark, sf):
     """Leakage of labels dealt anew, fifteen times."""
     runs = S.shuffled_labels(split(spark, sf), 15)
@@ -149,3 +149,16 @@ def a21(spark, sf):
 def a20(spark, sf):
     x = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("gene"))
     return x.agg(F.countDistinct(F.col("l_partkey") % 20).alias("splits"), F.countDistinct(F.col("l_suppkey") % 3).alias("scores"))
+
+
+@query("g02_cluster_split", f"""{COMP}, m AS (SELECT sp.gene, coalesce(component, sp.gene) AS component FROM sp LEFT JOIN cp ON id = sp.gene), z AS (SELECT component, CAST(count(*) AS DOUBLE) AS size FROM m GROUP BY component),
+o AS (SELECT component, size, row_number() OVER (ORDER BY size DESC, component) AS k FROM z), t AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM sp),
+st AS (SELECT 0 AS k, n * 0.7::DOUBLE AS a, n * 0.15::DOUBLE AS b, n * 0.15::DOUBLE AS c, '' AS pick, CAST(-1 AS BIGINT) AS component FROM t
+UNION ALL SELECT o.k, a - CASE WHEN a >= b AND a >= c THEN size ELSE 0 END, b - CASE WHEN b > a AND b >= c THEN size ELSE 0 END, c - CASE WHEN c > a AND c > b THEN size ELSE 0 END, CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'val' ELSE 'test' END, o.component FROM st JOIN o ON o.k = st.k + 1),
+ct AS (SELECT size, pick, count(*) AS n FROM st JOIN z USING (component) GROUP BY ALL), ub AS (SELECT size, pick, sum(n) OVER (PARTITION BY size ORDER BY CASE pick WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END) AS upto, CASE pick WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS ord FROM ct),
+pl AS (SELECT component, size, row_number() OVER (PARTITION BY size ORDER BY component) AS k FROM z), ch AS (SELECT pl.component, arg_min(pick, ord) AS split FROM pl JOIN ub ON ub.size = pl.size AND pl.k <= upto GROUP BY pl.component)
+SELECT gene, ch.split, m.component FROM m JOIN ch ON m.component = ch.component""")
+def g02(spark, sf):
+    """Vectors split by whole components of relatives."""
+    genes = table(spark, sf, "embeddings").select(F.col("vec_id").alias("gene"))
+    return S.packed_split(genes, edges(spark, sf), [("train", 0.7), ("val", 0.15), ("test", 0.15)], LEAST)

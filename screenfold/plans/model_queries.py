@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from screenfold.operators import fitness as X
+from screenfold.operators import linkage as L
 from screenfold.operators import models as M
+from screenfold.operators import sparse as P
 from screenfold.operators.counts import cpm
 from screenfold.plans.bindings import B1, B1D, B2, SAMPLE, counts, many_strains, table
 from screenfold.plans.registry import query
@@ -83,12 +85,21 @@ def m02(spark, sf):
     return table(spark, sf, "part").agg((F.countDistinct("p_brand") - 1).alias("p_brand"), (F.countDistinct("p_type") - 1).alias("p_type")).unpivot([], ["p_brand", "p_type"], "block", "width")
 
 
-@query("m03_rank")
+@query("m03_rank", "SELECT 1 + (SELECT count(DISTINCT p_brand) - 1 FROM part) + (SELECT count(DISTINCT p_type) - 1 FROM part) AS width, 1 + (SELECT count(DISTINCT p_brand) - 1 FROM part) + (SELECT count(DISTINCT p_type) - 1 FROM part) - (WITH RECURSIVE e AS (SELECT DISTINCT 'b' || p_brand AS x, 't' || p_type AS y FROM part), bw AS (SELECT x, y FROM e UNION SELECT y, x FROM e), rc AS (SELECT x AS id, x AS other FROM bw UNION SELECT rc.id, bw.y FROM rc JOIN bw ON rc.other = bw.x) SELECT count(DISTINCT c) - 1 FROM (SELECT id, min(other) AS c FROM rc GROUP BY id)) AS rank")
 def m03(spark, sf):
+    """A constant and two one-hot blocks: short of full rank by the parts, less one, that brands and types fall into."""
     p = table(spark, sf, "part")
     ones = p.select("p_partkey", F.lit("1").alias("feature"))
     f = ones.unionByName(M.one_hot(p, "p_partkey", "p_brand").drop("slot")).unionByName(M.one_hot(p, "p_partkey", "p_type").drop("slot"))
-    return M.gram_rank(f, "p_partkey")
+    width, rank, _ = P.design_rank(f, "p_partkey")
+    return spark.createDataFrame([(width, rank)], "width long, rank long")
+
+
+@query("m03_dependent")
+def m03d(spark, sf):
+    """Names of the columns that depend on those before them, over whole one-hot blocks and copies of some."""
+    f = annotations(spark, sf).where("v = 1").select("gene", "feature")
+    return P.design_rank(f, "gene")[2]
 
 
 ONE = f"""{SC}, x AS (SELECT sc.*, p_retailprice / 100 AS x FROM sc JOIN part ON gene = p_partkey), g AS (SELECT strain, avg(x) AS mx, avg(y) AS my, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx, sum(x * y) - count(*) * avg(x) * avg(y) AS sxy FROM x WHERE Split = 'train' GROUP BY strain),
@@ -101,9 +112,58 @@ def m10one(spark, sf):
     return m.select("strain", "alpha", r6(F.col("weights")[0], "weight"), r6("intercept"))
 
 
-@query("m10_ridge")
+TWO = f"""{SC}, x AS (SELECT sc.*, p_retailprice / 100 AS x1, CAST(p_size AS DOUBLE) AS x2 FROM sc JOIN part ON gene = p_partkey),
+g AS (SELECT strain, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, covar_pop(x1, x1) * count(*) AS s11, covar_pop(x2, x2) * count(*) AS s22, covar_pop(x1, x2) * count(*) AS s12, covar_pop(x1, y) * count(*) AS c1, covar_pop(x2, y) * count(*) AS c2 FROM x WHERE Split = 'train' GROUP BY strain),
+w AS (SELECT strain, alpha, (c1 * (s22 + alpha) - c2 * s12) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) AS b1, (c2 * (s11 + alpha) - c1 * s12) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) AS b2, m1, m2, my FROM g, (SELECT unnest([10.0::DOUBLE, 31.6, 100, 316, 1000, 3160, 10000, 31600, 100000]) AS alpha) t)"""
+
+
+@query("m10_ridge", f"WITH {TWO} SELECT strain, alpha, round(my - b1 * m1 - b2 * m2, 6) AS intercept, round(b1, 6) AS w_price, round(b2, 6) AS w_size FROM w")
 def m10(spark, sf):
-    return M.ridge(featured(spark, sf).where("Split = 'train'"), "strain", ["price", "size"], "y")
+    m = M.ridge(featured(spark, sf).where("Split = 'train'"), "strain", ["price", "size"], "y")
+    return m.select("strain", "alpha", r6("intercept"), r6(F.col("weights")[0], "w_price"), r6(F.col("weights")[1], "w_size"))
+
+
+def brands(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("gene"), F.concat(F.lit("brand:"), "p_brand").alias("feature"), F.lit(1).alias("v"))
+
+
+def all_annotations(spark, sf):
+    """Every annotation feature of the parts: brand, type, size, container, and the kinds of ``annotations``."""
+    p = table(spark, sf, "part")
+    more = [p.select(F.col("p_partkey").alias("gene"), F.concat(F.lit(f"{c}:"), F.col(c).cast("string")).alias("feature"), F.lit(1).alias("v")) for c in p.columns if c not in ("p_partkey", "p_brand", "p_retailprice", "p_name")]
+    out = annotations(spark, sf)
+    for m in more:
+        out = out.unionByName(m)
+    return out
+
+
+@query("m10_annotations")
+def m10a(spark, sf):
+    """Ridge weights of every annotation feature at every penalty, in each strain."""
+    s = scores(spark, sf).where("Split = 'train'").select("strain", "gene", "y")
+    return P.sparse_ridge(s, all_annotations(spark, sf), "strain", "gene", "y", "v", M.ALPHAS)
+
+
+# one-hot columns of one family: each weight is its own shrunken sum about an intercept that is in closed form
+BRAND = f"""{SC}, x AS (SELECT sc.*, 'brand:' || p_brand AS feature FROM sc JOIN part ON gene = p_partkey WHERE Split = 'train'), s AS (SELECT strain, feature, sum(y) AS sy, CAST(count(*) AS DOUBLE) AS n FROM x GROUP BY ALL),
+al AS (SELECT unnest([10.0::DOUBLE, 31.6, 100, 316, 1000, 3160, 10000, 31600, 100000]) AS alpha), cut AS (SELECT strain, alpha, sum(sy / (n + alpha)) / sum(n / (n + alpha)) AS a FROM s, al GROUP BY ALL),
+fs AS (SELECT DISTINCT 'brand:' || p_brand AS feature FROM part), bw AS (SELECT cut.strain, cut.alpha, fs.feature, coalesce((sy - n * a) / (n + cut.alpha), 0) AS weight FROM cut CROSS JOIN fs LEFT JOIN s ON s.strain = cut.strain AND s.feature = fs.feature)"""
+
+
+@query("m10_brand_weights", f"WITH {BRAND} SELECT strain, alpha, feature, round(weight, 6) AS weight FROM bw UNION ALL SELECT strain, alpha, NULL, round(a, 6) FROM cut")
+def m10b(spark, sf):
+    s = scores(spark, sf).where("Split = 'train'").select("strain", "gene", "y")
+    return P.sparse_ridge(s, brands(spark, sf), "strain", "gene", "y", "v", M.ALPHAS).select("strain", "alpha", "feature", r6("weight"))
+
+
+@query("m16_brand_metrics", f"WITH {BRAND}, e AS (SELECT sc.strain, sc.Split, sc.y, cut.alpha, a + bw.weight AS p FROM sc JOIN part ON gene = p_partkey JOIN cut ON cut.strain = sc.strain JOIN bw ON bw.strain = sc.strain AND bw.alpha = cut.alpha AND bw.feature = 'brand:' || p_brand) SELECT strain, alpha, Split, CAST(count(*) AS BIGINT) AS n, round(1 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)), 6) AS r2, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse FROM e GROUP BY ALL")
+def m16b(spark, sf):
+    """Rows of each strain with the weights of their keys, scored at every penalty."""
+    rows, f = scores(spark, sf).select("strain", "gene", "y", "Split"), brands(spark, sf)
+    m = P.sparse_ridge(rows.where("Split = 'train'"), f, "strain", "gene", "y", "v", M.ALPHAS)
+    p = P.sparse_predictions(rows, m, f, "strain", "gene", "v")
+    return M.metrics(p, ["strain", "alpha", "Split"], "y", "p").select("strain", "alpha", "Split", "n", r6("r2"), r6("rmse"))
 
 
 def _ridge_scores(spark, sf, features=("price", "size")):
@@ -127,11 +187,11 @@ def m13(spark, sf):
     return m.groupBy("strain").agg(F.min_by("alpha", F.abs(F.col("alpha") - 316)).alias("alpha"), r6(F.min_by(F.col("weights")[0], F.abs(F.col("alpha") - 316)), "weight"))
 
 
-@query("m14_best_alpha")
+@query("m14_best_alpha", f"WITH {TWO}, {MEANS.replace(SC + ', ', '', 1)}, e AS (SELECT x.strain, alpha, y, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS p FROM x JOIN w ON x.strain = w.strain WHERE Split = 'val'), q AS (SELECT strain, alpha, CAST(count(*) AS BIGINT) AS n, 1 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)) AS r2 FROM e GROUP BY ALL), bb AS (SELECT strain, 1 - sum((y - p_strain) * (y - p_strain)) / (count(*) * var_pop(y)) AS base_r2 FROM pr WHERE Split = 'val' GROUP BY strain), k AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY strain ORDER BY r2 DESC, alpha) = 1) SELECT k.strain, alpha, n, round(r2, 6) AS r2, round(base_r2, 6) AS base_r2, round(r2 - base_r2, 6) AS gain FROM k JOIN bb ON k.strain = bb.strain")
 def m14(spark, sf):
     best = M.best_alpha(_ridge_scores(spark, sf), "strain", "Split")
     base = M.metrics(M.mean_predictions(scores(spark, sf)), ["strain", "Split"], "y", "p_strain").where("Split = 'val'").select("strain", F.col("r2").alias("base_r2"))
-    return best.join(base, "strain").withColumn("gain", F.col("r2") - F.col("base_r2"))
+    return best.join(base, "strain").select("strain", "alpha", "n", r6("r2"), r6("base_r2"), r6(F.col("r2") - F.col("base_r2"), "gain"))
 
 
 @query("a23_weight_spread", f"WITH {ONE} SELECT alpha, round(avg(b), 6) AS mean_w, round(stddev_samp(b), 6) AS sd_w FROM w GROUP BY alpha")
@@ -226,17 +286,17 @@ def _profiles(spark, sf):
 
 @query("t34_cluster")
 def t34(spark, sf):
-    return M.average_linkage(_profiles(spark, sf), "gene", "v", "correlation")
+    return L.average_linkage(_profiles(spark, sf), "gene", "v", "correlation")
 
 
 @query("t35_cluster")
 def t35(spark, sf):
-    return M.average_linkage(_profiles(spark, sf), "gene", "v", "cosine")
+    return L.average_linkage(_profiles(spark, sf), "gene", "v", "cosine")
 
 
 @query("w07_leaf_order")
 def w07(spark, sf):
-    return M.leaf_order(M.average_linkage(_profiles(spark, sf), "gene", "v", "correlation"))
+    return L.leaf_order(L.average_linkage(_profiles(spark, sf), "gene", "v", "correlation"))
 
 
 @query("t37_clone_corr", f"""WITH {B2}, v AS (SELECT gene % 100 AS base, gene AS id, strain, fc FROM b2 WHERE fc IS NOT NULL), p AS (SELECT a.base, a.id AS id_1, b.id AS id_2, a.fc AS x, b.fc AS y FROM v a JOIN v b ON a.base = b.base AND a.strain = b.strain AND a.id < b.id),

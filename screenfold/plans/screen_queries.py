@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from screenfold.operators import counts as C
 from screenfold.operators import fitness as X
 from screenfold.operators import windows as W
+from screenfold.operators.scan import mean_ranks, numbered
 from screenfold.plans.bindings import B1, B1D, SAMPLE, counts
 from screenfold.plans.registry import query
 
@@ -212,7 +213,7 @@ def w03(spark, sf):
 
 @query("w05_avg_rank", f"WITH {B1D} SELECT gene, strain, gen, rep, CAST(rank() OVER (PARTITION BY strain, gen, rep ORDER BY n) + (count(*) OVER (PARTITION BY strain, gen, rep, n) - 1) / 2.0 AS DOUBLE) AS r FROM b1")
 def w05(spark, sf):
-    return b1d(spark, sf).select(*KEYS, C.average_rank(S, "n").alias("r"))
+    return mean_ranks(b1d(spark, sf), S, "n", "r").select(*KEYS, "r")
 
 
 @query("w06_group_bcast", f"WITH {B1D} SELECT gene, strain, gen, rep, round(avg(cpm) OVER (PARTITION BY gene, strain), 5) AS group_mean FROM c")
@@ -257,7 +258,7 @@ def a13(spark, sf):
 @query("a14_spearman", f"""WITH {PAIR}, k AS (SELECT strain, rank() OVER (PARTITION BY strain ORDER BY x) + (count(*) OVER (PARTITION BY strain, x) - 1) / 2.0 AS a,
 rank() OVER (PARTITION BY strain ORDER BY y) + (count(*) OVER (PARTITION BY strain, y) - 1) / 2.0 AS b FROM pr) SELECT strain, round(corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE)), 6) AS rho FROM k GROUP BY strain""")
 def a14(spark, sf):
-    k = _pairs(spark, sf).select("strain", C.average_rank(["strain"], "x").alias("a"), C.average_rank(["strain"], "y").alias("b"))
+    k = mean_ranks(mean_ranks(_pairs(spark, sf), ["strain"], "x", "a"), ["strain"], "y", "b")
     return k.groupBy("strain").agg(r6(F.corr("a", "b"), "rho"))
 
 
@@ -271,7 +272,7 @@ def t38(spark, sf):
 def t36(spark, sf):
     """Percentiles of correlations between seeded pairs of genes across samples."""
     v = b1d_cpm(spark, sf).groupBy("gene").agg(F.transform(F.array_sort(F.collect_list(F.struct(*S, "cpm"))), lambda s: s["cpm"]).alias("v"))
-    k = v.withColumn("k", F.row_number().over(Window.orderBy(F.xxhash64("gene", F.lit(1)))))
+    k = numbered(v, [F.xxhash64("gene", F.lit(1)), F.col("gene")], "k")
     pairs = k.alias("a").join(k.alias("b"), F.expr("a.k + 1 = b.k")).select(F.col("a.gene").alias("g"), F.explode(F.arrays_zip(F.col("a.v").alias("x"), F.col("b.v").alias("y"))).alias("z"))
     r = pairs.groupBy("g").agg(F.when((F.var_pop("z.x") > 0) & (F.var_pop("z.y") > 0), F.try_divide(F.covar_pop("z.x", "z.y"), F.stddev_pop("z.x") * F.stddev_pop("z.y"))).alias("r"))
     return r.agg(F.percentile("r", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias("q")).select(F.posexplode("q").alias("at", "r"))
@@ -335,7 +336,7 @@ def a33(spark, sf):
 @query("o13_row_mean", f"WITH {REP}, m AS (SELECT gene, round(avg(fitness), 6) AS mean FROM rf GROUP BY gene) SELECT gene, mean, CAST(row_number() OVER (ORDER BY mean DESC NULLS LAST, gene) AS INTEGER) AS place FROM m")
 def o13(spark, sf):
     m = X.replicate_fitness(b1_cpm(spark, sf), ["gene", "strain"], "rep", "gen", "cpm").groupBy("gene").agg(r6(F.avg("fitness"), "mean"))
-    return m.withColumn("place", F.row_number().over(Window.orderBy(F.col("mean").desc_nulls_last(), "gene")))
+    return numbered(m, [F.col("mean").desc_nulls_last(), F.col("gene")], "place")
 
 
 @query("t29_offsets", f"WITH {B1D}, l AS (SELECT strain, gen, rep, CAST(sum(n) AS DOUBLE) AS lib FROM b1 GROUP BY ALL) SELECT strain, gen, rep, round(ln(lib) - avg(ln(lib)) OVER (), 6) AS off FROM l")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from screenfold.functions import text as T
+from screenfold.operators.scan import running
 
 FEATURE_COLUMNS = tuple(f"c{i}" for i in range(16))
 SHEET_SCHEMA = "sample_id string, strain string, generation int, replicate string, fastq string, index_seq string"
@@ -33,13 +34,21 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value); numbers rise within a file in the order of its lines."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
-    return rows.select("file", F.col("line_no").cast("long").alias("line_no"), "value")
+    """(file, line_no, value): the lines of files, numbered from 0 in each.
 
+    Files are read in byte ranges. A line's place in its range comes from ids that rise as a range is read,
+    and ranges are counted and added up, so a file of any size is many tasks.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range_at"), F.monotonically_increasing_id().alias("id"), "value")
+    ends = rows.groupBy("file", "range_at").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("range_at").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ends = ends.select("file", "range_at", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return rows.join(ends, ["file", "range_at"]).select("file", (F.col("id") - F.col("first") + F.col("before")).alias("line_no"), "value")
 
-def _block(starts: Column) -> Column:
-    return F.count_if(starts).over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+
+def with_records(lines: DataFrame, starts: Column, name: str = "record") -> DataFrame:
+    """``lines`` with the number of starts up to each in its file, 0 before the first; no file is one task."""
+    return running(lines, [F.col("line_no")], {name: ("sum", starts.cast("int"))}, ["file"])
 
 
 def decode_rows(lines: DataFrame) -> DataFrame:
@@ -50,7 +59,7 @@ def decode_rows(lines: DataFrame) -> DataFrame:
 
 def soft_records(lines: DataFrame, kind: str = "SAMPLE") -> DataFrame:
     """(file, record, name, key, value): keys of each block, repeats joined by '; ' in order."""
-    rows = lines.withColumn("record", _block(F.col("value").startswith("^" + kind))).where("record > 0")
+    rows = with_records(lines, F.col("value").startswith("^" + kind)).where("record > 0")
     rows = rows.withColumn("key", F.regexp_extract("value", rf"^!{kind.title()}_(\S+) = ", 1)).withColumn("v", F.regexp_extract("value", r"^!\S+ = (.*)$", 1))
     name = F.max(F.when(F.col("value").startswith("^"), F.regexp_extract("value", r"= (.*)$", 1))).over(Window.partitionBy("file", "record"))
     rows = rows.withColumn("name", name).where("key <> ''")
@@ -60,7 +69,7 @@ def soft_records(lines: DataFrame, kind: str = "SAMPLE") -> DataFrame:
 
 def fasta_records(lines: DataFrame) -> DataFrame:
     """(file, record, name, sequence): the header's first word, the body in one piece without a final *."""
-    rows = lines.where("value <> ''").withColumn("record", _block(F.col("value").startswith(">"))).where("record > 0")
+    rows = with_records(lines.where("value <> ''"), F.col("value").startswith(">")).where("record > 0")
     head = F.max(F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1)))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("value").startswith(">"), F.struct("line_no", F.trim("value").alias("v"))))), lambda s: s["v"]), "")
     return rows.groupBy("file", "record").agg(head.alias("name"), F.regexp_replace(body, r"\*+$", "").alias("sequence"))
@@ -81,7 +90,7 @@ def gaf_rows(lines: DataFrame) -> DataFrame:
 
 def obo_names(lines: DataFrame) -> DataFrame:
     """(id, name) of [Term] blocks: the id and the first name of each."""
-    rows = lines.withColumn("block", _block(F.col("value").startswith("[")))
+    rows = with_records(lines, F.col("value").startswith("["), "block")
     first = lambda p: F.min_by(F.when(F.col("value").startswith(p), F.expr(f"substr(value, {len(p) + 1})")), F.when(F.col("value").startswith(p), F.col("line_no")))
     got = rows.groupBy("file", "block").agg(F.bool_or(F.col("value") == "[Term]").alias("term"), first("id: ").alias("id"), first("name: ").alias("name"))
     return got.where("term and id is not null and name is not null").select("id", "name")
