@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from screenfold.functions import kernels
-from screenfold.operators.counts import average_rank
+from screenfold.operators.scan import ranked_values
 from screenfold.operators.windows import with_fdr
 
 
 @F.pandas_udf(DoubleType())
 def _hyper_tail(hits: pd.Series, population: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
-    return pd.Series([kernels.hypergeometric_tail(*map(int, v)) for v in zip(hits, population, marked, drawn)], dtype="float64")
+    return pd.Series(kernels.hypergeometric_tails(hits.to_numpy(), population.to_numpy(), marked.to_numpy(), drawn.to_numpy()))
 
 
 @F.pandas_udf(DoubleType())
 def _rank_sum_p(u: pd.Series, n1: pd.Series, n2: pd.Series, tied: pd.Series, z: pd.Series) -> pd.Series:
-    """Exact if a side has 8 or fewer, the other is not very large and nothing is tied, else normal."""
-    out = []
-    for a, b, c, t, d in zip(u, n1, n2, tied, z):
-        out.append(kernels.rank_sum_exact(a, int(b), int(c)) if min(b, c) <= 8 and b * c <= kernels.EXACT_PAIRS and not t else kernels.normal_two_sided(max(d, 0.0)))
-    return pd.Series(out, dtype="float64")
+    """Exact if a side has 8 or fewer and nothing is tied, else normal."""
+    out = kernels.erfc(np.maximum(z.to_numpy(dtype=float), 0) / math.sqrt(2))
+    for k in np.flatnonzero((np.minimum(n1, n2) <= 8) & ~tied.astype(bool)):
+        out[k] = kernels.rank_sum_exact(u.iloc[k], int(n1.iloc[k]), int(n2.iloc[k]))
+    return pd.Series(out)
 
 
 def over_representation_of_lists(lists: DataFrame, background: DataFrame, categories: DataFrame, least_category: int = 3, least_query: int = 1, p_cut: float = 5e-4) -> DataFrame:
@@ -64,7 +67,9 @@ def rank_sum(query: DataFrame, background: DataFrame, features: DataFrame, least
     """Two-sided rank-sum test of each feature, the query against the rest of the background."""
     rows = features.where("value is not null").join(background.select("gene").distinct(), "gene", "left_semi")
     rows = rows.join(query.select("gene", F.lit(True).alias("q")).distinct(), "gene", "left").withColumn("q", F.coalesce("q", F.lit(False)))
-    rows = rows.withColumn("r", average_rank(["feature"], "value")).withColumn("t", F.count("*").over(Window.partitionBy("feature", "value")))
+    # equal values are one row until their rank is joined back, so no feature is one task
+    places = ranked_values(rows, ["feature"], "value").select("feature", "value", (F.col("upto") - (F.col("ties") - 1) / 2.0).alias("r"), F.col("ties").alias("t"))
+    rows = rows.join(places, ["feature", "value"])
     inq = F.col("q")
     got = rows.groupBy("feature").agg(
         F.count_if(inq).alias("n_query"), F.count_if(~inq).alias("n_background"), F.sum(F.when(inq, F.col("r"))).alias("r1"), F.median(F.when(inq, F.col("value"))).alias("median_query"),

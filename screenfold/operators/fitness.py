@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenfold.functions import kernels
 from screenfold.operators.windows import with_fdr
-from screenfold.plans.session import stash
+from screenfold.plans.session import shuffle_width, stash
 
 FLOOR = 1e-8
 
@@ -58,43 +59,71 @@ def likelihood_ratio(values: DataFrame, keys: Sequence[str], gen: str, value: st
     return out.withColumn("log2fc", F.log2(F.col("mean10") / F.col("mean0")))
 
 
+def _slice_offsets(table: pa.Table) -> pa.Table:
+    """Of the slices of a strain: genes and profile sums before each, of all, and the best common grid point."""
+    table = table.sort_by("slice")
+    n = table.column("n").to_numpy()
+    sums = np.array(table.column("sums").to_pylist())
+    upto = np.cumsum(sums, 0)
+    rows = len(n)
+    best = float(kernels.GRID[int(upto[-1].argmax())])
+    return pa.table({"strain": table.column("strain"), "slice": table.column("slice"), "before": pa.array(np.cumsum(n) - n), "held": pa.array(list(upto - sums), pa.list_(pa.float64())), "genes": pa.array(np.full(rows, n.sum())), "common": pa.array(np.full(rows, best))})
+
+
 def estimate_dispersions(values: DataFrame, gene: str, strain: str, gen: str, value: str, prior_df: float = 10.0, span: float = 0.3) -> DataFrame:
     """(strain, gene, common, trended, tagwise).
 
-    Profile likelihoods over a fixed grid are made gene by gene in Arrow batches. Each grid point of a
-    strain is then a series over genes in order of abundance: the common dispersion is where the sum of
-    a series is largest; the trend is the mean over the ``span`` nearest ranks, taken as the difference
-    of two running sums that are joined by rank; tagwise likelihoods add the trend with the weight
-    ``prior_df`` over the gene's residual degrees of freedom (samples less arms). Ties take the lowest
-    grid point, genes of equal level their order. A strain's genes are never one task.
+    Genes are cut into slices of their order of abundance, written once. A task makes the profile
+    likelihoods of its slice over a fixed grid and their running sums, one array a gene; sums of slices
+    are added up, slice by slice. The common dispersion is where the sum of all is largest; the trend
+    is the mean over the ``span`` nearest ranks, taken as the difference of the running sums at the two
+    ends, which are joined by rank; tagwise likelihoods add the trend with the weight ``prior_df`` over
+    the gene's residual degrees of freedom (samples less arms). Ties take the lowest grid point, genes
+    of equal level their order. A strain's genes are never one task.
     """
     rows = values.select(F.col(strain).alias("strain"), F.col(gene).alias("gene"), F.col(gen).alias("gen"), F.col(value).cast("double").alias("y"))
     packed = rows.groupBy("strain", "gene").agg(F.sort_array(F.collect_list(F.when(F.col("gen") == 0, F.col("y")))).alias("y0"), F.sort_array(F.collect_list(F.when(F.col("gen") == 10, F.col("y")))).alias("y1"), F.avg("y").alias("level")).where("level > 0")
     arms = (F.size("y0") > 0).cast("int") + (F.size("y1") > 0).cast("int")
     packed = packed.withColumn("df", F.greatest(F.lit(1), F.size("y0") + F.size("y1") - arms))
+    kinds = dict(packed.dtypes)
+    order = [F.col("strain"), F.col("level"), F.col("gene")]
+    cut = packed.repartitionByRange(shuffle_width(values.sparkSession), *order).sortWithinPartitions(*order).withColumn("slice", F.spark_partition_id())
+    cut = cut.select("strain", "gene", "slice", "df", "y0", "y1")
 
     def profile(batches):
+        at, name, sums = 0, object(), 0.0  # no strain yet
         for b in batches:
-            out = [kernels.adjusted_profile(x, y).tolist() for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), b.column(5), pa.array(out, pa.list_(pa.float64()))], ["strain", "gene", "level", "df", "apl"])
+            ll = kernels.adjusted_profiles(b.column(4).to_pylist(), b.column(5).to_pylist())
+            upto, ranks = np.empty_like(ll), np.empty(len(ll), np.int64)
+            for k, s in enumerate(b.column(0).to_pylist()):
+                if s != name:
+                    at, name, sums = 0, s, np.zeros(len(kernels.GRID))
+                at, sums = at + 1, sums + ll[k]
+                ranks[k], upto[k] = at, sums
+            arrays = [pa.array(list(x), pa.list_(pa.float64())) for x in (ll, upto)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(4)), pa.array(ranks), *arrays], ["strain", "gene", "slice", "df", "own_rank", "ll", "own_upto"])
+
+    made = stash(cut.mapInArrow(profile, f"strain {kinds['strain']}, gene {kinds['gene']}, slice int, df int, own_rank long, ll array<double>, own_upto array<double>"), "profiles")
+    slices = made.groupBy("strain", "slice").agg(F.count("*").alias("n"), F.max_by("own_upto", "own_rank").alias("sums"))
+    offsets = slices.groupBy("strain").applyInArrow(_slice_offsets, f"strain {kinds['strain']}, slice int, before long, held array<double>, genes long, common double")
+    made = made.join(offsets, ["strain", "slice"])
+    made = made.withColumn("rank", F.col("own_rank") + F.col("before")).withColumn("upto", F.zip_with("own_upto", "held", lambda a, b: a + b))
+    half = F.floor(F.greatest(F.lit(3), F.round(F.lit(span) * F.col("genes"))) / 2).cast("int")
+    first, last = F.greatest(F.col("rank") - half, F.lit(1)) - 1, F.least(F.col("rank") + half, F.col("genes"))
+    ends = made.select("strain", "rank", "upto")
+    near = made.select("strain", "gene", "df", "ll", "common", first.alias("first"), last.alias("last"))
+    near = near.join(ends.toDF("strain", "last", "to_last"), ["strain", "last"]).join(ends.toDF("strain", "first", "to_first"), ["strain", "first"], "left")
+    near = near.select("strain", "gene", "common", "df", (F.col("last") - F.col("first")).alias("wide"), "ll", "to_last", F.coalesce("to_first", F.array(*[F.lit(0.0)] * len(kernels.GRID))).alias("to_first"))
+
+    def choose(batches):
+        grid = lambda c: c.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(kernels.GRID))
+        for b in batches:
+            if b.num_rows:
+                trend = (grid(b.column("to_last")) - grid(b.column("to_first"))) / b.column("wide").to_numpy()[:, None]
+                tag = grid(b.column("ll")) + prior_df / b.column("df").to_numpy()[:, None] * trend
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(kernels.GRID[trend.argmax(1)]), pa.array(kernels.GRID[tag.argmax(1)])], ["strain", "gene", "common", "trended", "tagwise"])
 
-    kinds = dict(packed.dtypes)
-    made = packed.select("strain", "gene", "y0", "y1", "level", "df").mapInArrow(profile, f"strain {kinds['strain']}, gene {kinds['gene']}, level double, df int, apl array<double>")
-    of = Window.partitionBy("strain")
-    made = made.withColumn("rank", F.row_number().over(of.orderBy("level", "gene"))).withColumn("n", F.count("*").over(of))
-    series = stash(made.select("strain", "gene", "df", "rank", "n", F.posexplode("apl").alias("k", "ll")), "profiles")
-    grid = F.array(*[F.lit(float(x)) for x in kernels.GRID])
-    best = lambda c: F.element_at(grid, 1 - F.max(F.struct(F.col(c).alias("v"), (-F.col("k")).alias("back")))["back"])
-    common = series.groupBy("strain", "k").agg(F.sum("ll").alias("ll")).groupBy("strain").agg(best("ll").alias("common"))
-    half = F.floor(F.greatest(F.lit(3), F.round(F.lit(span) * F.col("n"))) / 2).cast("int")
-    low, high = F.greatest(F.col("rank") - half, F.lit(1)), F.least(F.col("rank") + half, F.col("n")).cast("int")
-    running = series.select("strain", "k", F.col("rank").alias("at"), F.sum("ll").over(Window.partitionBy("strain", "k").orderBy("rank")).alias("upto"))
-    ends = series.withColumn("first", low - 1).withColumn("last", high)
-    near = ends.join(running.toDF("strain", "k", "last", "to_last"), ["strain", "k", "last"]).join(running.toDF("strain", "k", "first", "to_first"), ["strain", "k", "first"], "left")
-    near = near.withColumn("trend", (F.col("to_last") - F.coalesce("to_first", F.lit(0.0))) / (F.col("last") - F.col("first")))
-    near = near.withColumn("tag", F.col("ll") + F.lit(prior_df) / F.col("df") * F.col("trend"))
-    found = near.groupBy("strain", "gene").agg(best("trend").alias("trended"), best("tag").alias("tagwise"))
-    return found.join(common, "strain").select("strain", "gene", "common", "trended", "tagwise")
+    return near.mapInArrow(choose, f"strain {kinds['strain']}, gene {kinds['gene']}, common double, trended double, tagwise double")
 
 
 def fitness_table(values: DataFrame, gene: str, strain: str, gen: str, value: str) -> DataFrame:

@@ -144,6 +144,62 @@ def fit_counts(x: np.ndarray, y: np.ndarray, off: np.ndarray, phi: float, rounds
     return beta, dev
 
 
+def fit_many(x: np.ndarray, y: np.ndarray, off: np.ndarray, phi: float | np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """``fit_counts`` of many genes of one design: (coefficients, deviances), a row of ``y`` and ``off`` each.
+
+    All genes take a step together; those that have settled take no more part.
+    """
+    r = np.broadcast_to(1 / np.asarray(phi, float), len(y))[:, None]
+
+    def deviance(g, beta):
+        mu = np.exp(np.clip(beta @ x.T + off[g], -40, 40))
+        own = y[g]
+        gain = np.where(own > 0, own * np.log(np.where(own > 0, own, 1) / mu), 0.0)
+        return mu, 2 * (gain - (own + r[g]) * np.log((own + r[g]) / (mu + r[g]))).sum(1)
+
+    beta = np.linalg.lstsq(x, (np.log(y + 0.25) - off).T, rcond=None)[0].T
+    live = np.arange(len(y))
+    mu, dev = deviance(live, beta)
+    for _ in range(rounds):
+        if not len(live):
+            break
+        m = mu[live]
+        w = m * r[live] / (r[live] + m)
+        root = np.sqrt(w)
+        left = np.einsum("gn,ni,nj->gij", w, x, x, optimize=True)
+        right = (w * (y[live] - m) / m) @ x
+        try:
+            step = np.linalg.solve(left, right[:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError:  # a design that some genes do not determine
+            step = np.stack([np.linalg.lstsq(x * q[:, None], q * (a - b) / b, rcond=None)[0] for q, a, b in zip(root, y[live], m)])
+        trying = np.arange(len(live))
+        done = np.zeros(len(live), bool)
+        new_mu, new = m.copy(), dev[live].copy()
+        for _ in range(12):
+            got_mu, got = deviance(live[trying], beta[live[trying]] + step[trying])
+            fine = got <= dev[live[trying]] + 1e-12 * (1 + np.abs(dev[live[trying]]))
+            new_mu[trying[fine]], new[trying[fine]], done[trying[fine]] = got_mu[fine], got[fine], True
+            trying = trying[~fine]
+            if not len(trying):
+                break
+            step[trying] /= 2
+        go = live[done]
+        change = dev[go] - new[done]
+        beta[go] += step[done]
+        mu[go], dev[go] = new_mu[done], new[done]
+        live = go[(change >= 1e-9 * (np.abs(dev[go]) + 1e-3)) | (np.abs(step[done]).max(1) >= 1e-6)]
+    return beta, dev
+
+
+def _by_design(genes: list[list[dict]], columns: list[str]):
+    """(places of the genes, one's observations, counts, offsets) of genes that have the same observations."""
+    held: dict[tuple, list[int]] = {}
+    for k, obs in enumerate(genes):
+        held.setdefault(tuple(tuple(o[c] for c in columns) for o in obs), []).append(k)
+    for at in held.values():
+        yield at, genes[at[0]], np.array([[o["y"] for o in genes[k]] for k in at]), np.array([[o["off"] for o in genes[k]] for k in at])
+
+
 def _design(obs: list[dict], columns: list[str], family: str) -> tuple[np.ndarray, list]:
     """Treatment columns of each factor, sum-to-zero ones of ``family``, and what each column stands for."""
     design, names = [np.ones(len(obs))], [None]
@@ -174,20 +230,20 @@ def moment_dispersion(counts: DataFrame, gene: str, columns: list[str], value: s
     """(phi): the common dispersion at which the mean residual deviance of all genes comes closest to
     their mean residual degrees of freedom; of equally close ones the lowest.
 
-    Every gene is fitted at each of the grid's dispersions in its own Arrow batch; only sums of a fixed
-    width are gathered. Without genes that have more observations than coefficients there is no row.
+    Genes of one design are fitted together at each of the grid's dispersions, batch by batch; only sums
+    of a fixed width are gathered. Without genes that have more observations than coefficients there is no row.
     """
 
     def run(batches):
         for b in batches:
             out = {"k": [], "dev": [], "df": []}
-            for obs in b.column(1).to_pylist():
+            for _, obs, y, off in _by_design(b.column(1).to_pylist(), columns):
                 x, _ = _design(obs, columns, family)
                 if len(obs) > x.shape[1]:
-                    y, off = np.array([o["y"] for o in obs]), np.array([o["off"] for o in obs])
                     for k, phi in enumerate(MOMENT_GRID):
-                        for name, v in zip(out, (k, fit_counts(x, y, off, phi)[1], float(len(obs) - x.shape[1]))):
-                            out[name].append(v)
+                        out["k"] += [k] * len(y)
+                        out["dev"] += fit_many(x, y, off, phi)[1].tolist()
+                        out["df"] += [float(len(obs) - x.shape[1])] * len(y)
             yield pa.RecordBatch.from_arrays([pa.array(out["k"], pa.int32()), pa.array(out["dev"], pa.float64()), pa.array(out["df"], pa.float64())], ["k", "dev", "df"])
 
     fits = _packed_counts(counts, gene, columns, value).mapInArrow(run, "k int, dev double, df double")
@@ -200,7 +256,7 @@ def count_models(counts: DataFrame, gene: str, columns: list[str], value: str, p
     """(gene, term, log2fc, lr, pvalue, fdr): each gene's negative-binomial model of the factors in
     ``columns``, and likelihood ratios of the models without each level of ``family``.
 
-    Genes are fitted in Arrow batches. Without ``phi`` all genes share the dispersion that moments give.
+    Genes of one design are fitted together, batch by batch. Without ``phi`` all genes share the dispersion that moments give.
     """
     packed = _packed_counts(counts, gene, columns, value)
     kind = dict(counts.dtypes)[gene]
@@ -209,18 +265,21 @@ def count_models(counts: DataFrame, gene: str, columns: list[str], value: str, p
     def run(batches):
         for b in batches:
             out = {"gene": [], "term": [], "log2fc": [], "lr": [], "pvalue": []}
-            for g, obs, disp in zip(*(c.to_pylist() for c in b.columns)):
-                y, off = np.array([o["y"] for o in obs]), np.array([o["off"] for o in obs])
+            names_of, disp = b.column(0).to_pylist(), np.array(b.column(2).to_pylist(), float)
+            for at, obs, y, off in _by_design(b.column(1).to_pylist(), columns):
                 x, names = _design(obs, columns, family)
-                beta, full = fit_counts(x, y, off, disp)
+                beta, full = fit_many(x, y, off, disp[at])
                 mine = [i for i, n in enumerate(names) if n and n[0] == family]
                 last = sorted({o[family] for o in obs})[-1]
                 for i in [*mine, None]:
                     drop = [i] if i is not None else mine
-                    lr = max(0.0, fit_counts(np.delete(x, drop, 1), y, off, disp)[1] - full)
-                    effect = beta[i] if i is not None else -beta[mine].sum()
-                    for k, v in zip(out, (g, str(names[i][1] if i is not None else last), float(effect / np.log(2)), lr, kernels.chi2_tail(lr, len(drop)))):
-                        out[k].append(v)
+                    lr = np.maximum(0.0, fit_many(np.delete(x, drop, 1), y, off, disp[at])[1] - full)
+                    effect = (beta[:, i] if i is not None else -beta[:, mine].sum(1)) / np.log(2)
+                    out["gene"] += [names_of[k] for k in at]
+                    out["term"] += [str(names[i][1] if i is not None else last)] * len(at)
+                    out["log2fc"] += effect.tolist()
+                    out["lr"] += lr.tolist()
+                    out["pvalue"] += [kernels.chi2_tail(v, len(drop)) for v in lr.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(out["gene"], type=b.schema.field(0).type), *[pa.array(out[k], pa.string() if k == "term" else pa.float64()) for k in ("term", "log2fc", "lr", "pvalue")]], ["gene", "term", "log2fc", "lr", "pvalue"])
 
     tested = packed.crossJoin(F.broadcast(shared)).mapInArrow(run, f"gene {kind}, term string, log2fc double, lr double, pvalue double")
