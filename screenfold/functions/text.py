@@ -59,3 +59,30 @@ def listed(items: Column) -> Column:
 def midpoint(a: Column, b: Column) -> Column:
     x, y = a.cast("double"), b.cast("double")
     return (F.least(x, y) + F.greatest(x, y)) / 2
+
+
+#: Rows that ``hit_rates`` looks at, and the least rate of a column that is picked.
+LOOK, LEAST_RATE = 500, 0.5
+
+
+def hit_rates(rows: DataFrame, pattern: str, columns: list[str] | None = None, order: list | None = None, look: int = LOOK) -> DataFrame:
+    """(place, col, rate): how many of the first ``look`` values of each column match, in the order of
+    columns; missing values do not. Without ``order`` the first rows are those that a scan gives first."""
+    columns = columns or rows.columns
+    first = (rows.orderBy(*order) if order else rows).limit(look)
+    rate = lambda c: F.avg(F.coalesce(F.col(f"`{c}`").cast("string").rlike(pattern), F.lit(False)).cast("double"))
+    got = first.agg(*[rate(c).alias(c) for c in columns]).unpivot([], [f"`{c}`" for c in columns], "col", "rate")
+    return got.withColumn("place", F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("col"))).select("place", "col", "rate")
+
+
+def picked(rates: DataFrame, least: float = LEAST_RATE) -> DataFrame:
+    """The row of the best column, the first of equals; none below ``least``."""
+    return rates.orderBy(F.desc("rate"), "place").limit(1).where(F.col("rate") >= least)
+
+
+def pick_column(rows: DataFrame, pattern: str, **options) -> str:
+    """Name of the column that holds values of the pattern; an error if none does often enough."""
+    got = picked(hit_rates(rows, pattern, **options)).collect()
+    if not got:
+        raise ValueError("no column holds the pattern often enough")
+    return got[0]["col"]

@@ -56,10 +56,15 @@ def demultiplex(reads: DataFrame, sheet: DataFrame, lengths: list[int]) -> DataF
     return found.withColumn("sample_id", F.coalesce(*names)).drop(*names)
 
 
+def longest(tags: DataFrame, column: str = "tag") -> int:
+    """Bases of the longest tag: what has to be carried of a read from an offset on."""
+    return tags.agg(F.max(F.length(column))).first()[0] or 0
+
+
 def exact_match(reads: DataFrame, tags: DataFrame, offset: int) -> DataFrame:
     """(lane, read_no, gene) of reads with a tag at the offset; of several the shortest."""
     t = tags.select("tag", "gene", F.substring("tag", 1, PREFIX).alias("k"))
-    rest = reads.select("lane", "read_no", F.expr(f"substr(seq, {offset + 1})").alias("rest")).withColumn("k", F.substring("rest", 1, PREFIX))
+    rest = reads.select("lane", "read_no", F.expr(f"substr(seq, {offset + 1}, {longest(tags)})").alias("rest")).withColumn("k", F.substring("rest", 1, PREFIX))
     hit = rest.join(t, "k").where(F.col("rest").startswith(F.col("tag")))
     return hit.groupBy("lane", "read_no").agg(F.min_by("gene", F.length("tag")).alias("gene"))
 
@@ -69,7 +74,7 @@ def fuzzy_match(reads: DataFrame, fuzzy: DataFrame, offset: int, before: int = 3
     low, high = max(0, offset - before), max(0, offset + after)
     t = fuzzy.select(F.col("variant").alias("tag"), "gene", F.substring("variant", 1, PREFIX).alias("k"))
     rest = reads.select("lane", "read_no", "seq", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("off"))
-    rest = rest.select("lane", "read_no", "off", F.expr("substr(seq, off + 1)").alias("rest")).withColumn("k", F.substring("rest", 1, PREFIX))
+    rest = rest.select("lane", "read_no", "off", F.expr(f"substr(seq, off + 1, {longest(fuzzy, 'variant')})").alias("rest")).withColumn("k", F.substring("rest", 1, PREFIX))
     hit = rest.join(t, "k").where(F.col("rest").startswith(F.col("tag")))
     best = F.min(F.struct("off", F.length("tag").alias("n"), "gene"))
     return hit.groupBy("lane", "read_no").agg(best.alias("b")).select("lane", "read_no", F.col("b.gene").alias("gene"))
@@ -85,7 +90,7 @@ def match_reads(reads: DataFrame, sheet: DataFrame, lengths: list[int], decode:
     every = every.withColumn("k", F.substring("tag", 1, PREFIX))
     span = F.sequence(F.lit(max(0, offset - before)), F.lit(max(0, offset + after)))
     at = demultiplex(reads, sheet, lengths).withColumn("off", F.explode(F.when(F.col("sample_id").isNotNull(), span).otherwise(F.array(F.lit(-1)))))
-    at = at.select("lane", "read_no", "sample_id", "off", F.when(F.col("off") >= 0, F.expr("substr(seq, off + 1)")).alias("rest")).withColumn("k", F.substring("rest", 1, PREFIX))
+    at = at.select("lane", "read_no", "sample_id", "off", F.when(F.col("off") >= 0, F.expr(f"substr(seq, off + 1, {longest(decode)})")).alias("rest")).withColumn("k", F.substring("rest", 1, PREFIX))
     hit = at.join(every, (at["k"] == every["k"]) & F.col("rest").startswith(F.col("tag")) & ((F.col("rank") == 1) | (F.col("off") == offset)), "left")
     best = F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "off", F.length("tag").alias("n"), "gene")))
     got = hit.groupBy("lane", "read_no").agg(F.max("sample_id").alias("sample_id"), best.alias("b"))
@@ -108,8 +113,9 @@ def offset_scan(reads: DataFrame, tags: DataFrame, max_offset: int = 45) -> Data
     Tags are held by their first ten bases, so a read has one key an offset, whatever the lengths.
     """
     t = tags.groupBy(F.substring("tag", 1, PREFIX).alias("k")).agg(F.collect_set("tag").alias("tags"))
-    at = reads.select("seq", F.explode(F.sequence(F.lit(0), F.lit(max_offset))).alias("offset")).withColumn("k", F.expr(f"substr(seq, offset + 1, {PREFIX})"))
-    starts = F.exists("tags", lambda x: F.expr("substr(seq, offset + 1)").startswith(x))
+    at = reads.select("seq", F.explode(F.sequence(F.lit(0), F.lit(max_offset))).alias("offset"))
+    at = at.select("offset", F.expr(f"substr(seq, offset + 1, {longest(tags)})").alias("rest")).withColumn("k", F.substring("rest", 1, PREFIX))
+    starts = F.exists("tags", lambda x: F.col("rest").startswith(x))
     return at.join(t, "k").where(starts).groupBy("offset").agg(F.count("*").alias("hits"))
 
 

@@ -46,12 +46,19 @@ def running(rows: DataFrame, order: list[Column], values: dict[str, tuple[str, C
     ends = scanned.groupBy(slice_, *by).agg(*(F.max_by(F.col(f"own {n}"), F.col("own place")).alias(n) for n in values))
     earlier = Window.partitionBy(*by).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
     before = ends.select(slice_, *by, *(_SUMS[kind][2](F.col(n)).over(earlier).alias(f"before {n}") for n, (kind, _) in values.items()))
-    match = F.col(f"a.{slice_}") == F.col(f"b.{slice_}")
-    for b in by:
-        match = match & F.col(f"a.{b}").eqNullSafe(F.col(f"b.{b}"))
-    both = scanned.alias("a").join(before.alias("b"), match)
+    both = with_group(scanned, before, by, [slice_])
     out = [_SUMS[kind][1](F.col(f"before {n}"), F.col(f"own {n}")).alias(n) for n, (kind, _) in values.items()]
-    return both.select(*(F.col(f"a.`{c}`") for c in rows.columns), *out)
+    return both.select(*(F.col(f"`{c}`") for c in rows.columns), *out)
+
+
+def with_group(rows: DataFrame, groups: DataFrame, by: list[str], also: list[str] = (), how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of their group, null being a group as well; ``also`` are keys of which null is none."""
+    match = F.lit(True)
+    for k in [*by, *also]:
+        a, b = F.col(f"a.`{k}`"), F.col(f"b.`{k}`")
+        match = match & (a.eqNullSafe(b) if k in by else a == b)
+    keys = [*by, *also]
+    return rows.alias("a").join(groups.alias("b"), match, how).select("a.*", *(F.col(f"b.`{c}`") for c in groups.columns if c not in keys))
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str, by: list[str] = (), start: int = 1) -> DataFrame:
@@ -69,7 +76,25 @@ def ranked_values(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 def mean_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """``rows`` with the average rank of their value in its group; equal values are one row until the join."""
     places = ranked_values(rows, by, value).withColumn(name, F.col("upto") - (F.col("ties") - 1) / 2.0).drop("ties", "upto")
-    return rows.join(places, [*by, value], "left")
+    return with_group(rows, places, by, [value], "left")
+
+
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, at: list[float], name: str = "q") -> DataFrame:
+    """(by, name): quantiles of each group's values by linear interpolation, as an array in the order of ``at``.
+
+    The value of a rank is the least with as many rows up to it, so a group's values never meet in one
+    buffer: equal ones are counted first and a scan in slices adds the counts up. Missing values do
+    not count; a group of missing values alone has no row.
+    """
+    places = ranked_values(rows, by, value)
+    places = with_group(places, places.groupBy(*by).agg(F.max("upto").alias("of all")), by) if by else places.crossJoin(places.agg(F.max("upto").alias("of all")))
+    rank = lambda p, up: (F.ceil if up else F.floor)((F.col("of all") - 1) * F.lit(float(p))) + 1
+    of_rank = lambda r: F.min(F.when(F.col("upto") >= r, F.col(value).cast("double")))
+    ends = [of_rank(rank(p, up)).alias(f"{k} {up}") for k, p in enumerate(at) for up in (0, 1)]
+    got = places.groupBy(*by).agg(F.max("of all").alias("of all"), *ends)
+    part = lambda p: (F.col("of all") - 1) * F.lit(float(p)) - F.floor((F.col("of all") - 1) * F.lit(float(p)))
+    between = [F.col(f"{k} 0") + part(p) * (F.col(f"{k} 1") - F.col(f"{k} 0")) for k, p in enumerate(at)]
+    return got.select(*by, F.array(*between).alias(name))
 
 
 def step_up(rows: DataFrame, by: list[str], p: str, name: str) -> DataFrame:
@@ -78,8 +103,8 @@ def step_up(rows: DataFrame, by: list[str], p: str, name: str) -> DataFrame:
     The rate of a p-value is the least of p * n / (rows up to it) over the values from it on.
     """
     places = ranked_values(rows, by, p)
-    total = rows.where(F.col(p).isNotNull()).groupBy(*by).agg(F.count("*").alias("n")) if by else rows.agg(F.count(p).alias("n"))
-    places = places.join(total, by) if by else places.crossJoin(total)
-    places = places.withColumn("rate", F.least(F.lit(1.0), F.col(p) * F.col("n") / F.col("upto")))
-    places = running(places.drop("ties", "upto", "n"), [F.desc(p)], {name: ("min", F.col("rate"))}, by).drop("rate")
-    return rows.join(places, [*by, p], "left")
+    total = rows.where(F.col(p).isNotNull()).groupBy(*by).agg(F.count("*").alias("of all")) if by else rows.agg(F.count(p).alias("of all"))
+    places = with_group(places, total, by) if by else places.crossJoin(total)
+    places = places.withColumn("rate", F.least(F.lit(1.0), F.col(p) * F.col("of all") / F.col("upto")))
+    places = running(places.drop("ties", "upto", "of all"), [F.desc(p)], {name: ("min", F.col("rate"))}, by).drop("rate")
+    return with_group(rows, places, by, [p], "left")

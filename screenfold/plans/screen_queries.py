@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from screenfold.operators import counts as C
 from screenfold.operators import fitness as X
 from screenfold.operators import windows as W
-from screenfold.operators.scan import mean_ranks, numbered
+from screenfold.operators.scan import exact_quantiles, mean_ranks, numbered
 from screenfold.plans.bindings import B1, B1D, SAMPLE, counts
 from screenfold.plans.registry import query
 
@@ -224,12 +224,13 @@ def w06(spark, sf):
 @query("a09_quantiles", f"WITH {REP} SELECT strain, round(quantile_cont(fitness, 0.25), 6) AS q1, round(median(fitness), 6) AS med, round(quantile_cont(fitness, 0.75), 6) AS q3, round(min(fitness), 6) AS low FROM rf GROUP BY strain")
 def a09(spark, sf):
     f = X.replicate_fitness(b1_cpm(spark, sf), ["gene", "strain"], "rep", "gen", "cpm")
-    return f.groupBy("strain").agg(F.percentile("fitness", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min("fitness").alias("low")).select("strain", r6(F.col("q")[0], "q1"), r6(F.col("q")[1], "med"), r6(F.col("q")[2], "q3"), r6("low"))
+    q = exact_quantiles(f, ["strain"], "fitness", [0.25, 0.5, 0.75])
+    return q.join(f.groupBy("strain").agg(F.min("fitness").alias("low")), "strain").select("strain", r6(F.col("q")[0], "q1"), r6(F.col("q")[1], "med"), r6(F.col("q")[2], "q3"), r6("low"))
 
 
 @query("a10_pctl", f"WITH {B1} SELECT strain, gen, rep, round(quantile_cont(CAST(n AS DOUBLE), 0.1), 6) AS p10 FROM b1 WHERE n > 0 GROUP BY ALL")
 def a10(spark, sf):
-    return b1(spark, sf).where("n > 0").groupBy(*S).agg(r6(F.percentile("n", F.lit(0.1)), "p10"))
+    return exact_quantiles(b1(spark, sf).where("n > 0"), S, "n", [0.1]).select(*S, r6(F.col("q")[0], "p10"))
 
 
 @query("a12_rep_corr", f"""WITH {B1D}, l AS (SELECT *, log2(cpm + 1) AS v FROM c),
@@ -275,7 +276,7 @@ def t36(spark, sf):
     k = numbered(v, [F.xxhash64("gene", F.lit(1)), F.col("gene")], "k")
     pairs = k.alias("a").join(k.alias("b"), F.expr("a.k + 1 = b.k")).select(F.col("a.gene").alias("g"), F.explode(F.arrays_zip(F.col("a.v").alias("x"), F.col("b.v").alias("y"))).alias("z"))
     r = pairs.groupBy("g").agg(F.when((F.var_pop("z.x") > 0) & (F.var_pop("z.y") > 0), F.try_divide(F.covar_pop("z.x", "z.y"), F.stddev_pop("z.x") * F.stddev_pop("z.y"))).alias("r"))
-    return r.agg(F.percentile("r", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias("q")).select(F.posexplode("q").alias("at", "r"))
+    return exact_quantiles(r, [], "r", [0.05, 0.25, 0.5, 0.75, 0.95]).select(F.posexplode("q").alias("at", "r"))
 
 
 @query("f01_split_arms", f"WITH {B1} SELECT gene, strain, CAST(sum(n) FILTER (gen = 0) AS BIGINT) AS n0, CAST(sum(n) FILTER (gen = 10) AS BIGINT) AS n10 FROM b1 GROUP BY ALL")
@@ -330,7 +331,8 @@ def a22(spark, sf):
 
 @query("a33_abs_pctl", f"WITH {REP} SELECT round(quantile_cont(abs(fitness), 0.98), 6) AS p98 FROM rf")
 def a33(spark, sf):
-    return X.replicate_fitness(b1_cpm(spark, sf), ["gene", "strain"], "rep", "gen", "cpm").agg(r6(F.percentile(F.abs("fitness"), F.lit(0.98)), "p98"))
+    f = X.replicate_fitness(b1_cpm(spark, sf), ["gene", "strain"], "rep", "gen", "cpm").withColumn("size", F.abs("fitness"))
+    return exact_quantiles(f, [], "size", [0.98]).select(r6(F.col("q")[0], "p98"))
 
 
 @query("o13_row_mean", f"WITH {REP}, m AS (SELECT gene, round(avg(fitness), 6) AS mean FROM rf GROUP BY gene) SELECT gene, mean, CAST(row_number() OVER (ORDER BY mean DESC NULLS LAST, gene) AS INTEGER) AS place FROM m")
@@ -367,7 +369,7 @@ def t32(spark, sf):
     marked = normalised(spark, sf, "any_zero")
     means = X.arm_means(marked, ["gene", "strain"], "gen", "cpm").where("mean0 > 0 and mean10 > 0").join(marked.where("imputed").select("gene", "strain").distinct(), ["gene", "strain"], "left_anti")
     f = means.select("strain", X.log2_ratio_floored("mean10", "mean0").alias("f")).where("f < 0")
-    return f.groupBy("strain").agg(F.count("*").alias("n"), F.percentile("f", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select("strain", "n", r6(F.col("q")[0], "q1"), r6(F.col("q")[1], "med"), r6(F.col("q")[2], "q3"))
+    return exact_quantiles(f, ["strain"], "f", [0.25, 0.5, 0.75]).join(f.groupBy("strain").agg(F.count("*").alias("n")), "strain").select("strain", "n", r6(F.col("q")[0], "q1"), r6(F.col("q")[1], "med"), r6(F.col("q")[2], "q3"))
 
 
 # smaller pieces of the operators above, each on its own
@@ -411,13 +413,15 @@ def a03(spark, sf):
 
 @query("a11_upper_quartile", f"WITH {B1D} SELECT strain, gen, rep, round(quantile_cont(CAST(n AS DOUBLE), 0.75) / sum(n), 9) AS uq FROM b1 GROUP BY ALL")
 def a11(spark, sf):
-    return b1d(spark, sf).groupBy(*S).agg(F.round(F.percentile("n", F.lit(0.75)) / F.sum("n"), 9).alias("uq"))
+    rows = b1d(spark, sf)
+    return exact_quantiles(rows, S, "n", [0.75]).join(rows.groupBy(*S).agg(F.sum("n").alias("lib")), S).select(*S, F.round(F.col("q")[0] / F.col("lib"), 9).alias("uq"))
 
 
 @query("a15_differences", f"WITH {PAIR} SELECT strain, round(median(abs(x - y)), 5) AS median_diff, round(max(abs(x - y)), 5) AS max_diff FROM pr GROUP BY strain")
 def a15(spark, sf):
     d = F.abs(F.col("x") - F.col("y"))
-    return _pairs(spark, sf).groupBy("strain").agg(F.round(F.median(d), 5).alias("median_diff"), F.round(F.max(d), 5).alias("max_diff"))
+    rows = _pairs(spark, sf).withColumn("d", d)
+    return exact_quantiles(rows, ["strain"], "d", [0.5]).join(rows.groupBy("strain").agg(F.max("d").alias("most")), "strain").select("strain", F.round(F.col("q")[0], 5).alias("median_diff"), F.round("most", 5).alias("max_diff"))
 
 
 @query("w04_prefix_mean", f"""WITH {B1D}, m AS (SELECT gene, strain, avg(cpm) AS level FROM c GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY strain ORDER BY round(level, 6), gene) AS rn, count(*) OVER (PARTITION BY strain) AS n FROM m)

@@ -156,6 +156,20 @@ def x16(spark, sf):
     return d.agg(*[F.round(F.avg(F.col(c).rlike("^src[0-9]+$").cast("double")), 6).alias(c) for c in ("source", "lang")]).unpivot([], ["source", "lang"], "col", "rate")
 
 
+PICK = "h AS (SELECT * FROM documents ORDER BY doc_id LIMIT 500), r AS (SELECT unnest([1, 2, 3]) AS place, unnest(['lang', 'source', 'text']) AS col, unnest([(SELECT avg(CASE WHEN regexp_matches(lang, '^s[a-z]*[0-9]+$') THEN 1.0::DOUBLE ELSE 0 END) FROM h), (SELECT avg(CASE WHEN regexp_matches(source, '^s[a-z]*[0-9]+$') THEN 1.0::DOUBLE ELSE 0 END) FROM h), (SELECT avg(CASE WHEN regexp_matches(text, '^s[a-z]*[0-9]+$') THEN 1.0::DOUBLE ELSE 0 END) FROM h)]) AS rate)"
+
+
+@query("x16_hit_rates", f"WITH {PICK} SELECT CAST(place AS BIGINT) AS place, col, round(rate, 6) AS rate FROM r")
+def x16h(spark, sf):
+    """How often the first 500 values of each column look like a name: the look at 500 rows is the feature."""
+    return T.hit_rates(table(spark, sf, "documents"), "^s[a-z]*[0-9]+$", ["lang", "source", "text"], ["doc_id"]).select("place", "col", F.round("rate", 6).alias("rate"))
+
+
+@query("x16_picked", f"WITH {PICK} SELECT col FROM (SELECT * FROM r ORDER BY rate DESC, place LIMIT 1) WHERE rate >= 0.5")
+def x16k(spark, sf):
+    return T.picked(T.hit_rates(table(spark, sf, "documents"), "^s[a-z]*[0-9]+$", ["lang", "source", "text"], ["doc_id"])).select("col")
+
+
 @query("x17_list_build", "SELECT lang, string_agg(DISTINCT source, ';' ORDER BY source) AS sources FROM documents GROUP BY lang")
 def x17(spark, sf):
     return table(spark, sf, "documents").groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("source")), ";").alias("sources"))

@@ -181,6 +181,34 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(run.alias("run"), F.col(f"`{gene}`").alias("gene"), F.col(f"`{split}`").alias("split"))
 
 
+def read_categories(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct (gene, category) of a headerless two-column file with # comments, and (category, genes)
+    with the genes of each in order."""
+    rows = spark.read.option("sep", "\t").option("comment", "#").schema("gene string, category string").csv(path)
+    rows = rows.where("gene IS NOT NULL AND category IS NOT NULL").distinct()
+    return rows, rows.groupBy("category").agg(F.array_sort(F.collect_list("gene")).alias("genes"))
+
+
+def read_counts(spark: SparkSession, path: str, gene: str = "gene", sep: str = ",") -> DataFrame:
+    """(gene, sample, n) of a raw count matrix: a row a gene, a column a sample; what is no number is null."""
+    wide = read_table(spark, path, sep=sep)
+    first, *samples = wide.columns
+    wide = wide.withColumnRenamed(first, gene)
+    return numeric(wide, samples).unpivot([gene], samples, "sample", "n").withColumn("n", F.col("n").cast("long"))
+
+
+def read_split_frames(spark: SparkSession, path: str, column: str = "Split", names: tuple[str, ...] = ("train", "val", "test")) -> dict[str, DataFrame]:
+    """The rows of each split of one table, by name; a name that the table lacks has no rows."""
+    rows = read_table(spark, path)
+    return {n: rows.where(F.col(column) == n).drop(column) for n in names}
+
+
+def read_id_map(spark: SparkSession, path: str, old: str, new: str) -> DataFrame:
+    """Distinct (old, new) of a table with a header, gzip or plain; rows without either go."""
+    rows = read_table(spark, path).select(F.trim(F.col(f"`{old}`")).alias(old), F.trim(F.col(f"`{new}`")).alias(new))
+    return rows.where((F.col(old) != "") & (F.col(new) != "")).distinct()
+
+
 def read_annotations(spark: SparkSession, categories: str, features: str) -> tuple[DataFrame, DataFrame]:
     """(gene, category) and (gene, feature, value); each table is empty if its file is missing."""
     cats, long = spark.createDataFrame([], "gene string, category string"), spark.createDataFrame([], "gene string, feature string, value double")

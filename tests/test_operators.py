@@ -181,3 +181,30 @@ def test_leaves_specs_and_designs(spark, tmp_path):
     r = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", "x")], "id int, gene string, strain string")
     assert {(d["id"], d["block"], d["slot"]) for d in models.design(r, "id", "both").collect()} == {(2, "gene", 1), (3, "gene", 2), (2, "strain", 3)}
     assert models.design(r, "id", "ones").count() == 3 and models.design(r, "id", "gene", r.where("gene <> 'c'")).count() == 1
+
+
+def test_category_counts_split_and_id_readers(spark, tmp_path):
+    (tmp_path / "c.tsv").write_text("# note\ng1\tA\ng2\tA\ng1\tA\ng3\tB\ng4\t\n")
+    rows, held = files.read_categories(spark, str(tmp_path / "c.tsv"))
+    assert sorted(map(tuple, rows.collect())) == [("g1", "A"), ("g2", "A"), ("g3", "B")]
+    assert sorted((r["category"], r["genes"]) for r in held.collect()) == [("A", ["g1", "g2"]), ("B", ["g3"])]
+    (tmp_path / "n.csv").write_text("gene,a 1,b\nx,3,\ny,0,7\n")
+    assert sorted(map(str, map(tuple, files.read_counts(spark, str(tmp_path / "n.csv")).collect()))) == sorted(map(str, [("x", "a 1", 3), ("x", "b", None), ("y", "a 1", 0), ("y", "b", 7)]))
+    (tmp_path / "s.tsv").write_text("gene\tSplit\nx\ttrain\ny\tval\nz\ttrain\n")
+    frames = files.read_split_frames(spark, str(tmp_path / "s.tsv"))
+    assert {n: sorted(r["gene"] for r in d.collect()) for n, d in frames.items()} == {"train": ["x", "z"], "val": ["y"], "test": []}
+    with gzip.open(tmp_path / "m.tsv.gz", "wt") as f:
+        f.write("acc\tname\tmore\nP1\tYA\t1\nP1\tYA\t2\n\tYB\t3\nP2\t\t4\n")
+    assert [tuple(r) for r in files.read_id_map(spark, str(tmp_path / "m.tsv.gz"), "acc", "name").collect()] == [("P1", "YA")]
+
+
+def test_the_column_of_names_is_picked_by_its_first_rows(spark):
+    from screenfold.functions import text
+
+    rows = spark.createDataFrame([(i, f"YAL{i % 1000:03}C" if i < 300 or i > 500 else "?", None if i % 2 else f"yal{i % 1000:03}w", "x") for i in range(900)], "id long, name string, half string, other string")
+    pattern = "(?i)^Y[A-P][LR][0-9]{3}[WC](-[A-Z])?(_[0-9]+)?$"
+    assert text.pick_column(rows, pattern, columns=["name", "half", "other"], order=["id"]) == "name"
+    rates = {r["col"]: r["rate"] for r in text.hit_rates(rows, pattern, ["name", "half", "other"], ["id"]).collect()}
+    assert rates == {"name": 0.6, "half": 0.5, "other": 0.0}
+    with pytest.raises(ValueError):
+        text.pick_column(rows, pattern, columns=["other", "id"])

@@ -44,6 +44,18 @@ def test_mean_ranks_and_step_up_with_a_frequent_value(spark):
         assert rates[i] == pytest.approx(min(min(1, w * len(known) / sum(k <= w for k in known)) for w in known if w >= v))
 
 
+def test_exact_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(13)
+    rows = [("a" if i % 3 else None, float(v)) for i, v in enumerate(rng.integers(0, 20, 200))] + [("a", None), ("one", 4.5), ("none", None)] + [("a", 7.0)] * 100
+    df = spark.createDataFrame(rows, "g string, v double")
+    at = [0.0, 0.1, 0.25, 0.5, 0.98, 1.0]
+    got = {r["g"]: r["q"] for r in scan.exact_quantiles(df, ["g"], "v", at).collect()}
+    assert set(got) == {"a", None, "one"}
+    for g, q in got.items():
+        assert np.allclose(q, np.quantile([v for k, v in rows if k == g and v is not None], at))
+    assert np.allclose(scan.exact_quantiles(df, [], "v", at).first()["q"], np.quantile([v for _, v in rows if v is not None], at))
+
+
 def block_gzip(text: bytes, size: int) -> bytes:
     out = b""
     for at in [*range(0, len(text), size), None]:
