@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from screenfold.operators import align as A
 from screenfold.operators import splits as S
 from screenfold.operators.graph import connected_components
 from screenfold.plans.bindings import table
@@ -162,3 +163,21 @@ def g02(spark, sf):
     """Vectors split by whole components of relatives."""
     genes = table(spark, sf, "embeddings").select(F.col("vec_id").alias("gene"))
     return S.packed_split(genes, edges(spark, sf), [("train", 0.7), ("val", 0.15), ("test", 0.15)], LEAST)
+
+
+def turns(spark, sf):
+    """The letters of every turn of a conversation, as sequences."""
+    t = table(spark, sf, "conversations")
+    return t.select((F.col("conv_id") * 10_000 + F.col("turn")).alias("id"), F.regexp_replace("text", "[^A-Za-z]", "").alias("sequence"))
+
+
+@query("g01_sequence_edges")
+def g01s(spark, sf):
+    """Similar sequences by seeds and banded alignment."""
+    return A.similar_sequences(turns(spark, sf), LEAST, A.Seeding(k=16, window=12))[0]
+
+
+@query("g01_frequent_seeds")
+def g01f(spark, sf):
+    """Seeds that so many sequences have that these meet their longest only."""
+    return A.similar_sequences(turns(spark, sf), LEAST, A.Seeding(k=8, window=12, most=50))[1]
