@@ -1,11 +1,12 @@
 """Op 3: exact token counts by a compiled finite-state tokenizer.
 
 Merges are compiled, state by state as texts ask for them, into a deterministic transducer over the
-symbols of a word whose transitions carry the number of tokens that they add. White space resets the
-transducer whatever state it is in, so the map of a chunk of text from entry state to exit state and
-count is known from three parts: what it does before its first reset, the tokens emitted between
-resets, and the state after the last one. Chunk maps compose associatively; a text is cut into chunks
-of fixed size and their maps are combined by a parallel prefix scan.
+symbols of a word whose transitions carry the number of tokens that they add; a machine over characters
+cuts words around it. White space resets the machine whatever state it is in, so the map of a chunk
+from entry state to exit state and count is known but for what it does before its first white space:
+the tokens emitted from there on, and the exit state. Composing two maps runs the second's beginning
+from the first's exit state. A text is cut into chunks of fixed size and their maps are combined by a
+work-efficient prefix scan; Spark's tasks do this for many texts side by side.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ BLANKS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Fixed value: the pattern of the tokenizer's words, with its class of white space spelled out.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + BLANKS + r"\p{L}\p{N}]+"
 
+#: The contractions among those words.
+CONTRACTIONS = set("'s 't 're 've 'm 'll 'd".split())
+
 #: Lower-case forms that str.lower() lacks or gives by context (final sigma).
 LOWER = {0x03A3: 0x03C3, 0xA7CB: 0x0264, 0xA7DC: 0x019B}
 
@@ -74,7 +78,7 @@ class WordTransducer:
         self.states: dict[tuple, int] = {}
         self.content: list[tuple] = []
         self.moves: list[dict] = []
-        self.start = self._state(((0, 0, 0),))
+        self.start = self._state(self.begin)
 
     def _state(self, content: tuple) -> int:
         got = self.states.get(content)
@@ -124,6 +128,15 @@ class WordTransducer:
         got = self.moves[state][symbol] = (self._state(content), added)
         return got
 
+    #: Content of the state that a word begins in.
+    begin = ((0, 0, 0),)
+
+    def moved(self, content: tuple, symbol: str) -> tuple[tuple, int]:
+        """``_move`` by what states hold, which stays valid when numbers are dropped."""
+        state = self._state(content)
+        nxt, added = self.moves[state].get(symbol) or self._move(state, symbol)
+        return self.content[nxt], added
+
     def count(self, word: bytes) -> int:
         """Tokens of a whole word: transitions over its bytes, the last with the end-of-word mark."""
         if len(self.content) > self.most:
@@ -142,15 +155,24 @@ class WordTransducer:
 LONGEST_KEPT = 64
 
 
+#: Where the machine is: between words; in a run of letters or of other signs; or at an apostrophe, or an
+#: apostrophe and a letter, that may become a contraction.
+FREE, LETTERS, SIGNS, APOSTROPHE = "free", "letters", "signs", "apostrophe"
+START = (FREE, None, None)
+
+
 @dataclass(frozen=True)
 class ChunkMap:
-    """State map of a chunk. ``head`` runs from whatever state the chunk is entered in up to its first
-    reset; then ``emitted`` tokens; then ``tail`` from the reset state. Without a reset, tail is None
-    and the whole chunk is head."""
+    """Map of a chunk from entry state to (exit state, count).
+
+    ``head`` is what stands before the first white space and is run from whatever state the chunk is
+    entered in; then ``emitted`` tokens and the state ``exit``, whatever the entry. Without white space
+    ``exit`` is None and the whole chunk is head.
+    """
 
     head: str
     emitted: int
-    tail: str | None
+    exit: tuple | None
 
 
 class TokenCounter:
@@ -167,6 +189,7 @@ class TokenCounter:
         self.chunk_chars, self.most = chunk_chars, most
         self.young: dict[str, int] = {}
         self.old: dict[str, int] = {}
+        self.kinds: dict[str, str] = {}
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -187,37 +210,112 @@ class TokenCounter:
                 self.young[stretch] = got
         return got
 
+    def _kind(self, ch: str) -> str:
+        got = self.kinds.get(ch)
+        if got is None:
+            got = self.kinds[ch] = "L" if regex.match(r"\p{L}", ch) else "N" if regex.match(r"\p{N}", ch) else "S"
+        return got
+
+    def _into(self, state: tuple, ch: str) -> tuple[tuple, int]:
+        """A character more in the word that ``state`` is in: its last byte waits, as it may end the word."""
+        mode, content, waiting = state
+        fst, added = self.fst, 0
+        for b in ch.encode("utf-8", "surrogatepass"):
+            if waiting is not None:
+                content, n = fst.moved(content, fst.symbol[waiting])
+                added += n
+            waiting = b
+        return (mode, content, waiting), added
+
+    def _end(self, state: tuple) -> int:
+        """Tokens that the end of the word, or of white space after it, adds."""
+        mode, content, waiting = state
+        if mode == FREE:
+            return 0
+        if mode == APOSTROPHE:  # no contraction: a sign, and the letter that had followed
+            return sum(self.run(w) for w in waiting)
+        return self.fst.moved(content, self.fst.symbol[waiting] + self.fst.suffix)[1]
+
+    def step(self, state: tuple, ch: str) -> tuple[tuple, int]:
+        """(state, tokens added) after one more character that is no white space."""
+        mode, _, waiting = state
+        kind = self._kind(ch)
+        if mode == APOSTROPHE:
+            if "".join(waiting) + ch in CONTRACTIONS:
+                return START, self.run("".join(waiting) + ch)
+            if len(waiting) == 1 and ch in "rvl":
+                return (APOSTROPHE, None, ("'", ch)), 0
+            if len(waiting) == 1 and kind == "S":
+                state, n = self._into((SIGNS, self.fst.begin, None), "'")
+                state, m = self._into(state, ch)
+                return state, n + m
+            before = self.run("'")
+            state = START
+            if len(waiting) == 2:
+                state, n = self._into((LETTERS, self.fst.begin, None), waiting[1])
+                before += n
+            state, n = self.step(state, ch)
+            return state, before + n
+        if (mode, kind) in ((LETTERS, "L"), (SIGNS, "S")):
+            return self._into(state, ch)
+        before = self._end(state)
+        if kind == "N":
+            return START, before + self.run(ch)
+        if ch == "'":
+            return (APOSTROPHE, None, ("'",)), before
+        state, n = self._into((LETTERS if kind == "L" else SIGNS, self.fst.begin, None), ch)
+        return state, before + n
+
+    def walk(self, state: tuple, stretch: str) -> tuple[tuple, int]:
+        """(state, tokens added) after a stretch without white space."""
+        total = 0
+        for ch in stretch:
+            state, n = self.step(state, ch)
+            total += n
+        return state, total
+
+    def ended(self, state: tuple, stretch: str) -> int:
+        """Tokens added by a stretch and the white space after it."""
+        if state == START:
+            return self.run(stretch) if stretch else 0
+        state, n = self.walk(state, stretch)
+        return n + self._end(state)
+
     def chunk_map(self, chunk: str) -> ChunkMap:
         stretches = chunk.split(" ")
         if len(stretches) == 1:
             return ChunkMap(chunk, 0, None)
+        exit_, added = self.walk(START, stretches[-1])
+        return ChunkMap(stretches[0], self._between(stretches[1:-1]) + added, exit_)
+
+    def _between(self, stretches: list[str]) -> int:
         young, run = self.young, self.run
         total = 0
-        for s in stretches[1:-1]:
+        for s in stretches:
             if s:
                 got = young.get(s)
                 if got is None:
                     got = run(s)
                     young = self.young
                 total += got
-        return ChunkMap(stretches[0], total, stretches[-1])
+        return total
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """First ``a``, then ``b``; associative."""
-        if a.tail is None:
-            return ChunkMap(a.head + b.head, b.emitted, b.tail)
-        if b.tail is None:
-            return ChunkMap(a.head, a.emitted, a.tail + b.head)
-        met = a.tail + b.head
-        return ChunkMap(a.head, a.emitted + (self.run(met) if met else 0) + b.emitted, b.tail)
+        if a.exit is None:
+            return ChunkMap(a.head + b.head, b.emitted, b.exit)
+        if b.exit is None:
+            exit_, added = self.walk(a.exit, b.head)
+            return ChunkMap(a.head, a.emitted + added, exit_)
+        return ChunkMap(a.head, a.emitted + self.ended(a.exit, b.head) + b.emitted, b.exit)
 
     def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
-        """Inclusive prefix scan in log2(n) rounds, each of independent compositions."""
-        step = 1
-        while step < len(maps):
-            maps = maps[:step] + [self.compose(a, b) for a, b in zip(maps, maps[step:])]
-            step *= 2
-        return maps
+        """Inclusive prefix scan: neighbours are composed, their scan is made, and maps between fill in;
+        the compositions of a level do not depend on each other."""
+        if len(maps) < 2:
+            return maps
+        pairs = self.scan([self.compose(a, b) for a, b in zip(maps[::2], maps[1::2])])
+        return [maps[0]] + [pairs[i // 2] if i % 2 else self.compose(pairs[i // 2 - 1], maps[i]) for i in range(1, len(maps))]
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -229,8 +327,11 @@ class TokenCounter:
         for part in parts:
             if part:
                 clean, n = self.normal(part), self.chunk_chars
+                if len(clean) <= n:
+                    total += self._between(clean.split(" "))
+                    continue
                 whole = self.scan([self.chunk_map(clean[i : i + n]) for i in range(0, len(clean), n)])[-1]
-                total += whole.emitted + sum(self.run(s) for s in (whole.head, whole.tail) if s)
+                total += self.ended(START, whole.head) + whole.emitted + (self._end(whole.exit) if whole.exit else 0)
         return total
 
 
@@ -242,7 +343,7 @@ def counter(tokenizer_json: str) -> TokenCounter:
 def count_tokens(docs: DataFrame, tokenizer_json: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row; a null or empty text has none of either.
 
-    Rows are independent: repeated rows give repeated results, other columns are not read, an empty
+    Very long texts are read chunk by chunk, and a word of any length leaves a bounded number of states. Rows are independent: repeated rows give repeated results, other columns are not read, an empty
     table gives an empty one. No shuffle; one pass over the text column.
     """
     kind = docs.schema[id_col].dataType.simpleString()

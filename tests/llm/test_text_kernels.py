@@ -48,6 +48,21 @@ def test_chunk_maps_compose_associatively():
     a = c.compose(c.compose(maps[0], maps[1]), maps[2])
     assert a == c.compose(maps[0], c.compose(maps[1], maps[2]))
     assert c.scan(maps)[-1] == c.compose(c.compose(a, maps[3]), c.compose(maps[4], maps[5]))
+    got = c.scan(maps)
+    for k in range(1, len(maps) + 1):
+        want = maps[0]
+        for m in maps[1:k]:
+            want = c.compose(want, m)
+        assert got[k - 1] == want
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7])
+def test_state_maps_of_small_chunks_equal_the_library(chunk):
+    path = P.path("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), TokenCounter(path, chunk_chars=chunk, most=80)
+    hard = ["'s", "''s", "a's", "don't've", "'tis", "we'll're'rx'lx'v", "!'s", "'!s", "1'2", "'r", "'re", "'l l", "x'", "'", "é's'é", "a1'm2", "'S 'RE"]
+    for t in [*hard, *fuzz(700, 5)[:700], "the " * 50 + "internationalization's " * 5]:
+        assert own.count(t) == len(lib.encode(t, add_special_tokens=False).ids), t
 
 
 def test_trees_are_monotone_where_told():
