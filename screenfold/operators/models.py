@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from screenfold.functions import kernels
 from screenfold.operators.counts import average_rank
+from screenfold.operators.linkage import average_linkage, leaf_order  # noqa: F401  clustering is used from here as well
 from screenfold.operators.scan import numbered
 from screenfold.operators.windows import with_fdr
 
