@@ -376,15 +376,18 @@ def one_of_each(docs: DataFrame, rule: Threshold, id_col: str = "doc_id", text_c
     chosen = each.join(roots, "key").groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.key")
     chosen = stash(chosen, "chosen")
     if light.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").isEmpty():
-        kept = chosen.select("id").unionByName(light.where("key IS NULL").select("id"))
-        return docs.join(kept.withColumnRenamed("id", "kept_id"), F.col(id_col) == F.col("kept_id"), "left_semi")
+        kept = chosen.select(F.col("id").alias("kept id")).unionByName(light.where("key IS NULL").select(F.col("id").alias("kept id")))
+        return docs.join(kept, F.col(id_col) == F.col("`kept id`"), "left_semi")
+    # names that no column of the documents has
     named = set_keys_of_rows(docs, rule.n, text_col)
-    same = (F.col("own_id").eqNullSafe(F.col("id"))) & (F.col(f"`{KEY}`") == F.col("key"))
-    rows = named.where(F.col(f"`{KEY}`").isNotNull()).withColumn("own_id", F.col(id_col)).join(chosen, same, "left_semi").withColumn("own_hash", F.xxhash64(text_col))
-    least = rows.groupBy("own_id", KEY).agg(F.min("own_hash").alias("least")).select(F.col("own_id").alias("least_id"), F.col(f"`{KEY}`").alias("least_key"), "least")
-    rows = rows.join(least, F.col("own_id").eqNullSafe(F.col("least_id")) & (F.col(f"`{KEY}`") == F.col("least_key")) & (F.col("own_hash") == F.col("least")), "left_semi")
-    rows = rows.dropDuplicates(["own_id", KEY]).select(*docs.columns)
-    return rows.unionByName(named.where(F.col(f"`{KEY}`").isNull()).select(*docs.columns))
+    own, own_key, text_hash = (F.col(f"`{c}`") for c in ("own id", KEY, "own text hash"))
+    chosen = chosen.select(F.col("id").alias("chosen id"), F.col("key").alias("chosen key"))
+    rows = named.where(own_key.isNotNull()).withColumns({"own id": F.col(id_col), "own text hash": F.xxhash64(text_col)})
+    rows = rows.join(chosen, own.eqNullSafe(F.col("`chosen id`")) & (own_key == F.col("`chosen key`")), "left_semi")
+    least = rows.groupBy("own id", KEY).agg(F.min("own text hash").alias("least hash")).select(F.col("`own id`").alias("least id"), own_key.alias("least key"), "`least hash`")
+    rows = rows.join(least, own.eqNullSafe(F.col("`least id`")) & (own_key == F.col("`least key`")) & (text_hash == F.col("`least hash`")), "left_semi")
+    rows = rows.dropDuplicates(["own id", KEY]).select(*docs.columns)
+    return rows.unionByName(named.where(own_key.isNull()).select(*docs.columns))
 
 
 #: Column that ``set_keys_of_rows`` adds.
