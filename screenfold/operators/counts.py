@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from screenfold.operators.scan import exact_quantiles, mean_ranks
+from screenfold.plans.session import stash
+
 
 def densify(counts: DataFrame, genes: Sequence[str], samples: Sequence[str], value: str = "n") -> DataFrame:
     """Every gene in every sample, with 0 where nothing was counted.
@@ -36,30 +39,28 @@ def cpm(counts: DataFrame, sample: Sequence[str], value: str = "n", out: str = "
     return counts.withColumn(out, F.coalesce(share, F.lit(0.0)) if guard else share)
 
 
-def average_rank(part: Sequence[str], by: str) -> Column:
-    """Rank from 1 in which ties share their mean."""
-    tied = Window.partitionBy(*part, by)
-    return (F.rank().over(Window.partitionBy(*part).orderBy(by)) + (F.count("*").over(tied) - 1) / F.lit(2.0)).cast("double")
-
-
 def trimmed_mean_factors(counts: DataFrame, gene: str, sample: str, value: str = "n", trim_ratio: float = 0.3, trim_level: float = 0.05) -> DataFrame:
     """(sample, factor): trimmed mean of log ratios against a reference sample.
 
     The reference is the sample whose upper quartile, as a share of its library, is nearest the mean
     of all; among genes seen in both, extreme ratios and levels are trimmed by average rank and the
-    rest weighted by inverse variance. Factors are centred to a geometric mean of 1.
+    rest weighted by inverse variance. Factors are centred to a geometric mean of 1. Quartiles and
+    ranks are scans in slices, so the genes of a sample never meet in one task.
     """
     rows = counts.select(F.col(gene).alias("g"), F.col(sample).alias("s"), F.col(value).cast("double").alias("n"))
     # genes without any read do not take part
     rows = rows.withColumn("gt", F.sum("n").over(Window.partitionBy("g"))).where("gt > 0")
-    quart = rows.groupBy("s").agg(F.sum("n").alias("lib"), F.percentile("n", F.lit(0.75)).alias("q")).withColumn("uq", F.try_divide("q", "lib"))
+    rows = stash(rows, "reads")
+    upper = exact_quantiles(rows, ["s"], "n", [0.75]).select("s", F.col("q")[0].alias("q"))
+    quart = rows.groupBy("s").agg(F.sum("n").alias("lib")).join(upper, "s").withColumn("uq", F.try_divide("q", "lib"))
     every = Window.partitionBy()  # samples, of which there are few
     quart = quart.withColumn("off", F.abs(F.col("uq") - F.avg("uq").over(every))).withColumn("ref", F.min(F.struct("off", "s")).over(every)["s"])
     rows = rows.join(quart.select("s", "lib", "ref"), "s")
     ref = rows.where("s = ref").select("g", F.col("n").alias("rn"), F.col("lib").alias("rlib"))
     both = rows.where("s <> ref and n > 0").join(ref.where("rn > 0"), "g")
     both = both.select("s", "g", F.log2((F.col("n") / F.col("lib")) / (F.col("rn") / F.col("rlib"))).alias("m"), (F.log2((F.col("n") / F.col("lib")) * (F.col("rn") / F.col("rlib"))) / 2).alias("a"), ((F.col("lib") - F.col("n")) / (F.col("lib") * F.col("n")) + (F.col("rlib") - F.col("rn")) / (F.col("rlib") * F.col("rn"))).alias("v"))
-    both = both.withColumn("k", F.count("*").over(Window.partitionBy("s"))).withColumn("rm", average_rank(["s"], "m")).withColumn("ra", average_rank(["s"], "a"))
+    both = stash(both, "ratios")
+    both = mean_ranks(mean_ranks(both, ["s"], "m", "rm"), ["s"], "a", "ra").join(both.groupBy("s").agg(F.count("*").alias("k")), "s")
 
     def inside(rank: str, trim: float) -> Column:
         low = F.floor(F.col("k") * trim) + 1

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from screenfold.operators.scan import numbered
+
 
 def effects(scores: DataFrame, score: str, least: float, fdr: str | None = None, alpha: float = 0.05) -> DataFrame:
     """Adds deleterious, beneficial and any_effect; missing scores and rates are no effect."""
@@ -36,8 +38,8 @@ def beneficial_cluster(e: DataFrame, least: int, lab: Column) -> DataFrame:
 
 
 def ragged(rows: DataFrame, gene: str, strain: str, strains: list) -> DataFrame:
-    """One column of genes for each strain, filled from the top."""
-    k = rows.withColumn("rn", F.row_number().over(Window.partitionBy(strain).orderBy(gene)))
+    """One column of genes for each strain, filled from the top; repeated rows take a place each."""
+    k = numbered(rows.select(strain, gene), [F.col(gene)], "rn", [strain])
     return k.groupBy("rn").pivot(strain, strains).agg(F.max(gene))
 
 

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenfold.functions import kernels
-from screenfold.operators.counts import average_rank
 from screenfold.operators.linkage import average_linkage, leaf_order  # noqa: F401  clustering is used from here as well
-from screenfold.operators.scan import numbered
+from screenfold.operators.scan import mean_ranks, numbered
 from screenfold.operators.windows import with_fdr
+from screenfold.plans.session import stash
 
 ALPHAS = [10.0, 31.6, 100.0, 316.0, 1000.0, 3160.0, 10000.0, 31600.0, 100000.0]
 
@@ -315,6 +315,7 @@ def clone_correlations(values: DataFrame) -> DataFrame:
     b = v.select("base", "strain", F.col("id").alias("id_2"), F.col("value").alias("y"))
     pairs = a.join(b, ["base", "strain"]).where("id_1 < id_2")
     of = ["base", "id_1", "id_2"]
-    ranked = pairs.withColumn("rx", average_rank(of, "x")).withColumn("ry", average_rank(of, "y"))
+    pairs = stash(pairs, "clones")
+    ranked = mean_ranks(mean_ranks(pairs, of, "x", "rx"), of, "y", "ry")
     corr = lambda p, q, n: F.try_divide(F.covar_pop(p, q), F.stddev_pop(p) * F.stddev_pop(q)).alias(n)
     return ranked.groupBy(*of).agg(F.count("*").alias("n"), corr("x", "y", "pearson"), corr("rx", "ry", "spearman"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from screenfold.operators import enrichment as E
 from screenfold.operators import lists as L
+from screenfold.operators.scan import exact_quantiles
 from screenfold.plans.bindings import B1, B2, counts, many_strains, table
 from screenfold.plans.registry import query
 
@@ -139,7 +140,8 @@ def a16(spark, sf):
 @query("t33_common_severity", f"WITH {B2}, cm AS (SELECT gene FROM e GROUP BY gene HAVING count(*) FILTER (del) >= 10) SELECT strain, round(quantile_cont(fc, 0.25), 6) AS q1, round(median(fc), 6) AS med, round(quantile_cont(fc, 0.75), 6) AS q3 FROM b2 WHERE gene IN (SELECT gene FROM cm) GROUP BY strain")
 def t33(spark, sf):
     e = effects(spark, sf)
-    got = e.join(L.common(e, "deleterious", 10), "gene", "left_semi").groupBy("strain").agg(F.percentile("fc", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    got = e.join(L.common(e, "deleterious", 10), "gene", "left_semi")
+    got = got.select("strain").distinct().join(exact_quantiles(got, ["strain"], "fc", [0.25, 0.5, 0.75]), "strain", "left")
     return got.select("strain", r6(F.col("q")[0], "q1"), r6(F.col("q")[1], "med"), r6(F.col("q")[2], "q3"))
 
 

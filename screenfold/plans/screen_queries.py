@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from screenfold.operators import counts as C
 from screenfold.operators import fitness as X
 from screenfold.operators import windows as W
-from screenfold.operators.scan import exact_quantiles, mean_ranks, numbered
+from screenfold.operators.scan import exact_quantiles, mean_ranks, numbered, running
 from screenfold.plans.bindings import B1, B1D, SAMPLE, counts
 from screenfold.plans.registry import query
+from screenfold.plans.session import stash
 
 S = list(SAMPLE)
 KEYS = ["gene", *S]
@@ -429,8 +430,8 @@ SELECT a.gene, a.strain, round(avg(b.level), 5) AS smooth FROM k a JOIN k b ON a
 def w04(spark, sf):
     """A moving mean whose width follows the number of genes: differences of running sums."""
     m = b1d_cpm(spark, sf).groupBy("gene", "strain").agg(F.avg("cpm").alias("level")).withColumn("o", F.round("level", 6))
-    by = Window.partitionBy("strain").orderBy("o", "gene")
-    k = m.withColumn("rn", F.row_number().over(by)).withColumn("n", F.count("*").over(Window.partitionBy("strain"))).withColumn("sums", F.sum("level").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    k = running(m, [F.col("o"), F.col("gene")], {"rn": ("count", F.lit(1)), "sums": ("sum", F.col("level"))}, ["strain"])
+    k = stash(k.join(k.groupBy("strain").agg(F.count("*").alias("n")), "strain"), "sums")
     half = F.floor(F.greatest(F.lit(3), F.bround(F.lit(0.3) * F.col("n")).cast("int")) / 2)
     k = k.withColumn("hi", F.least(F.col("n"), F.col("rn") + half)).withColumn("lo", F.greatest(F.lit(0), F.col("rn") - half - 1))
     ends = k.select(F.col("strain").alias("s"), F.col("rn").alias("at"), F.col("sums").alias("v"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from screenfold.operators.scan import numbered
 from screenfold.plans.bindings import B2, many_strains, table
 from screenfold.plans.registry import query
 
@@ -148,7 +149,8 @@ def o01(spark, sf):
 
 @query("o02_multi_sort", "SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_name, p_partkey) AS INTEGER) AS place FROM part")
 def o02(spark, sf):
-    return part(spark, sf).select("p_brand", "p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size"), "p_name", "p_partkey")).alias("place"))
+    rows = part(spark, sf).select("p_brand", "p_partkey", "p_size", "p_name")
+    return numbered(rows, [F.desc("p_size"), F.col("p_name"), F.col("p_partkey")], "place", ["p_brand"]).select("p_brand", "p_partkey", "place")
 
 
 @query("o03_abs_topk", f"WITH {B2} SELECT gene, strain, round(fc, 6) AS fc, CAST(row_number() OVER (ORDER BY abs(round(fc, 6)) DESC NULLS LAST, gene, strain) AS INTEGER) AS place FROM b2 QUALIFY place <= 15")

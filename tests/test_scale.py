@@ -260,3 +260,58 @@ def test_shares_of_sizes_equal_one_by_one():
             want.append((s, took))
         got = splits._shares_of(sizes, fractions)
         assert got == want
+
+
+def test_moving_mean_is_the_same_over_any_stretch(spark, monkeypatch):
+    """Stretches of 8 places and half widths up to more than a stretch; null values and parts, parts of one row, none."""
+    from screenfold.operators import windows
+
+    draw = np.random.default_rng(5)
+    rows = [(p, k, None if draw.random() < 0.1 else float(draw.integers(0, 99))) for p, n in (("a", 70), ("b", 1), (None, 19), ("c", 8)) for k in range(n)]
+    df = spark.createDataFrame(rows, "part string, k int, v double")
+    monkeypatch.setattr(windows, "STRETCH", 8)
+    for half in (0, 2, 8, 11):
+        got = {(r["part"], r["k"]): r["m"] for r in windows.moving_mean(df, ["part"], ["k"], "v", half, "m").collect()}
+        assert len(got) == len(rows)
+        for p, k, _ in rows:
+            near = [v for q, j, v in rows if q == p and abs(j - k) <= half and v is not None]
+            assert got[p, k] == (pytest.approx(sum(near) / len(near)) if near else None), (half, p, k)
+    assert windows.moving_mean(df.limit(0), ["part"], ["k"], "v", 2, "m").count() == 0
+
+
+def test_reverse_cumulative_and_ragged_by_slices(spark):
+    from screenfold.operators import lists, windows
+
+    df = spark.createDataFrame([(1, 5), (2, None), (3, 7), (4, 1)], "k int, n int")
+    assert {r["k"]: r["up"] for r in windows.reverse_cumulative(df, [], "k", "n", "up").collect()} == {4: 1, 3: 8, 2: 8, 1: 13}
+    held = spark.createDataFrame([("x", g) for g in (3, 1, 2)] + [("y", 9)], "strain string, gene int")
+    got = sorted(tuple(r) for r in lists.ragged(held, "gene", "strain", ["x", "y"]).collect())
+    assert got == [(1, 1, 9), (2, 2, None), (3, 3, None)]
+
+
+def test_trimmed_mean_factors_equal_plain_ranks(spark):
+    """Many ties, genes without reads, samples of unequal depth: equal to the definition written out in numpy."""
+    from screenfold.operators.counts import trimmed_mean_factors
+
+    draw = np.random.default_rng(9)
+    n = draw.poisson(draw.gamma(1.0, 8.0, (300, 1)) * np.array([1.0, 2.0, 0.5, 1.3]))
+    n[:20] = 0
+    df = spark.createDataFrame([(g, s, int(n[g, s])) for g in range(300) for s in range(4)], "gene int, s int, n long")
+    x = n[n.sum(1) > 0].astype(float)
+    lib = x.sum(0)
+    share = np.quantile(x, 0.75, axis=0) / lib
+    ref = int(np.argmin(np.abs(share - share.mean())))
+    logs = np.zeros(4)
+    ranks = lambda v: np.array([(v < t).sum() + ((v == t).sum() + 1) / 2 for t in v])
+    for s in set(range(4)) - {ref}:
+        on = (x[:, s] > 0) & (x[:, ref] > 0)
+        a, b = x[on, s], x[on, ref]
+        m, lv = np.log2((a / lib[s]) / (b / lib[ref])), np.log2((a / lib[s]) * (b / lib[ref])) / 2
+        v = (lib[s] - a) / (lib[s] * a) + (lib[ref] - b) / (lib[ref] * b)
+        k = len(m)
+        low = [int(np.floor(k * t)) + 1 for t in (0.3, 0.05)]
+        ok = np.logical_and.reduce([(r >= c) & (r <= k + 1 - c) for r, c in zip((ranks(m), ranks(lv)), low)])
+        logs[s] = (m[ok] / v[ok]).sum() / (1 / v[ok]).sum() * np.log(2)
+    want = np.exp(logs - logs.mean())
+    got = {r["s"]: r["factor"] for r in trimmed_mean_factors(df, "gene", "s").collect()}
+    assert np.allclose([got[s] for s in range(4)], want, rtol=1e-9)
