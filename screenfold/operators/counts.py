@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from screenfold.operators.scan import exact_quantiles, mean_ranks
+from screenfold.operators.scan import exact_quantiles, mean_ranks_of
 from screenfold.plans.session import stash
 
 
@@ -60,7 +60,7 @@ def trimmed_mean_factors(counts: DataFrame, gene: str, sample: str, value: str =
     both = rows.where("s <> ref and n > 0").join(ref.where("rn > 0"), "g")
     both = both.select("s", "g", F.log2((F.col("n") / F.col("lib")) / (F.col("rn") / F.col("rlib"))).alias("m"), (F.log2((F.col("n") / F.col("lib")) * (F.col("rn") / F.col("rlib"))) / 2).alias("a"), ((F.col("lib") - F.col("n")) / (F.col("lib") * F.col("n")) + (F.col("rlib") - F.col("rn")) / (F.col("rlib") * F.col("rn"))).alias("v"))
     both = stash(both, "ratios")
-    both = mean_ranks(mean_ranks(both, ["s"], "m", "rm"), ["s"], "a", "ra").join(both.groupBy("s").agg(F.count("*").alias("k")), "s")
+    both = mean_ranks_of(both, ["s"], {"rm": "m", "ra": "a"}).join(both.groupBy("s").agg(F.count("*").alias("k")), "s")
 
     def inside(rank: str, trim: float) -> Column:
         low = F.floor(F.col("k") * trim) + 1

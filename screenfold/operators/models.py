@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from screenfold.functions import kernels
 from screenfold.operators.linkage import average_linkage, leaf_order  # noqa: F401  clustering is used from here as well
-from screenfold.operators.scan import mean_ranks, numbered
+from screenfold.operators.scan import mean_ranks_of, numbered
 from screenfold.operators.windows import with_fdr
 from screenfold.plans.session import stash
 
@@ -316,6 +316,6 @@ def clone_correlations(values: DataFrame) -> DataFrame:
     pairs = a.join(b, ["base", "strain"]).where("id_1 < id_2")
     of = ["base", "id_1", "id_2"]
     pairs = stash(pairs, "clones")
-    ranked = mean_ranks(mean_ranks(pairs, of, "x", "rx"), of, "y", "ry")
+    ranked = mean_ranks_of(pairs, of, {"rx": "x", "ry": "y"})
     corr = lambda p, q, n: F.try_divide(F.covar_pop(p, q), F.stddev_pop(p) * F.stddev_pop(q)).alias(n)
     return ranked.groupBy(*of).agg(F.count("*").alias("n"), corr("x", "y", "pearson"), corr("rx", "ry", "spearman"))

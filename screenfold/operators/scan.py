@@ -75,8 +75,16 @@ def ranked_values(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def mean_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """``rows`` with the average rank of their value in its group; equal values are one row until the join."""
-    places = ranked_values(rows, by, value).withColumn(name, F.col("upto") - (F.col("ties") - 1) / 2.0).drop("ties", "upto")
-    return with_group(rows, places, by, [value], "left")
+    return mean_ranks_of(rows, by, {name: value})
+
+
+def mean_ranks_of(rows: DataFrame, by: list[str], values: dict[str, str]) -> DataFrame:
+    """``mean_ranks`` of several values, name by name, each ranked from ``rows`` as given; write ``rows`` first if costly."""
+    out = rows
+    for name, value in values.items():
+        places = ranked_values(rows, by, value).withColumn(name, F.col("upto") - (F.col("ties") - 1) / 2.0).drop("ties", "upto")
+        out = with_group(out, places, by, [value], "left")
+    return out
 
 
 def exact_quantiles(rows: DataFrame, by: list[str], value: str, at: list[float], name: str = "q") -> DataFrame:
