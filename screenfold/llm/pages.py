@@ -459,11 +459,15 @@ def templates(rows: DataFrame, named: bool = True, batch: int = 48) -> DataFrame
     fits = held.join(totals, "host").where((F.col("held") - BESIDES >= HOLDS * F.col("total")) & (2 * F.col("kids") >= F.col("n")) & (F.col("elements") <= 1.2 * F.col("n")))
     containers = fits.groupBy("host").agg(F.max(F.struct("depth", "slot"))["slot"].alias("container"))
     sums = [F.sum(c).alias(c) for c in ("first", "blocks", "size", "links", "sentences")]
-    texts = seen.select("host", F.inline("places")).groupBy("host", "slot", "place").agg(F.count("*").alias("times"), F.max("heading").alias("heading"), *sums)
-    slots = texts.groupBy("host", "slot").agg(F.max(F.struct("times", "place")).alias("top"), F.max("heading").alias("heading"), *sums)
-    menu = (F.col("first") > 1) & ~F.col("heading") & (F.col("links") >= LINKED * F.col("size")) & (F.col("sentences") <= SENTENCES * F.col("blocks"))
-    constant = (F.col("top.times") >= SAME * F.col("first")) & (F.col("top.times") - 1 >= BEYOND * F.col("first"))
-    slots = slots.select("host", F.when(menu, F.col("slot")).alias("menu"), F.when(constant, F.col("top.place")).alias("constant")).where("menu IS NOT NULL OR constant IS NOT NULL")
+    places = seen.select("host", F.inline("places"))
+    slots = places.groupBy("host", "slot").agg(F.max("heading").alias("heading"), *sums).where("first > 1")
+    menu = ~F.col("heading") & (F.col("links") >= LINKED * F.col("size")) & (F.col("sentences") <= SENTENCES * F.col("blocks"))
+    menus = slots.where(menu).select("host", F.col("slot").alias("menu"), F.lit(None).cast("long").alias("constant"))
+    # every text of a slot that qualifies, as a slot may have many; none does that one page alone has
+    texts = places.groupBy("host", "slot", "place").agg(F.count("*").alias("times")).where("times > 1")
+    constant = (F.col("times") >= SAME * F.col("first")) & (F.col("times") - 1 >= BEYOND * F.col("first"))
+    constants = texts.join(slots.select("host", "slot", "first"), ["host", "slot"]).where(constant).select("host", F.lit(None).cast("long").alias("menu"), F.col("place").alias("constant"))
+    slots = menus.union(constants)
     dropped = slots.groupBy("host").agg(F.collect_list("menu").alias("menus"), F.collect_list("constant").alias("constants"))
     return stash(containers.join(dropped, "host", "full").select("host", "container", "menus", "constants"), "templates")
 

@@ -50,6 +50,26 @@ def test_slots_decide_where_names_mean_nothing(spark):
     assert len(got) == 43
 
 
+def test_every_constant_text_of_a_slot_is_template(spark):
+    """Four texts of one slot recur on all pages; only one of them was found."""
+
+    def page(i):
+        notes = "".join(f"<div class='n'>{t}</div>" for t in ("Made with care.", "All rights are kept.", "Open from nine to five.", f"Printed as number {i}.", "Call us."))
+        return f"<body><p>Title {i}</p><p>Story {i} has its own words.</p>{notes}</body>"
+
+    df = spark.createDataFrame([(i, "http://h.org/a", page(i)) for i in range(20)], "page_id long, url string, html string")
+    trees_ = {i: pages.parse(page(i)) for i in range(20)}
+    template = pages.induce(list(trees_.values()))
+    for named in (True, False):
+        got = {r["page_id"]: r["text"] for r in pages.extract(df, named=named).collect()}
+        assert got == {i: f"Title {i} Story {i} has its own words. Printed as number {i}." for i in range(20)}
+        assert got == {i: pages.main_text(t, template) for i, t in trees_.items()}
+    rows = df.selectExpr("1L AS host", "html").union(df.selectExpr("2L AS host", "html").limit(1))
+    found = {r["host"]: r for r in pages.templates(rows).collect()}
+    assert set(found[1]["constants"]) == template.constants and len(template.constants) == 4
+    assert set(found[1]["menus"] or ()) == template.menus and not (2 in found and found[2]["constants"])
+
+
 def test_the_template_alone_finds_what_names_find(spark):
     """Every page of the table, with and without all lists of names."""
     df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
