@@ -6,7 +6,8 @@ cuts words around it. White space resets the machine whatever state it is in, so
 from entry state to exit state and count is known but for what it does before its first white space:
 the tokens emitted from there on, and the exit state. Composing two maps runs the second's beginning
 from the first's exit state. A text is cut into chunks of fixed size and their maps are combined by a
-work-efficient prefix scan; Spark's tasks do this for many texts side by side.
+work-efficient prefix scan; Spark's tasks do this for many texts side by side. Texts of one chunk need
+no maps: each distinct stretch between their white space runs through the machine once a batch.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,9 @@ BLANKS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Fixed value: the pattern of the tokenizer's words, with its class of white space spelled out.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + BLANKS + r"\p{L}\p{N}]+"
 
+#: Those of them at which texts are cut.
+ASCII_BLANKS = set("\t\n\x0b\x0c\r ")
+
 #: The contractions among those words.
 CONTRACTIONS = set("'s 't 're 've 'm 'll 'd".split())
 
@@ -58,7 +64,12 @@ class WordTransducer:
         self.trie: list[dict[str, int]] = [{}]
         self.token_at: list[tuple[str, ...] | None] = [None]
         tokens = {s: (s,) for b in self.symbol for s in (b, b + suffix)}
-        for a, b in merges:
+        self.made: dict[str, tuple[str, str, int]] | None = {}  # parts and rank of each merge's token
+        for i, (a, b) in enumerate(merges):
+            if self.made is not None and a in tokens and b in tokens and a + b not in tokens:
+                self.made[a + b] = (a, b, i)
+            else:
+                self.made = None  # parts made later, or a token made twice: the order of ranks says nothing
             if a in tokens and b in tokens:
                 tokens.setdefault(a + b, tokens[a] + tokens[b])
         for symbols in tokens.values():
@@ -72,6 +83,7 @@ class WordTransducer:
                 node = nxt
             self.token_at[node] = symbols
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.edges: tuple[dict, dict] = ({}, {})
         self.reset()
 
     def reset(self) -> None:
@@ -106,8 +118,40 @@ class WordTransducer:
         if got is None:
             if len(self.pairs) >= 2 * self.most:
                 self.pairs.clear()
-            a, b = self.token_at[left] or (), self.token_at[right]
-            got = self.pairs[left, right] = self.merged(a + b) == (["".join(a)] if a else []) + ["".join(b)]
+            got = self.pairs[left, right] = self._stays(left, right)
+        return got
+
+    def _stays(self, left: int, right: int) -> bool:
+        """``_apart`` without its cache.
+
+        Where a token's parts have lower ranks than itself, merges come in the order of ranks, and two
+        tokens that hold by themselves evolve apart until a pair of their edges merges: when both parts
+        are there, before the left one is taken (at the same rank the left token's own merge comes
+        first) and not after the right one is.
+        """
+        a, b = self.token_at[left] or (), self.token_at[right]
+        if not a or self.made is None:
+            return self.merged(a + b) == (["".join(a)] if a else []) + ["".join(b)]
+        if not (self._apart(0, left) and self._apart(0, right)):
+            return False
+        rank, firsts = self.rank, self._edge(right, 0)
+        for x, x_until in self._edge(left, 1):
+            for y, y_until in firsts:
+                r = rank.get((x, y))
+                if r is not None and r < x_until and r <= y_until:
+                    return False
+        return True
+
+    def _edge(self, node: int, side: int) -> list[tuple[str, int]]:
+        """What stands at the first (0) or last (1) place of a token while it is merged, and the rank that takes it."""
+        got = self.edges[side].get(node)
+        if got is None:
+            part, until, got = "".join(self.token_at[node]), 1 << 30, []
+            while part is not None:
+                got.append((part, until))
+                made = self.made.get(part)
+                part, until = (made[side], made[2]) if made else (None, 0)
+            self.edges[side][node] = got
         return got
 
     def _move(self, state: int, symbol: str) -> tuple[int, int]:
@@ -118,14 +162,19 @@ class WordTransducer:
             self.reset()
             state = self._state(held)
         live, found, added = [], 0, 0
+        trie, token_at, pairs = self.trie, self.token_at, self.pairs
         for node, last, fewer in self.content[state]:
-            nxt = self.trie[node].get(symbol)
+            nxt = trie[node].get(symbol)
             if nxt is not None:
                 live.append((nxt, last, fewer))
-                if not found and self.token_at[nxt] and self._apart(last, nxt):
-                    found, added = nxt, 1 - fewer
-        content = tuple((n, last, fewer + added) for n, last, fewer in live) + ((0, found, 0),)
-        got = self.moves[state][symbol] = (self._state(content), added)
+                if not found and token_at[nxt]:
+                    stays = pairs.get((last, nxt))
+                    if stays or stays is None and self._apart(last, nxt):
+                        found, added = nxt, 1 - fewer
+        if added:
+            live = [(n, last, fewer + added) for n, last, fewer in live]
+        live.append((0, found, 0))
+        got = self.moves[state][symbol] = (self._state(tuple(live)), added)
         return got
 
     #: Content of the state that a word begins in.
@@ -175,6 +224,28 @@ class ChunkMap:
     exit: tuple | None
 
 
+class Recent:
+    """Counts of strings met of late: at most ``most`` young ones, and the generation before them."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key: str) -> int | None:
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key: str, n: int) -> int:
+        if len(key) <= LONGEST_KEPT:
+            if len(self.young) >= self.most:
+                self.old, self.young = self.young, {}
+            self.young[key] = n
+        return n
+
+
 class TokenCounter:
     def __init__(self, tokenizer_json: str, chunk_chars: int = 1 << 16, most: int = 250_000):
         with open(tokenizer_json, encoding="utf-8") as f:
@@ -186,28 +257,27 @@ class TokenCounter:
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         self.words = regex.compile(WORDS).findall
         self.blank = regex.compile(f"[{BLANKS}]+")
-        self.chunk_chars, self.most = chunk_chars, most
-        self.young: dict[str, int] = {}
-        self.old: dict[str, int] = {}
+        self.chunk_chars = chunk_chars
+        self.apart = not any(set(s) & ASCII_BLANKS for s in special)
+        self.clean, self.raw = Recent(most), Recent(most)  # words and stretches after and before normalisation
         self.kinds: dict[str, str] = {}
 
     def normal(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+        if text.isascii():
+            return self.blank.sub(" ", text).lower()
+        text = unicodedata.normalize("NFC", text)
         # character by character: no final-sigma rule
         return self.blank.sub(" ", text).translate(LOWER).lower()
 
     def run(self, stretch: str) -> int:
         """Tokens of a stretch without white space, entered and left in the reset state."""
-        got = self.young.get(stretch)
+        got = self.clean.get(stretch)
         if got is None:
-            got = self.old.get(stretch)
-            if got is None:
-                got = sum(self.fst.count(w.encode("utf-8", "surrogatepass")) for w in self.words(stretch))
-            if len(stretch) <= LONGEST_KEPT:
-                if len(self.young) >= self.most:
-                    self.old, self.young = self.young, {}
-                self.young[stretch] = got
+            words, got = self.words(stretch), 0
+            for w in words:
+                n = self.clean.get(w) if len(words) > 1 else None
+                got += self.clean.put(w, self.fst.count(w.encode("utf-8", "surrogatepass"))) if n is None else n
+            self.clean.put(stretch, got)
         return got
 
     def _kind(self, ch: str) -> str:
@@ -289,14 +359,14 @@ class TokenCounter:
         return ChunkMap(stretches[0], self._between(stretches[1:-1]) + added, exit_)
 
     def _between(self, stretches: list[str]) -> int:
-        young, run = self.young, self.run
+        young, run = self.clean.young, self.run
         total = 0
         for s in stretches:
             if s:
                 got = young.get(s)
                 if got is None:
                     got = run(s)
-                    young = self.young
+                    young = self.clean.young
                 total += got
         return total
 
@@ -334,6 +404,41 @@ class TokenCounter:
                 total += self.ended(START, whole.head) + whole.emitted + (self._end(whole.exit) if whole.exit else 0)
         return total
 
+    def fresh(self, stretch: str) -> int:
+        """``count`` of a stretch without ASCII white space; most need no normaliser but lower case."""
+        if not stretch.isascii() or "<|" in stretch:
+            return self.count(stretch)
+        clean, total = stretch.lower(), 0
+        for w in (clean,) if clean.isalpha() else self.words(clean):
+            n = self.clean.young.get(w)
+            if n is None:
+                n = self.clean.old.get(w)
+                self.clean.put(w, n := self.fst.count(w.encode()) if n is None else n)
+            total += n
+        return total
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """``count`` of each text. Texts of one chunk are cut at their ASCII white space, which resets the
+        machine and neither joins nor leaves a character in normalisation, and each distinct stretch
+        between is counted once."""
+        short = pc.fill_null(pc.less_equal(pc.utf8_length(texts), self.chunk_chars if self.apart else 0), True).to_numpy(zero_copy_only=False)
+        stretches = pc.ascii_split_whitespace(pc.fill_null(texts.filter(pa.array(short)), ""))
+        coded = stretches.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        counts = list(map(self.raw.young.get, words))
+        for k, n in enumerate(counts):
+            if n is None:
+                word = words[k]
+                n = self.raw.old.get(word)
+                counts[k] = self.raw.put(word, self.fresh(word) if n is None else n)
+        upto = np.concatenate([[0], np.cumsum(np.array(counts, np.int64)[coded.indices.to_numpy()])])
+        at = stretches.offsets.to_numpy() - stretches.offsets[0].as_py()
+        totals = np.zeros(len(texts), np.int64)
+        totals[short] = upto[at[1:]] - upto[at[:-1]]
+        for k in np.flatnonzero(~short):
+            totals[k] = self.count(texts[int(k)].as_py())
+        return totals
+
 
 @lru_cache(maxsize=2)
 def counter(tokenizer_json: str) -> TokenCounter:
@@ -350,9 +455,8 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, limit: int = 2048, id_col
 
     def run(batches):
         c = counter(tokenizer_json)
-        for b in slices(batches, 200):
-            n = [c.count(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, type=pa.int64())], ["id", "n_bytes", "n_tokens"])
+        for b in slices(batches, 10_000):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c.counts(b.column(2)), type=pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     got = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
     out = got.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")

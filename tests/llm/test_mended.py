@@ -4,6 +4,7 @@ import hashlib
 import time
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -187,6 +188,50 @@ def test_a_word_of_any_length_keeps_few_states():
     assert counter.count(word) == len(lib.encode(word, add_special_tokens=False).ids)
 
 
+def test_distinct_stretches_and_words_are_counted_once(monkeypatch):
+    """The transducer ran once for each sentence a word ended, and each text was normalised whole."""
+    counter = token_counts.TokenCounter(queries.WORD_TOKENIZER)
+    lib = Tokenizer.from_file(queries.WORD_TOKENIZER)
+    asked, merged, plain, merge = [], [], counter.fst.count, counter.fst.merged
+    monkeypatch.setattr(counter.fst, "count", lambda w: asked.append(w) or plain(w))
+    monkeypatch.setattr(counter.fst, "merged", lambda s: merged.append(s) or merge(s))
+    texts = [f"Unforeseeable {'('*(i % 3)}consequences{'.,;!'[i % 4]} of it" for i in range(200)]
+    got = counter.counts(pa.array(texts))
+    assert got.tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(asked) == len(set(asked)) and {b"unforeseeable", b"consequences"} <= set(asked)
+    assert merged and all("".join(m) in counter.fst.made or len(m) == 1 for m in merged)  # tokens alone, never a pair
+
+
+def test_counts_of_arrays_equal_the_library():
+    lib = Tokenizer.from_file(queries.WORD_TOKENIZER)
+    odd = [None, "", " ", "\n a\tb\x0bc\x0cd\re ", "a\x1cb \x85c\xa0d\u3000e\u2028f", "e \u0301 e\u0301 \u212bX", "a<|endoftext|>b <|startoftext|>\n<|endoftext|", "ΑΣ Σ ΣΑΣ.", "漢字 かな' 's it's IT'S", "long words " * 9_000, "x" * 70_000]
+    want = [len(lib.encode(t or "", add_special_tokens=False).ids) for t in odd]
+    for most, chunk in ((250_000, 1 << 16), (3, 1 << 16), (250_000, 4)):
+        counter = token_counts.TokenCounter(queries.WORD_TOKENIZER, chunk_chars=chunk, most=most)
+        for kind in (pa.string(), pa.large_string()):
+            texts = pa.array(["dropped"] + odd, kind)[1:]
+            assert counter.counts(texts).tolist() == want and counter.counts(texts[3:7]).tolist() == want[3:7] and counter.counts(texts[:0]).tolist() == []
+            assert counter.counts(texts[:1]).tolist() == [0]
+
+
+def test_pairs_of_tokens_by_their_edges_as_by_merging():
+    fst = token_counts.TokenCounter(queries.WORD_TOKENIZER).fst
+    assert fst.made
+    rng = np.random.default_rng(3)
+    nodes = [k for k, t in enumerate(fst.token_at) if t]
+    short = [k for k in nodes if len(fst.token_at[k]) < 4]
+    for group in (nodes, short):
+        for a, b in rng.choice(group, (4000, 2)):
+            if not fst.token_at[a][-1].endswith("</w>"):
+                assert fst._stays(a, b) == (fst.merged(fst.token_at[a] + fst.token_at[b]) == ["".join(fst.token_at[a]), "".join(fst.token_at[b])])
+    # ranks out of order, and a token made twice: pairs are merged
+    assert token_counts.WordTransducer([("ab", "c"), ("a", "b")], {}, "</w>").made is None
+    odd = token_counts.WordTransducer([("a", "b"), ("b", "c"), ("ab", "c"), ("a", "bc")], {}, "</w>")
+    assert odd.made is None
+    for word in (b"abc", b"aabcc", b"abcabc", b"bcab"):
+        assert odd.count(word) == len(odd.merged(tuple(chr(x) for x in word[:-1]) + (chr(word[-1]) + "</w>",)))
+
+
 def test_every_document_of_the_smallest_table_packs(spark):
     from tests.llm.test_new_operators import check_packing
 
