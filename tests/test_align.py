@@ -78,3 +78,17 @@ def test_frequent_seeds_meet_their_longest_and_are_told(spark):
     hub = max(range(60), key=lambda i: (i % 7, -i))
     linked = {r["g2"] if r["g1"] == hub else r["g1"] for r in edges.where((F.col("g1") == hub) | (F.col("g2") == hub)).collect()}
     assert frequent.count() > 0 and linked | {hub} == set(range(60))
+
+
+def test_frequent_seeds_alone_align_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    core = "".join(rng.choice(AMINO, 30))
+    rows = [(i, core + "".join(rng.choice(AMINO, 6))) for i in range(30)]
+    df = spark.createDataFrame([*rows, (100, rows[0][1]), (101, rows[0][1].lower()), (102, None), (103, "")], "id long, sequence string")
+    want = sorted(map(tuple, align.similar_sequences(df, 0.5, align.Seeding(most=10))[1].collect()))
+    monkeypatch.setattr(align, "stash", None)
+    monkeypatch.setattr(align, "similar_sequences", None)
+    assert sorted(map(tuple, align.frequent_seeds(df, align.Seeding(most=10)).collect())) == want != []
+    from screenfold.plans import graph_queries
+
+    graph_queries.g01f(spark, "/root/testdata/sf0.001").collect()
