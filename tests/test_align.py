@@ -80,6 +80,19 @@ def test_frequent_seeds_meet_their_longest_and_are_told(spark):
     assert frequent.count() > 0 and linked | {hub} == set(range(60))
 
 
+def test_a_band_takes_the_rows_that_it_meets():
+    rng = np.random.default_rng(4)
+    long = ["".join(rng.choice(AMINO, 20_000)) for _ in range(8)]
+    ends = [s[-30:] + t for s, t in zip(long, long[::-1])]
+    la, lb, shift = np.full(8, 20_000), np.full(8, 20_030), np.full(8, -19_970)
+    assert align.rows_of(la, lb, shift, 24).tolist() == [54] * 8
+    assert align.banded([s.encode() for s in long], [s.encode() for s in ends], shift, 24).tolist() == [30] * 8
+    a, b = ["".join(rng.choice(AMINO[:3], int(n))) for n in rng.integers(5, 40, 60)], ["".join(rng.choice(AMINO[:3], int(n))) for n in rng.integers(5, 40, 60)]
+    for shift in (-12, 0, 9):  # a band over all cells: the whole table, whichever is longer
+        got = align.banded([s.encode() for s in a], [s.encode() for s in b], np.full(60, shift), 64)
+        assert got.tolist() == [whole(x, y)[1] for x, y in zip(a, b)]
+
+
 def test_frequent_seeds_alone_align_nothing(spark, monkeypatch):
     rng = np.random.default_rng(5)
     core = "".join(rng.choice(AMINO, 30))
