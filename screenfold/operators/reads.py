@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenfold.operators import tagindex
+
 PREFIX = 10
 BASES = ("G", "C", "A", "T", "N")
 
@@ -83,21 +85,49 @@ def fuzzy_match(reads: DataFrame, fuzzy: DataFrame, offset: int, before: int = 3
 def match_reads(reads: DataFrame, sheet: DataFrame, lengths: list[int], decode: DataFrame, offset: int, strict: bool = False, before: int = 3, after: int = 2) -> DataFrame:
     """(lane, read_no, sample_id, gene, kind) of every read: exact, fuzzy, unmatched, or no_index.
 
-    Exact tags and their variants are one table joined by the first ten bases; a read's best hit is an
-    exact one, else that of the first offset of the window, there the shortest.
+    A read's best hit is an exact one, there the shortest, else that of the first offset of the window, there the
+    shortest. Reads meet plain tags block by block where they are (``tagindex``), no variant is written out;
+    other tags, and all if ``strict``, are joined with their variants by the first ten bases.
     """
-    every = exact_tags(decode).select("tag", "gene", F.lit(0).alias("rank")).unionByName(fuzzy_tags(decode, strict).select(F.col("variant").alias("tag"), "gene", F.lit(1).alias("rank")))
-    every = every.withColumn("k", F.substring("tag", 1, PREFIX))
-    span = F.sequence(F.lit(max(0, offset - before)), F.lit(max(0, offset + after)))
-    at = demultiplex(reads, sheet, lengths).withColumn("off", F.explode(F.when(F.col("sample_id").isNotNull(), span).otherwise(F.array(F.lit(-1)))))
-    at = at.select("lane", "read_no", "sample_id", "off", F.when(F.col("off") >= 0, F.expr(f"substr(seq, off + 1, {longest(decode)})")).alias("rest")).withColumn("k", F.substring("rest", 1, PREFIX))
-    hit = at.join(every, (at["k"] == every["k"]) & F.col("rest").startswith(F.col("tag")) & ((F.col("rank") == 1) | (F.col("off") == offset)), "left")
-    best = F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "off", F.length("tag").alias("n"), "gene")))
-    got = hit.groupBy("lane", "read_no").agg(F.max("sample_id").alias("sample_id"), best.alias("b"))
-    kind = F.when(F.col("sample_id").isNull(), "no_index").when(F.col("b.rank") == 0, "exact").when(F.col("b.rank") == 1, "fuzzy").otherwise("unmatched")
+    low, high = max(0, offset - before), max(0, offset + after)
+    tags = decode.where("tag IS NOT NULL")
+    plain = F.lit(False) if strict else F.expr(tagindex.PLAIN)
+    known = tags.agg(F.max(F.length("tag")).alias("longest"), F.count_if(~plain).alias("others"), F.count_if(plain).alias("plain")).first()
+    width = max(high, offset) - low + max(known["longest"] or 0, tagindex.LONGEST)
+    named = demultiplex(reads, sheet, lengths).select("lane", "read_no", "sample_id", F.when(F.col("sample_id").isNotNull(), F.expr(f"substr(seq, {low + 1}, {width})")).alias("rest"))
+    kinds, parts = dict(decode.dtypes), []
+    if known["plain"]:
+        own = tags.where(plain).groupBy("tag").agg(F.min("ord").alias("o"), F.min_by("gene", "ord").alias("first"), F.max_by("gene", "ord").alias("last"))
+        for block in tagindex.blocks(tagindex.packed(own, "o", "first", "last")):
+            parts.append(tagindex.best_hits(named, block, offset - low, high - low + 1, kinds["ord"], kinds["gene"], every=not parts))
+    if known["others"]:
+        parts.append(_joined_hits(named, tags.where(~plain), offset, low, high, known["longest"], strict))
+    if not known["plain"]:
+        parts.append(named.select("lane", "read_no", "sample_id", F.lit(None).cast("long").alias("code"), F.lit(None).cast(kinds["ord"]).alias("o"), F.lit(None).cast(kinds["gene"]).alias("gene")))
+    hit = parts[0]
+    for part in parts[1:]:
+        hit = hit.unionByName(part)
+    best = F.min(F.when(F.col("code").isNotNull(), F.struct("code", "o", "gene")))
+    got = hit.repartition("lane", "read_no").groupBy("lane", "read_no").agg(F.max("sample_id").alias("sample_id"), best.alias("b"))
+    exact = F.col("b.code") < tagindex.coded(1, 0, 0)
+    kind = F.when(F.col("sample_id").isNull(), "no_index").when(exact, "exact").when(F.col("b").isNotNull(), "fuzzy").otherwise("unmatched")
     return got.select("lane", "read_no", "sample_id", F.col("b.gene").alias("gene"), kind.alias("kind"))
 
 
+def _joined_hits(named: DataFrame, tags: DataFrame, offset: int, low: int, high: int, longest: int, strict: bool) -> DataFrame:
+    """(lane, read_no, sample_id, code, o, gene) of (..., rest), which begins at ``low``: hits by a join of tags and variants."""
+    fuzzy = variants(tags).groupBy("variant").agg(F.min_by("gene", "ord").alias("gene"), F.min("ord").alias("o"), F.countDistinct("gene").alias("genes"))
+    fuzzy = (fuzzy.where("genes = 1") if strict else fuzzy).select(F.col("variant").alias("tag"), "o", "gene", F.lit(1).alias("rank"))
+    exact = tags.groupBy("tag").agg(F.min("ord").alias("o"), F.max_by("gene", "ord").alias("gene")).withColumn("rank", F.lit(0))
+    every = exact.unionByName(fuzzy).withColumn("k", F.substring("tag", 1, PREFIX))
+    at = named.where("sample_id IS NOT NULL").withColumn("off", F.explode(F.array(*map(F.lit, sorted({*range(low, high + 1), offset})))))
+    at = at.select("lane", "read_no", "sample_id", "off", F.expr(f"substr(rest, off - {low} + 1, {longest})").alias("rest")).withColumn("k", F.substring("rest", 1, PREFIX))
+    there = ((F.col("rank") == 0) & (F.col("off") == offset)) | ((F.col("rank") == 1) & F.col("off").between(low, high))
+    hit = at.join(every, "k").where(F.col("rest").startswith(F.col("tag")) & there)
+    code = F.shiftleft(F.col("rank").cast("long"), 40) + F.shiftleft((F.col("off") - low).cast("long"), 20) + F.length("tag")
+    return hit.select("lane", "read_no", "sample_id", code.alias("code"), "o", "gene")
+
+
 def count_genes(matched: DataFrame) -> DataFrame:
     return matched.where("gene is not null").groupBy("sample_id", "gene", "kind").agg(F.count("*").alias("n"))
 
