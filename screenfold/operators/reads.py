@@ -140,13 +140,26 @@ def quality_counters(matched: DataFrame, by: tuple[str, ...] = ("lane",)) -> Dat
 def offset_scan(reads: DataFrame, tags: DataFrame, max_offset: int = 45) -> DataFrame:
     """(offset, hits): reads in which some tag starts at the offset.
 
-    Tags are held by their first ten bases, so a read has one key an offset, whatever the lengths.
+    A tag that another starts adds nothing. Of the plain tags that are left one at most starts at a place, so
+    their blocks' counts add up (``tagindex``), and no read is sent anywhere. Other tags are joined by
+    their first ten bases.
     """
-    t = tags.groupBy(F.substring("tag", 1, PREFIX).alias("k")).agg(F.collect_set("tag").alias("tags"))
-    at = reads.select("seq", F.explode(F.sequence(F.lit(0), F.lit(max_offset))).alias("offset"))
-    at = at.select("offset", F.expr(f"substr(seq, offset + 1, {longest(tags)})").alias("rest")).withColumn("k", F.substring("rest", 1, PREFIX))
-    starts = F.exists("tags", lambda x: F.col("rest").startswith(x))
-    return at.join(t, "k").where(starts).groupBy("offset").agg(F.count("*").alias("hits"))
+    every, parts = tags.where("tag IS NOT NULL").select("tag").distinct(), []
+    known = every.agg(F.max(F.length("tag")).alias("longest"), F.count_if(~F.expr(tagindex.PLAIN)).alias("others")).first()
+    alone = tagindex.unstarted(every)
+    for block in tagindex.blocks(tagindex.packed(alone)):
+        parts.append(tagindex.count_starts(reads, block, max_offset + 1))
+    if known["others"] or not parts:
+        own = every.where(~F.expr(tagindex.PLAIN)).groupBy(F.substring("tag", 1, PREFIX).alias("k")).agg(F.collect_list("tag").alias("tags"))
+        own = own.join(alone.groupBy(F.substring("tag", 1, PREFIX).alias("k")).agg(F.collect_list("tag").alias("plain")), "k", "left")
+        at = reads.select("seq", F.explode(F.sequence(F.lit(0), F.lit(max_offset))).alias("offset"))
+        at = at.select("offset", F.expr(f"substr(seq, offset + 1, {known['longest'] or 0})").alias("rest")).withColumn("k", F.substring("rest", 1, PREFIX))
+        starts = lambda c: F.exists(c, lambda x: F.col("rest").startswith(x))
+        parts.append(at.join(own, "k").where(starts("tags") & ~F.coalesce(starts("plain"), F.lit(False))).groupBy("offset").agg(F.count("*").alias("hits")))
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.unionByName(part)
+    return hits.groupBy("offset").agg(F.sum("hits").alias("hits")).where("hits > 0")
 
 
 def best_offset(scan: DataFrame) -> DataFrame:

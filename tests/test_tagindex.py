@@ -72,6 +72,19 @@ def test_matches_of_blocks_equal_one_read_at_a_time(spark, monkeypatch, others,
     assert {k for _, k in want.values()} == {"exact", "fuzzy", "unmatched", "no_index"}
 
 
+@pytest.mark.parametrize("others", [False, True])
+def test_offsets_of_blocks_equal_one_read_at_a_time(spark, monkeypatch, others):
+    monkeypatch.setattr(tagindex, "BLOCK", 40)
+    tags, rows = drawn(8, others)
+    tags = [t for _, _, t in tags]
+    longest = max(len(t) for t in tags if t)
+    want = [sum(any(t is not None and starts(s[o : o + longest], t) for t in tags) for _, _, s in rows if s is not None) for o in range(21)]
+    scan = reads.offset_scan(spark.createDataFrame(rows, "lane string, read_no long, seq string"), spark.createDataFrame([(t,) for t in tags], "tag string"), 20)
+    assert {r["offset"]: r["hits"] for r in scan.collect()} == {o: n for o, n in enumerate(want) if n}
+    if not others:  # no row a read and offset
+        assert "Generate" not in scan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_no_tags_or_reads(spark):
     sheet = spark.createDataFrame([("s", "l", "AA")], "sample_id string, lane string, index_seq string")
     decode = spark.createDataFrame([(1, "g", "ACGTACGTAC")], "ord long, gene string, tag string")
@@ -80,3 +93,4 @@ def test_no_tags_or_reads(spark):
     assert [r["kind"] for r in reads.match_reads(df, sheet, [2], none, 2).collect()] == ["unmatched"]
     assert [r["kind"] for r in reads.match_reads(df, sheet, [2], decode, 2).collect()] == ["exact"]
     assert reads.match_reads(df.limit(0), sheet, [2], decode, 2).count() == 0
+    assert reads.offset_scan(df, none).count() == 0 and reads.offset_scan(df.limit(0), decode).count() == 0
