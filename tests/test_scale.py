@@ -315,3 +315,23 @@ def test_trimmed_mean_factors_equal_plain_ranks(spark):
     want = np.exp(logs - logs.mean())
     got = {r["s"]: r["factor"] for r in trimmed_mean_factors(df, "gene", "s").collect()}
     assert np.allclose([got[s] for s in range(4)], want, rtol=1e-9)
+
+
+def test_pairs_of_a_large_key_are_many_units(spark):
+    from screenfold.operators import joins
+
+    rows = [("a", i, float(i)) for i in range(60)] + [("b", 7, 1.0), ("b", 3, None), ("b", 7, 2.0), ("c", 1, 1.0), (None, 1, 1.0), (None, 2, 1.0), ("a", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, i long, x double")
+    got = joins.pairs_within(df, "k", "i", "x", most=8).collect()
+    want = [(k, a, b) for k, a, _ in rows for k2, b, _ in rows if k == k2 and k and a is not None and b is not None and a < b]
+    assert sorted(tuple(r)[:3] for r in got) == sorted(want)
+    assert all({r["v"], r["w"]} == {float(r["id_1"]), float(r["id_2"])} for r in got if r["k"] == "a")
+
+
+def test_fast_rounding_is_rounding(spark):
+    from screenfold.plans.set_queries import rounded
+
+    rng = np.random.default_rng(9)
+    x = [*rng.random(4000), *(rng.random(4000) * 1e5), *(rng.integers(0, 10**9, 4000) / 2e6), *(rng.integers(0, 10**7, 4000) / 1e7), *(rng.random(50) * 1e15), 0.0, 5e-7, 4.9999999e-7, 1.0000005, 1e300, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in x], "x double")
+    assert df.where(~rounded(F.col("x")).eqNullSafe(F.round("x", 6))).count() == 0
